@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, text_or_empty, unpacked
+from .common import materialise, packed, ship, text_or_empty, unpacked
 from .components import components
 
 #: Fingerprints below one top prefix to aim at, and node pairs held at a time.
@@ -196,6 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows but are no class's id unless all in the class are null. Repeated rows
     and extra columns are fine; an empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     rows = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(text_or_empty(text_col)).alias("fp")), "simhash")
     found = classes(rows, budget)
     return rows.join(found, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -209,6 +210,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with null ids only keeps one of its rows too. Rows with the same
     fingerprint are reduced to one before any shuffle of texts.
     """
+    ship(docs.sparkSession)
     rows = materialise(packed(docs, doc_id=F.col(id_col).cast("long"), fp=fingerprints(text_or_empty(text_col))), "simhash")
     found = classes(rows.select("doc_id", "fp"), budget)
     heads = found.where("fp = component_fp").select("fp")

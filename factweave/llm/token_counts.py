@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, text_or_empty
+from .common import scratch, ship, text_or_empty
 from .tokenizers_io import TokenizerFile, encoder
 
 CACHE = T.StructType(
@@ -69,6 +69,7 @@ def token_counts(docs: DataFrame, file: TokenizerFile, cache_path: str | None =
     tokens) and content_digest. Running it writes the cache before it returns.
     """
     spark = docs.sparkSession
+    ship(spark)
     cache_path = cache_path or scratch(spark, "token-counts")
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("content")).withColumn("content_digest", F.sha2("content", 256))
     distinct = rows.groupBy("content_digest").agg(F.any_value("content").alias("content"))

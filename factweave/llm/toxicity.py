@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, text_or_empty, unpacked
+from .common import packed, ship, text_or_empty, unpacked
 
 #: Labelled rows that fitting reads at most, for each label.
 SAMPLE = 3000
@@ -187,11 +187,13 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "
     score as clean ones do; other columns are not read; an empty table gives an
     empty result.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("own_id"), severity(text_or_empty(text_col), model).alias("s"))
     return rows.select(F.col("own_id").alias(id_col), F.col("s.expected").alias("expected_severity"), F.col("s.toxic").alias("p_toxic"), (F.col("s.toxic") >= reject).alias("rejected"))
 
 
 def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT, text_col: str = "text") -> DataFrame:
     """Drop documents whose P(grade >= 1) reaches ``reject``; all columns stay."""
+    ship(docs.sparkSession)
     rows = packed(docs, s=severity(text_or_empty(text_col), model))
     return unpacked(rows.where(~(F.col("s.toxic") >= reject)).select("row"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ship
+
 BLOCK = 16384
 GROUP = 4096
 
@@ -40,6 +42,7 @@ def search(rows: DataFrame, every: int, k: int, run: Search, score_type: str) ->
     rows whose id is divisible by ``every`` (equal rows once); candidates are
     all rows with another id and as many components. Ties go to the smaller id.
     """
+    ship(rows.sparkSession)
     rows = rows.withColumn("dim", F.size("vec"))
     n = rows.count()
     blocks, groups = max(12, -(-n // BLOCK)), max(2, -(-(n // every) // GROUP))
