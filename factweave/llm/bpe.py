@@ -5,7 +5,8 @@ character, so a text falls into *words* at such spaces and the ids of a text
 are those of its words in order. Encoding runs in four steps:
 
 1. Texts are dealt into blocks of bounded size by a hash (the one shuffle of
-   texts; both later readers use the same exchange).
+   texts; both later readers use the same exchange). What a scan task has for a
+   block travels as one compressed chunk.
 2. Each block lists its distinct words, dealt into buckets by a hash of the
    word. The lists travel sorted and compressed: one row for each block and
    bucket.
@@ -28,11 +29,14 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_or_empty
+from .common import ship, text_or_empty
 from .tokenizers_io import Encoder, TokenizerFile, encoder
 
 #: A space before a visible character. '<' may open a special string, whose
@@ -50,6 +54,34 @@ def words_of(text: str) -> list[str]:
     return _WORD_START.split(text)
 
 
+def _pack(row_type: pa.DataType):
+    schema = pa.schema([("block", pa.int64()), ("chunk", pa.binary())])
+    inner = pa.schema([("row", row_type), ("content", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks = batch.column("block").to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            names, starts = np.unique(blocks[order], return_index=True)
+            sorted_rows = pa.record_batch([batch.column("row").cast(row_type), batch.column("content").cast(pa.string())], schema=inner).take(pa.array(order))
+            chunks = []
+            for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, inner, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(sorted_rows.slice(lo, hi - lo).take(pa.array(range(hi - lo))))
+                chunks.append(sink.getvalue().to_pybytes())
+            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(chunks, pa.binary())], schema=schema)
+
+    return run
+
+
+def _chunks(table: pa.Table) -> Iterator[pa.Table]:
+    for chunk in table.column("chunk"):
+        yield pa.ipc.open_stream(chunk.as_py()).read_all()
+
+
 def _list_words(n_buckets: int):
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary())])
 
@@ -58,10 +90,11 @@ def _list_words(n_buckets: int):
 
         first: set[str] = set()
         later: set[str] = set()
-        for text in table.column("content"):
-            words = words_of(text.as_py())
-            first.add(words[0])
-            later.update(words[1:])
+        for chunk in _chunks(table):
+            for text in chunk.column("content"):
+                words = words_of(text.as_py())
+                first.add(words[0])
+                later.update(words[1:])
         first.discard("")
         buckets: dict[int, list[bytes]] = {}
         for word in first:
@@ -139,34 +172,34 @@ class _Block:
             return ",".join(head + [self[w] for w in spaced])
 
 
-def _join_back(file: TokenizerFile, digests: bool):
-    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _join_back(file: TokenizerFile, digests: bool, schema: pa.Schema):
+    def run(key: tuple, chunks: pa.Table, answers: pa.Table) -> pa.Table:
         enc = encoder(file)
         block = _Block(enc, answers)
-        place, n, ids, sha, decoded = [], [], [], [], []
-        for i, text in enumerate(docs.column("content")):
-            joined = block.encode(text.as_py())
-            own = list(map(int, joined.split(","))) if joined else []
-            place.append(i)
-            n.append(len(own))
-            if digests:
-                sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(enc.decode(own).encode()).hexdigest())
-            else:
-                ids.append(pa.array(own, pa.int32()))
-        rows = docs.select(["row"])
-        out = rows.append_column("n_tokens", pa.array(n, pa.int64()))
-        if digests:
-            return out.append_column("ids_sha256", pa.array(sha, pa.string())).append_column("decoded_sha256", pa.array(decoded, pa.string()))
-        offsets = [0]
-        for a in ids:
-            offsets.append(offsets[-1] + len(a))
-        values = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
-        return out.append_column("ids", pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
+        out = []
+        for docs in _chunks(chunks):
+            n, ids, sha, decoded = [], [], [], []
+            for text in docs.column("content"):
+                joined = block.encode(text.as_py())
+                own = list(map(int, joined.split(","))) if joined else []
+                n.append(len(own))
+                if digests:
+                    sha.append(hashlib.sha256(joined.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(enc.decode(own).encode()).hexdigest())
+                else:
+                    ids.append(pa.array(own, pa.int32()))
+            more = [pa.array(sha, pa.string()), pa.array(decoded, pa.string())] if digests else [_lists(ids)]
+            out.append(pa.table([docs.column("row"), pa.array(n, pa.int64()), *more], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
+def _lists(arrays: list[pa.Array]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *arrays]))
+
+
 def encode(docs: DataFrame, file: TokenizerFile, keep: list[str], text_col: str = "text", digests: bool = False) -> DataFrame:
     """Encode every whole text; one output row for each input row.
 
@@ -181,6 +214,7 @@ def encode(docs: DataFrame, file: TokenizerFile, keep: list[str], text_col: str
     over the text that the ids decode to, so that ids need not leave the worker.
     """
     spark = docs.sparkSession
+    ship(spark)
     if not encoder(file).byte_level:
         raise ValueError("the distinct-word table needs a byte-level BPE file")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_or_empty(text_col).alias("content"))
@@ -189,13 +223,17 @@ def encode(docs: DataFrame, file: TokenizerFile, keep: list[str], text_col: str
     n_blocks = max(-(-n_bytes // BLOCK_BYTES), 4 * spark.sparkContext.defaultParallelism)
     # about one distinct word in a block for every 40 bytes of it
     n_buckets = max(-(-n_bytes // (40 * BUCKET_WORDS)), 4 * spark.sparkContext.defaultParallelism)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row", "content"), F.lit(n_blocks))).repartition("block")
+    row_type = rows.schema["row"].dataType
+    arrow_row = to_arrow_type(row_type)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row", "content"), F.lit(n_blocks)))
+    dealt = dealt.mapInArrow(_pack(arrow_row), "block long, chunk binary").repartition("block")
     lists = dealt.groupBy("block").applyInArrow(_list_words(n_buckets), "block long, bucket long, words binary")
     answers = lists.groupBy("bucket").applyInArrow(_answer(file), "block long, words binary, ids binary")
-    row_type = rows.schema["row"].dataType.simpleString()
-    out = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    back = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_back(file, digests), f"row {row_type}, n_tokens long, {out}")
-    return back.select("row.*", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"]))
+    out = T.StructType([T.StructField("row", row_type), T.StructField("n_tokens", T.LongType())])
+    out = out.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else out.add("ids", T.ArrayType(T.IntegerType()))
+    arrow_out = pa.schema([("row", arrow_row), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32()))])])
+    back = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_back(file, digests, arrow_out), out)
+    return back.select("row.*", *out.names[1:])
 
 
 def decode(encoded: DataFrame, file: TokenizerFile, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
