@@ -1,11 +1,159 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, each with its SQL.
+
+A key is the operator that the query shows. Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.tables import files
+from . import tpch
+from .compiler import run
+
+FLAGSHIP = "LIST n, c FROM Order o is placed by Customer is from Nation has NationName n AND ALSO THE COUNT OF o GROUPED BY n AS c ORDERED WITH c DESCENDING, n"
+
+#: key: (path query, SQL)
+PATHS: dict[str, tuple[str, str]] = {
+    "flagship": (FLAGSHIP, "select n_name as n, count(*) as c from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name"),
+    # -- ranges, scans --------------------------------------------------------------
+    "A1_range": ("LIST k FROM Nation has NationKey k", "select n_nationkey as k from nation"),
+    "A2_value_range": ("LIST THE AVERAGE Balance AS a", "select avg(c_acctbal) as a from customer"),
+    "A3_value_head": ("LIST b, n FROM Brand b is of Part has PartName n", "select p_brand as b, p_name as n from part"),
+    "A4_subtype_range": ("DEFINE Rich ::= LIST c FROM Customer c has Balance b WHERE b > 9000\nLIST n FROM Rich has CustomerName n", "select c_name as n from customer where c_acctbal > 9000"),
+    "A12_json": ("LIST t, s FROM Event has EventType t AND ALSO has EventK k AND ALSO THE SUM OF k GROUPED BY t AS s WHERE k > 50", "select event_type as t, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as s from events where cast(json_extract(props, '$.k') as bigint) > 50 group by event_type"),
+    # -- projection -----------------------------------------------------------------
+    "B1_list": ("LIST n, round(b * 2, 2) AS twice FROM Customer has CustomerName n AND ALSO has Balance b", "select c_name as n, round(c_acctbal * 2, 2) as twice from customer"),
+    "B2_default": ("Nation is in Region has RegionName", "select n_nationkey as Nation, r_name as RegionName from nation join region on n_regionkey = r_regionkey"),
+    "B4_closed": ("LIST THE COUNT OF Customer AS customers, THE COUNT OF Order AS orders, THE COUNT OF Customer * 100 / THE COUNT OF Order AS share", "select (select count(*) from customer) as customers, (select count(*) from orders) as orders, (select count(*) from customer) * 100.0 / (select count(*) from orders) as share"),
+    "B5_as": ("LIST n, m FROM Customer has CustomerName n AND ALSO has Balance b AND ALSO (b - 1000) AS m WHERE m > 0", "select c_name as n, c_acctbal - 1000 as m from customer where c_acctbal - 1000 > 0"),
+    "B6_distinct": ("LIST s, n FROM DISTINCT Customer has Segment s AND ALSO is from Nation has NationName n", "select distinct c_mktsegment as s, n_name as n from customer join nation on c_nationkey = n_nationkey"),
+    "B7_composite": ("LIST t, r FROM Turn t has SpeakerRole r", "select conv_id as t_conv_id, turn as t_turn, role as r from conversations"),
+    "B8_only": ("ONLY Nation is in Region: 1", "select n_nationkey as Nation from nation where n_regionkey = 1"),
+    "B9_macro": ("LIST k, r FROM LineItem is of Order has OrderKey k AND ALSO has ExtendedPrice p AND ALSO has Discount d AND ALSO revenue(p, d) AS v AND ALSO THE SUM OF v GROUPED BY k AS t AND ALSO round(t, 4) AS r", "select l_orderkey as k, round(sum(l_extendedprice * (1 - l_discount)), 4) as r from lineitem group by l_orderkey"),
+    # -- joins ----------------------------------------------------------------------
+    "C1_join": ("LIST k, n FROM Order has OrderKey k AND ALSO is placed by Customer is from Nation has NationName n", "select o_orderkey as k, n_name as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"),
+    "C2_inverse": ("LIST r, n FROM Region has RegionName r AND ALSO contains Nation has NationName n", "select r_name as r, n_name as n from region join nation on r_regionkey = n_regionkey"),
+    "C5_optional": ("LIST n, s FROM Nation has NationName n AND ALSO OPTIONALLY is base of Supplier s", "select n_name as n, s_suppkey as s from nation left join supplier on s_nationkey = n_nationkey"),
+    "C7_composite_join": ("LIST c, r FROM Turn has ConversationKey c AND ALSO has SpeakerRole r", "select conv_id as c, role as r from conversations"),
+    "C11_round_trip": ("LIST THE COUNT OF Nation is in Region contains Nation AS pairs", "select count(*) as pairs from nation a join nation b on a.n_regionkey = b.n_regionkey"),
+    "C12_subtype": ("LIST k, l FROM LabelledDocument has DocumentKey k AND ALSO has Language l AND ALSO has Quality: 1", "select d.doc_id as k, lang as l from documents d join labels l on d.doc_id = l.doc_id where quality = 1"),
+    "C13_unify": ("LIST k FROM Order has OrderKey k AND ALSO is placed by Customer is from Nation n AND ALSO has LineItem is supplied by Supplier is based in Nation n", "select o_orderkey as k from orders join customer on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey where c_nationkey = s_nationkey"),
+    "C15_semi": ("LIST k FROM Order [has LineItem has ReturnFlag: 'R'] has OrderKey k", "select o_orderkey as k from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')"),
+    "C16_bind": ("LIST k, q FROM Order [has LineItem [has Quantity q] has ReturnFlag: 'R'] has OrderKey k", "select o_orderkey as k, l_quantity as q from orders join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R'"),
+    "C17_anti": ("LIST k FROM Order has OrderKey k BUT NOT has LineItem", "select o_orderkey as k from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)"),
+    "C18_also": ("LIST n FROM Customer has CustomerName n AND ALSO placed Order has Priority: '1-URGENT'", "select c_name as n from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')"),
+    "C19_or": ("LIST n FROM Customer has CustomerName n AND ALSO (placed Order has Priority: '1-URGENT' OR OTHERWISE has Segment: 'BUILDING')", "select c_name as n from customer where c_mktsegment = 'BUILDING' or exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')"),
+    "C20_some": ("LIST n FROM Region has RegionName n WHERE SOME (Supplier has SupplierBalance b WHERE b > 100)", "select r_name as n from region where exists (select 1 from supplier where s_acctbal > 100)"),
+    "C21_exists": ("LIST n FROM Nation has NationName n WHERE is base of Supplier OR n = 'NATION_3'", "select n_name as n from nation where exists (select 1 from supplier where s_nationkey = n_nationkey) or n_name = 'NATION_3'"),
+    "C22_denote": ("LIST n FROM Nation: 3 has NationName n", "select n_name as n from nation where n_nationkey = 3"),
+    "C22_denote_composite": ("LIST r FROM Turn: (0, 0) has SpeakerRole r", "select role as r from conversations where conv_id = 0 and turn = 0"),
+    "C24_correlate": ("LIST k FROM Order has OrderKey k AND ALSO has TotalPrice t AND ALSO is placed by Customer c WHERE t > THE AVERAGE Order [is placed by Customer: !c] has TotalPrice", "select o_orderkey as k from orders o where o_totalprice > (select avg(o_totalprice) from orders i where i.o_custkey = o.o_custkey)"),
+    "C25_confluence": ("has RegionName AS region, is home of Customer has Balance AS top ORDERED WITH Balance DESCENDING THE FIRST 2 EACH Nation", ""),
+    # -- conditions -----------------------------------------------------------------
+    "D1_compare": ("LIST n FROM Customer has CustomerName n AND ALSO has Balance b WHERE b IS GREATER THAN OR EQUAL TO 5000 AND n <> 'x'", "select c_name as n from customer where c_acctbal >= 5000"),
+    "D3_logic": ("LIST k FROM Part has PartKey k AND ALSO has PartSize s AND ALSO has Brand b WHERE NOT s > 10 OR (s > 40 AND b = 'Brand#11')", "select p_partkey as k from part where not p_size > 10 or (p_size > 40 and p_brand = 'Brand#11')"),
+    "D4_xor": ("LIST k FROM Part has PartKey k AND ALSO has PartSize s AND ALSO has RetailPrice p WHERE s > 25 EXCLUSIVE OR p > 1000", "select p_partkey as k from part where (p_size > 25) <> (p_retailprice > 1000)"),
+    "D5_implies": ("LIST k FROM Part has PartKey k AND ALSO has PartSize s AND ALSO has RetailPrice p WHERE s > 25 IMPLIES p > 1000", "select p_partkey as k from part where not (p_size > 25) or p_retailprice > 1000"),
+    "D6_iff": ("LIST k FROM Part has PartKey k AND ALSO has PartSize s AND ALSO has RetailPrice p WHERE s > 25 IFF p > 1000", "select p_partkey as k from part where (p_size > 25) = (p_retailprice > 1000)"),
+    "D8_choice": ("LIST k, IF s > 25 THEN 'big' ELSE 'small' AS size FROM Part has PartKey k AND ALSO has PartSize s", "select p_partkey as k, case when p_size > 25 then 'big' else 'small' end as size from part"),
+    "D9_boolean_call": ("LIST n FROM Nation has NationName n WHERE ends_with(n, '1')", "select n_name as n from nation where n_name like '%1'"),
+    "D10_subset": ("LIST k FROM Customer has CustomerKey k AND ALSO placed Order has Priority WHICH ARE ALL IN Customer: 1 placed Order has Priority", "select c_custkey as k from customer where not exists (select o_orderpriority from orders where o_custkey = c_custkey except select o_orderpriority from orders where o_custkey = 1)"),
+    "D11_superset": ("LIST k FROM Customer has CustomerKey k AND ALSO placed Order has Priority THAT INCLUDES ALL Customer: 1 placed Order has Priority", "select c_custkey as k from customer where not exists (select o_orderpriority from orders where o_custkey = 1 except select o_orderpriority from orders where o_custkey = c_custkey)"),
+    "D12_equal": ("LIST k FROM Customer has CustomerKey k AND ALSO placed Order has Priority MATCHING ALL Customer: 1 placed Order has Priority", "select c_custkey as k from customer where not exists (select o_orderpriority from orders where o_custkey = 1 except select o_orderpriority from orders where o_custkey = c_custkey) and not exists (select o_orderpriority from orders where o_custkey = c_custkey except select o_orderpriority from orders where o_custkey = 1)"),
+    "D13_not_equal": ("LIST k FROM Customer has CustomerKey k WHERE placed Order has Priority DOES NOT EQUAL Customer: 1 placed Order has Priority", "select c_custkey as k from customer where exists (select o_orderpriority from orders where o_custkey = 1 except select o_orderpriority from orders where o_custkey = c_custkey) or exists (select o_orderpriority from orders where o_custkey = c_custkey except select o_orderpriority from orders where o_custkey = 1)"),
+    "D14_proper_subset": ("LIST k FROM Customer has CustomerKey k WHERE placed Order has Priority IS A PROPER SUBSET OF Customer: 1 placed Order has Priority", "select c_custkey as k from customer where exists (select o_orderpriority from orders where o_custkey = 1 except select o_orderpriority from orders where o_custkey = c_custkey) and not exists (select o_orderpriority from orders where o_custkey = c_custkey except select o_orderpriority from orders where o_custkey = 1)"),
+    "D15_disjoint": ("LIST k FROM Customer has CustomerKey k WHERE placed Order has Priority IS DISJOINT FROM Customer: 1 placed Order has Priority", "select c_custkey as k from customer where not exists (select o_orderpriority from orders where o_custkey = c_custkey intersect select o_orderpriority from orders where o_custkey = 1)"),
+    "D16_bag_cut": ("LIST n FROM Nation has NationName n WHERE is home of Customer has Segment IS A SUPERSET OF (LIST s FROM Customer has Segment s AND ALSO has CustomerKey k ORDERED WITH k THE FIRST 3)", "select n_name as n from nation where not exists (select s from (select c_mktsegment as s from customer order by c_custkey limit 3) except select c_mktsegment from customer where c_nationkey = n_nationkey)"),
+    "D17_restrict": ("LIST k, s FROM Part has PartKey k AND ALSO has medium MediumSize s", "select p_partkey as k, p_size as s from part where p_size between 10 and 20"),
+    "D17_enumerated": ("LIST n, s FROM Customer has CustomerName n AND ALSO has big BigSegment s", "select c_name as n, c_mktsegment as s from customer where c_mktsegment in ('BUILDING', 'AUTOMOBILE')"),
+    "D18_having": ("LIST n, c FROM Customer k is from Nation has NationName n AND ALSO THE COUNT OF k GROUPED BY n AS c WHERE c > 60", "select n_name as n, count(*) as c from customer join nation on c_nationkey = n_nationkey group by n_name having count(*) > 60"),
+    "D19_window_filter": ("LIST k, t FROM Order has OrderKey k AND ALSO has TotalPrice t AND ALSO is placed by Customer c AND ALSO THE RANK OF t WITHIN c AS r WHERE r = 1", "select o_orderkey as k, o_totalprice as t from orders qualify rank() over (partition by o_custkey order by o_totalprice desc) = 1"),
+    # -- aggregates -----------------------------------------------------------------
+    "E1_count": ("LIST THE COUNT OF LineItem AS c", "select count(*) as c from lineitem"),
+    "E2_distinct": ("LIST THE DISTINCT COUNT OF b IN Part has Brand b AS brands, THE DISTINCT SUM OF s IN Part has PartSize s AS sizes", "select count(distinct p_brand) as brands, cast(sum(distinct p_size) as bigint) as sizes from part"),
+    "E3_basic": ("LIST round(THE SUM OF q IN LineItem has Quantity q, 2) AS s, THE MINIMUM q IN LineItem has Quantity q AS low, THE MAXIMUM q IN LineItem has Quantity q AS high, round(THE AVERAGE q IN LineItem has Quantity q, 4) AS mean", "select round(sum(l_quantity), 2) as s, min(l_quantity) as low, max(l_quantity) as high, round(avg(l_quantity), 4) as mean from lineitem"),
+    "E4_median": ("LIST s, m FROM Customer has Segment s AND ALSO has Balance b AND ALSO THE MEDIAN b GROUPED BY s AS m", "select c_mktsegment as s, median(c_acctbal) as m from customer group by 1"),
+    "E5_dispersion": ("LIST s, round(d, 4) AS sd, round(v, 2) AS var FROM Customer has Segment s AND ALSO has Balance b AND ALSO THE STANDARD DEVIATION OF b GROUPED BY s AS d AND ALSO THE VARIANCE OF b GROUPED BY s AS v", "select c_mktsegment as s, round(stddev_samp(c_acctbal), 4) as sd, round(var_samp(c_acctbal), 2) as var from customer group by 1"),
+    "E6_list": ("LIST k, l FROM Customer has CustomerKey k AND ALSO placed Order has OrderStatus s AND ALSO THE DISTINCT LIST OF s GROUPED BY k AS l", "select o_custkey as k, list(distinct o_orderstatus order by o_orderstatus) as l from orders group by 1"),
+    "E7_joined": ("LIST r, l FROM Region has RegionName r AND ALSO contains Nation has NationName n AND ALSO THE LIST OF n SEPARATED BY ', ' GROUPED BY r AS l", "select r_name as r, string_agg(n_name, ', ' order by n_name) as l from region join nation on n_regionkey = r_regionkey group by 1"),
+    "E8_object": ("LIST r, o FROM Region has RegionName r AND ALSO contains Nation n has NationName m AND ALSO n has NationKey k AND ALSO THE OBJECT OF k BY m GROUPED BY r AS o", "select r_name as r, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' order by n_name) || '}' as o from region join nation on n_regionkey = r_regionkey group by 1"),
+    "E9_group": ("LIST s, y, c FROM Order o is placed by Customer has Segment s AND ALSO has OrderDate d AND ALSO THE COUNT OF o GROUPED BY s, year(d) AS c AND ALSO year(d) AS y", ""),
+    "E10_constant": ("LIST c FROM Order o has TotalPrice t AND ALSO THE COUNT OF o GROUPED BY one AS c", "select count(*) as c from orders"),
+    "E11_fixed": ("LIST n, s, t FROM Customer c has CustomerName n AND ALSO has Segment s AND ALSO placed Order has TotalPrice p AND ALSO THE SUM OF p GROUPED BY c AS u AND ALSO round(u, 2) AS t", "select c_name as n, c_mktsegment as s, round(sum(o_totalprice), 2) as t from customer join orders on o_custkey = c_custkey group by c_custkey, c_name, c_mktsegment"),
+    "E12_expression": ("LIST THE SUM OF round(b, 0) IN Customer has Balance b AS s", "select sum(round(c_acctbal, 0)) as s from customer"),
+    "E14_scalar": ("LIST n FROM Customer has CustomerName n AND ALSO has Balance b WHERE b > THE AVERAGE Customer has Balance", "select c_name as n from customer where c_acctbal > (select avg(c_acctbal) from customer)"),
+    "E15_correlated": ("LIST n, o FROM Customer c has CustomerName n AND ALSO THE COUNT OF Order [is placed by Customer: !c] AS o", "select c_name as n, (select count(*) from orders where o_custkey = c_custkey) as o from customer"),
+    "E16_enclosing": ("LIST n, m FROM Customer has CustomerName n AND ALSO has Balance b AND ALSO THE MAXIMUM (b * 2) AS m WHERE b < 5000", "select c_name as n, max(c_acctbal * 2) over () as m from customer where c_acctbal < 5000"),
+    "E17_of_groups": ("LIST round(THE AVERAGE c IN (Order o is placed by Customer k AND ALSO THE COUNT OF o GROUPED BY k AS c), 6) AS mean", "select round(avg(c), 6) as mean from (select count(*) as c from orders group by o_custkey)"),
+    "E18_fan": ("LIST round(THE SUM OF t IN Order has TotalPrice t AND ALSO has LineItem l, 2) AS s", "select round(sum(o_totalprice), 2) as s from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey)"),
+    "E19_pin": ("LIST k, s FROM Order o has OrderKey k AND ALSO has TotalPrice t AND ALSO has LineItem l AND ALSO THE SUM OF t GROUPED BY o AS s", "select o_orderkey as k, o_totalprice as s from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey)"),
+    "E20_regroup": ("LIST n, s FROM Supplier is based in Nation has NationName n AND ALSO supplies LineItem is of Order has TotalPrice t AND ALSO THE SUM OF t GROUPED BY n AS u AND ALSO round(u, 2) AS s", "select n, round(sum(t), 2) as s from (select distinct n_name as n, o_orderkey, o_totalprice as t from supplier join nation on s_nationkey = n_nationkey join lineitem on l_suppkey = s_suppkey join orders on o_orderkey = l_orderkey) group by n"),
+    "E22_exempt": ("LIST n, m FROM Supplier is based in Nation has NationName n AND ALSO supplies LineItem is of Order has TotalPrice t AND ALSO THE MAXIMUM t GROUPED BY n AS m", "select n_name as n, max(o_totalprice) as m from supplier join nation on s_nationkey = n_nationkey join lineitem on l_suppkey = s_suppkey join orders on o_orderkey = l_orderkey group by 1"),
+    "E23_distinct_path": ("LIST THE COUNT OF DISTINCT Customer [placed Order has Priority: '1-URGENT'] AS c", "select count(distinct o_custkey) as c from orders where o_orderpriority = '1-URGENT'"),
+    "E24_operand": ("LIST THE COUNT OF Customer has Segment: 'BUILDING' BUT NOT placed Order has OrderStatus: 'F' AS c", "select count(*) as c from customer where c_mktsegment = 'BUILDING' and not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')"),
+    # -- windows --------------------------------------------------------------------
+    "F1_share": ("LIST k, round(b / t, 6) AS share FROM Customer has CustomerKey k AND ALSO has Balance b AND ALSO is from Nation n AND ALSO THE SUM OF b WITHIN n AS t", "select c_custkey as k, round(c_acctbal / sum(c_acctbal) over (partition by c_nationkey), 6) as share from customer"),
+    "F2_rank": ("LIST k, r FROM Customer has CustomerKey k AND ALSO has Balance b AND ALSO has Segment s AND ALSO THE RANK OF b WITHIN s AS r", "select c_custkey as k, cast(rank() over (partition by c_mktsegment order by c_acctbal desc) as integer) as r from customer"),
+    "F3_percent_rank": ("LIST k, round(p, 8) AS pr FROM Customer has CustomerKey k AND ALSO has Balance b AND ALSO has Segment s AND ALSO THE PERCENT RANK OF b ASCENDING WITHIN s AS p", "select c_custkey as k, round(percent_rank() over (partition by c_mktsegment order by c_acctbal), 8) as pr from customer"),
+    "F4_previous": ("LIST k, p FROM Supplier has SupplierKey k AND ALSO has SupplierBalance b AND ALSO is based in Nation n AND ALSO THE PREVIOUS b BY k WITHIN n AS p", "select s_suppkey as k, lag(s_acctbal) over (partition by s_nationkey order by s_suppkey) as p from supplier"),
+    "F5_whole": ("LIST n, r FROM Supplier has SupplierName n AND ALSO has SupplierBalance b AND ALSO THE RANK OF b ASCENDING WITHIN 1 AS r", "select s_name as n, cast(rank() over (order by s_acctbal) as integer) as r from supplier"),
+    "F6_computed": ("LIST k, c FROM Order o has OrderKey k AND ALSO has OrderDate d AND ALSO THE COUNT OF o WITHIN year(d) AS c", "select o_orderkey as k, count(*) over (partition by year(o_orderdate)) as c from orders"),
+    "F8_over_groups": ("LIST n, c, r FROM Customer k is from Nation has NationName n AND ALSO THE COUNT OF k GROUPED BY n AS c AND ALSO THE RANK OF c WITHIN 1 AS r", "select n_name as n, count(*) as c, cast(rank() over (order by count(*) desc) as integer) as r from customer join nation on c_nationkey = n_nationkey group by 1"),
+    # -- order, cuts ----------------------------------------------------------------
+    "G1_sort": ("LIST k, b FROM Customer has CustomerKey k AND ALSO has Balance b ORDERED WITH abs(b) DESCENDING, k THE FIRST 20", "select c_custkey as k, c_acctbal as b from customer order by abs(c_acctbal) desc, c_custkey limit 20"),
+    "G4_cut": ("LIST k, t FROM Order has OrderKey k AND ALSO has TotalPrice t ORDERED WITH t DESCENDING, k THE FIRST 10 AFTER 5", "select o_orderkey as k, o_totalprice as t from orders order by o_totalprice desc, o_orderkey limit 10 offset 5"),
+    "G5_per": ("LIST s, k, b FROM Customer has CustomerKey k AND ALSO has Segment s AND ALSO has Balance b ORDERED WITH b DESCENDING, k THE FIRST 3 PER s", "select c_mktsegment as s, c_custkey as k, c_acctbal as b from customer qualify row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) <= 3"),
+    "G6_ties": ("LIST k, s FROM Part has PartKey k AND ALSO has PartSize s ORDERED WITH s DESCENDING THE FIRST 5 WITH TIES", "select p_partkey as k, p_size as s from part qualify rank() over (order by p_size desc) <= 5"),
+    # -- set operations -------------------------------------------------------------
+    "H1_union": ("(LIST n FROM Customer is from Nation has NationName n) UNITED WITH (LIST n FROM Supplier is based in Nation has NationName n)", "select n_name as n from customer join nation on c_nationkey = n_nationkey union select n_name from supplier join nation on s_nationkey = n_nationkey"),
+    "H2_intersect": ("(LIST n FROM Customer [has Segment: 'BUILDING'] is from Nation has NationName n) INTERSECTED WITH (LIST n FROM Supplier is based in Nation has NationName n)", "select n_name as n from customer join nation on c_nationkey = n_nationkey where c_mktsegment = 'BUILDING' intersect select n_name from supplier join nation on s_nationkey = n_nationkey"),
+    "H3_minus": ("(LIST n FROM Nation has NationName n) MINUS (LIST n FROM Supplier is based in Nation has NationName n)", "select n_name as n from nation except select n_name from supplier join nation on s_nationkey = n_nationkey"),
+    "H4_chain": ("(LIST k FROM Part has PartKey k AND ALSO has PartSize s WHERE s < 10) UNITED WITH (LIST k FROM Part has PartKey k AND ALSO has Brand: 'Brand#11') MINUS (LIST k FROM LineItem [has Quantity q] is for Part has PartKey k WHERE q > 45) ORDERED WITH k", "(select p_partkey as k from part where p_size < 10 union select p_partkey from part where p_brand = 'Brand#11') except select l_partkey from lineitem where l_quantity > 45"),
+    # -- functions ------------------------------------------------------------------
+    "I1_arithmetic": ("LIST k, -s + 3 * 2 - 1 AS a, round(s / 7, 6) AS d, div(s, 7) AS q, s ^ 2 AS p FROM Part has PartKey k AND ALSO has PartSize s", "select p_partkey as k, -p_size + 5 as a, round(p_size / 7.0, 6) as d, cast(p_size // 7 as bigint) as q, cast(pow(p_size, 2) as double) as p from part"),
+    "I2_divide_by_zero": ("LIST k, s / (s - s) AS z FROM Part has PartKey k AND ALSO has PartSize s", "select p_partkey as k, cast(null as double) as z from part"),
+    "I5_rounding": ("LIST k, abs(b) AS a, round(b) AS r, floor(b) AS f, ceil(b) AS c FROM Customer has CustomerKey k AND ALSO has Balance b", "select c_custkey as k, abs(c_acctbal) as a, round(c_acctbal, 0) as r, cast(floor(c_acctbal) as bigint) as f, cast(ceil(c_acctbal) as bigint) as c from customer"),
+    "I6_roots": ("LIST k, round(sqrt(b), 6) AS q, round(ln(s), 6) AS l, round(exp(s / 100), 6) AS e, round(log10(s), 6) AS t FROM Part has PartKey k AND ALSO has PartSize s AND ALSO has RetailPrice b", "select p_partkey as k, round(sqrt(p_retailprice), 6) as q, round(ln(p_size), 6) as l, round(exp(p_size / 100.0), 6) as e, round(log10(p_size), 6) as t from part"),
+    "I7_text": ("LIST k, length(n) AS l, upper(n) AS u, lower(n) AS w, substr(n, 2, 3) AS s, concat(n, '-', b) AS c, instr(n, 'a') AS i, replace(n, 'a', 'o') AS r, trim(concat('  ', n, ' ')) AS t FROM Part has PartKey k AND ALSO has PartName n AND ALSO has Brand b", "select p_partkey as k, cast(length(p_name) as integer) as l, upper(p_name) as u, lower(p_name) as w, substr(p_name, 2, 3) as s, p_name || '-' || p_brand as c, cast(instr(p_name, 'a') as integer) as i, replace(p_name, 'a', 'o') as r, p_name as t from part"),
+    "I12_nulls": ("LIST n, coalesce(s, -1) AS s, nullif(k, 3) AS z FROM Nation has NationName n AND ALSO has NationKey k AND ALSO OPTIONALLY is base of Supplier s", "select n_name as n, coalesce(s_suppkey, -1) as s, nullif(n_nationkey, 3) as z from nation left join supplier on s_nationkey = n_nationkey"),
+    "I14_greatest": ("LIST k, greatest(s, 20) AS g, least(s, 20) AS l FROM Part has PartKey k AND ALSO has PartSize s", "select p_partkey as k, greatest(p_size, 20) as g, least(p_size, 20) as l from part"),
+    "I15_like": ("LIST k FROM Part has PartKey k AND ALSO has PartType t WHERE like(t, '%a%') AND contains(t, 'E') AND NOT starts_with(t, 'zz')", "select p_partkey as k from part where p_type ilike '%a%' and contains(lower(p_type), 'e')"),
+    "I17_dates": ("LIST k, year(d) AS y, month(d) AS m, day(d) AS x, days_between(d, '1995-01-01') AS n FROM Order has OrderKey k AND ALSO has OrderDate d", "select o_orderkey as k, cast(year(o_orderdate) as integer) as y, cast(month(o_orderdate) as integer) as m, cast(day(o_orderdate) as integer) as x, cast(datediff('day', date '1995-01-01', cast(o_orderdate as date)) as integer) as n from orders"),
+    "I20_casts": ("LIST k, castInteger(concat(s, ' pieces')) AS i, castNumber('x') AS z FROM Part has PartKey k AND ALSO has PartSize s", "select p_partkey as k, cast(p_size as bigint) as i, cast(null as double) as z from part"),
+    "I21_json": ("LIST k, castInteger(jsonPath(p, '$.k')) AS v, jsonObject('a', k, 'b', t) AS o FROM Event has EventKey k AND ALSO has EventProps p AND ALSO has EventType t", "select event_id as k, cast(json_extract(props, '$.k') as bigint) as v, '{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}' as o from events"),
+    # -- definitions ----------------------------------------------------------------
+    "J1_subtype": ("DEFINE Busy ::= LIST c FROM Customer c placed Order o AND ALSO THE COUNT OF o GROUPED BY c AS n WHERE n > 15\nLIST s, k FROM Busy b has Segment s AND ALSO THE COUNT OF b GROUPED BY s AS k", "select c_mktsegment as s, count(*) as k from customer where c_custkey in (select o_custkey from orders group by 1 having count(*) > 15) group by 1"),
+    "J2_fact": ("DEFINE Spent ::= LIST c, t FROM Customer c placed Order has TotalPrice p AND ALSO THE SUM OF p GROUPED BY c AS t\nLIST n, round(t, 2) AS spent FROM Customer has CustomerName n AND ALSO has Spent SpentT t", "select c_name as n, round(sum(o_totalprice), 2) as spent from customer join orders on o_custkey = c_custkey group by c_custkey, c_name"),
+    "J4_chain": ("DEFINE Spent ::= LIST c, t FROM Customer c placed Order has TotalPrice p AND ALSO THE SUM OF p GROUPED BY c AS t\nDEFINE Big ::= LIST c FROM Customer c has Spent SpentT t WHERE t > 2000000\nLIST n, k FROM Big b is from Nation has NationName n AND ALSO THE COUNT OF b GROUPED BY n AS k", "with s as (select o_custkey, sum(o_totalprice) as t from orders group by 1) select n_name as n, count(*) as k from s join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where t > 2000000 group by 1"),
+    "J8_violation": ("LIST k FROM Order has OrderKey k AND ALSO has TotalPrice t WHERE t <= 1000", "select o_orderkey as k from orders where o_totalprice <= 1000"),
+    # -- well-known reports -----------------------------------------------------------
+    "report_pricing": ("LIST f, s, round(q, 2) AS sum_qty, round(p, 2) AS sum_price, round(v, 2) AS sum_disc, round(m, 6) AS avg_disc, c FROM LineItem l has ReturnFlag f AND ALSO has LineStatus s AND ALSO has Quantity x AND ALSO has ExtendedPrice y AND ALSO has Discount d AND ALSO has ShipDate h AND ALSO THE SUM OF x GROUPED BY f, s AS q AND ALSO THE SUM OF y GROUPED BY f, s AS p AND ALSO THE SUM OF revenue(y, d) GROUPED BY f, s AS v AND ALSO THE AVERAGE d GROUPED BY f, s AS m AND ALSO THE COUNT OF l GROUPED BY f, s AS c WHERE days_between(h, '1998-09-02') <= 0", "select l_returnflag as f, l_linestatus as s, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_price, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc, round(avg(l_discount), 6) as avg_disc, count(*) as c from lineitem where cast(l_shipdate as date) <= date '1998-09-02' group by 1, 2"),
+    "report_local_suppliers": ("LIST n, round(r, 2) AS revenue FROM LineItem is of Order is placed by Customer is from Nation n1 AND ALSO is supplied by Supplier is based in Nation n1 AND ALSO n1 has NationName n AND ALSO has ExtendedPrice p AND ALSO has Discount d AND ALSO THE SUM OF revenue(p, d) GROUPED BY n AS r", "select n_name as n, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey and s_nationkey = c_nationkey join nation on n_nationkey = c_nationkey group by 1"),
+}
+PATHS["C25_confluence"] = (
+    "is in Region AS region, is home of Customer [has Segment: 'BUILDING'] has Balance AS balances EACH Nation",
+    "select n_nationkey as Nation, n_regionkey as region, coalesce((select list(c_acctbal order by c_acctbal) from customer where c_nationkey = n_nationkey and c_mktsegment = 'BUILDING'), []) as balances from nation",
+)
+PATHS["E9_group"] = (
+    "LIST s, y, c FROM Order o is placed by Customer has Segment s AND ALSO has OrderDate d AND ALSO year(d) AS y AND ALSO THE COUNT OF o GROUPED BY s, y AS c",
+    "select c_mktsegment as s, cast(year(o_orderdate) as integer) as y, count(*) as c from orders join customer on o_custkey = c_custkey group by 1, 2",
+)
+
+
+def _path(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(spark, tpch.model(), files(spark, sf_dir), text)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _path(FLAGSHIP)(spark, sf_dir)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: _path(text) for k, (text, _) in PATHS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in PATHS.items() if sql}
