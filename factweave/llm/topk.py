@@ -1,11 +1,13 @@
 """Exact top-k search without random access.
 
 A query's score is a sum over components, so each component is a list of
-candidates sorted by what they add. Lists are read in step from their best end.
-A candidate's lower bound counts the least each unread list could add, its upper
-bound the last value read there. Reading stops when the k-th best lower bound
-exceeds the upper bound of all but a few candidates, unseen ones included; these
-few are resolved to their final scores.
+candidates sorted by what they add: from its upper end for queries with a
+positive component there, from its lower end for the others. Lists are read in
+step, for a batch of queries at a time. A candidate's lower bound counts the
+least that each unread list could add, its upper bound the last value read
+there. A query stops when the k-th best lower bound exceeds the upper bound of
+all but a few candidates, unseen ones included; these few are resolved to their
+final scores.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 from .vectors import best, search, usable
 
 #: Depths, as shares of the lists, after which bounds are compared.
-DEPTHS = (0.15, 0.25, 0.35, 0.45, 0.55, 0.7, 0.85, 1.0)
+DEPTHS = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
+#: Queries that are read for together: bounds of one batch and block are held at a time.
+BATCH = 512
 
 
 class SortedLists:
@@ -25,53 +29,62 @@ class SortedLists:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
-
-    def top(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index, score) of the k best candidates whose id isn't the query's own."""
-        n = len(ids)
-        other = ids != own
-        lists = np.flatnonzero(query)
-        # lists of negative components are read from the other end
-        order = np.where((query[lists] > 0)[:, None], self.order[lists, ::-1], self.order[lists])
-        values = np.where((query[lists] > 0)[:, None], self.values[lists, ::-1], self.values[lists]) * query[lists][:, None]
-        contenders = np.flatnonzero(other)
-        if len(lists) and n > 64 and np.abs(values).max(axis=1).astype(float).sum() < 2.0**52:
-            worst = values[:, -1].astype(float)
-            lower = np.full(n, worst.sum())
-            unseen = np.ones((len(lists), n), dtype=np.float32)
-            read = 0
-            for depth in DEPTHS[:-1]:
-                upto = int(depth * n)
-                ids_read = order[:, read:upto]
-                lower += np.bincount(ids_read.ravel(), weights=(values[:, read:upto] - worst[:, None]).ravel(), minlength=n)
-                np.put_along_axis(unseen, ids_read, 0, axis=1)
-                read = upto
-                last = values[:, upto - 1].astype(float)
-                live = lower[other]
-                if len(live) <= k:
-                    break
-                floor = np.partition(live, len(live) - k)[len(live) - k]
-                # whole numbers, so that half a unit more keeps rounding on the safe side
-                upper = lower + ((last - worst).astype(np.float32) @ unseen).astype(float) * (1 + 1e-5) + 0.5
-                contenders = np.flatnonzero((upper >= floor) & other)
-                if len(contenders) <= max(8 * k, n // 100):
-                    break
-        scores = self.vectors[contenders] @ query
-        pick = best(scores, ids[contenders], k)
-        return contenders[pick], scores[pick]
+        large = np.abs(vectors).max(initial=0) > 2**30
+        self.real = vectors.astype(np.float64 if large else np.float32)
+        self.rising = np.argsort(vectors, axis=0, kind="stable")
+        self.low, self.high = self.real.min(axis=0), self.real.max(axis=0)
+
+    def batch(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
+        """(query, indexes, scores) of each query's k best candidates with another id than its own."""
+        n, kind = len(ids), self.real.dtype
+        up, down = np.maximum(queries, 0).T.astype(kind), np.minimum(queries, 0).T.astype(kind)
+        # what rounding may change in a sum of products, many times over
+        slack = 1e-4 * (np.abs(queries).astype(kind) @ np.maximum(np.abs(self.low), np.abs(self.high)) + 1)
+        active = np.arange(len(queries))
+        # what is known of each candidate: values read so far, and what unread ones are at least
+        above, below = np.broadcast_to(self.low, self.real.shape).copy(), np.broadcast_to(self.high, self.real.shape).copy()
+        seen_above, seen_below = np.zeros(above.shape, bool), np.zeros(above.shape, bool)
+        read = 0
+        for depth in DEPTHS:
+            upto = n if depth == 1 else int(depth * n)
+            if upto <= min(k, n - 1):
+                continue
+            for order, known, seen in ((self.rising[::-1], above, seen_above), (self.rising, below, seen_below)):
+                new = order[read:upto]
+                np.put_along_axis(known, new, np.take_along_axis(self.real, new, axis=0), axis=0)
+                np.put_along_axis(seen, new, True, axis=0)
+            read = upto
+            last_above = np.take_along_axis(self.real, self.rising[::-1][upto - 1 : upto], axis=0)
+            last_below = np.take_along_axis(self.real, self.rising[upto - 1 : upto], axis=0)
+            most_above, least_below = np.where(seen_above, above, last_above), np.where(seen_below, below, last_below)
+            lower = above @ up[:, active] + below @ down[:, active]
+            upper = most_above @ up[:, active] + least_below @ down[:, active]
+            same = ids[:, None] == own[active][None, :]
+            lower[same], upper[same] = -np.inf, -np.inf
+            floor = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(active), -np.inf, kind)
+            open_ = upper + slack[active] >= floor - slack[active]
+            open_ &= ~same
+            few = (open_.sum(axis=0) <= max(8 * k, n // 64)) | (upto == n)
+            for i in np.flatnonzero(few):
+                contenders = np.flatnonzero(open_[:, i])
+                scores = self.vectors[contenders] @ queries[active[i]]
+                pick = best(scores, ids[contenders], k)
+                yield active[i], contenders[pick], scores[pick]
+            active = active[~few]
+            if not len(active):
+                return
 
 
 def _run(k: int):
     def run(queries: np.ndarray, qid: np.ndarray, block: np.ndarray, cid: np.ndarray):
         lists = SortedLists(block)
-        q, c, s = [], [], []
-        for i, query in enumerate(queries):
-            index, score = lists.top(query, cid, qid[i], k)
-            q.append(np.full(len(index), i))
-            c.append(index)
-            s.append(score)
+        q, c, s = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
+        for first in range(0, len(queries), BATCH):
+            part = slice(first, first + BATCH)
+            for i, index, score in lists.batch(queries[part], qid[part], cid, k):
+                q.append(np.full(len(index), first + i))
+                c.append(index)
+                s.append(score)
         return np.concatenate(q), np.concatenate(c), np.concatenate(s)
 
     return run
