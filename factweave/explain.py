@@ -11,6 +11,7 @@ from .language import syntax as S
 from .language.parser import QueryError, parse
 from .model import Fact, Model
 
+STOP = {"the", "of", "a", "an", "has", "have", "is", "are", "and", "for", "in", "with", "what", "which", "how", "many", "each", "all", "list"}
 SEVERITY = {"risk": "!", "caution": "?", "note": "-"}
 
 
@@ -180,7 +181,8 @@ def schema(model: Model, relevant: set[str] | None = None, relational: bool = Fa
 
 
 def tokens(text: str) -> set[str]:
-    return {w.lower().rstrip("s") for w in re.findall(r"[A-Z]?[a-z]+|\d+", text)} - {"the", "of", "a", "an", "has", "is", "and", "for", "in", "with", "what", "which", "how", "many", "each", "all", "list"}
+    found = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|\d+", text)} - STOP
+    return {w.rstrip("s") for w in found}
 
 
 def link(model: Model, question: str, seeds: int = 40, hops: int = 1) -> set[str]:

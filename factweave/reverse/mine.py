@@ -55,7 +55,8 @@ class ColumnFacts:
 
 
 def facts(df: DataFrame) -> dict[str, ColumnFacts]:
-    return {r["column"]: ColumnFacts(r["rows"], r["nulls"], r["distinct"]) for r in profile(df).collect()}
+    found = {r["column"]: ColumnFacts(r["rows"], r["nulls"], r["distinct"]) for r in profile(df).collect()}
+    return {c: found[c] for c in plain(df) if c in found}
 
 
 def repeats(df: DataFrame, columns: tuple[str, ...]) -> bool:
