@@ -80,3 +80,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows_out: floa
     copies = copies.select("row", "copy", F.xxhash64(F.lit(seed), "own_id", "own_text", "copy").alias("order"))
     dealt = copies.repartition("order").sortWithinPartitions("order")
     return unpacked(dealt, F.col("copy").alias(replica_col)) if replica_col else unpacked(dealt)
+
+
+#: Rows of ``mix(documents)`` with its defaults, for means up to PART.
+ORACLE_SQL = """
+with recursive sized as (select source, count(*) as n from documents group by source),
+rate as (select source, 1.0::double / (select count(*) from sized)::double * (select sum(n) from sized)::double / n as mean from sized),
+steps(source, mean, k, p, c) as (
+  select source, mean, 0, exp(-mean), exp(-mean) from rate
+  union all
+  select source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) from steps where k < ceil(mean + 12 * sqrt(mean) + 30)),
+drawn as (
+  select doc_id, text, lang, source, n_chars,
+         ('0x' || substr(md5('7:0:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 13))::ubigint::double / pow(16, 13) as u
+  from documents),
+counted as (
+  select d.doc_id, d.text, d.lang, d.source, d.n_chars,
+         (select count(*) from steps s where s.source is not distinct from d.source and s.c < d.u) as times
+  from drawn d)
+select doc_id, text, lang, source, n_chars, cast(unnest(range(1, times + 1)) as integer) as replica from counted where times > 0
+"""

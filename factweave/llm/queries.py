@@ -55,4 +55,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": topk.ORACLE_SQL, "op5_chat_format": chat.ORACLE_SQL}
+    return {"op3_exact_top_k": topk.ORACLE_SQL, "op5_chat_format": chat.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}

@@ -5,9 +5,9 @@ feature is shared by all ordered thresholds t1 < ... < tK:
 
     P(grade >= k) = sigmoid(w . x - tk)
 
-and the expected severity is the sum of these over k. Features are words and
-word beginnings; a document has a feature or has it not, so neither length nor
-repetition moves the score. Fitting sees a bounded, documented sample of
+and the expected severity is the sum of these over k. Features are words, and
+word beginnings that at least one, two or three different words of the document
+share; a document has a feature or has it not. Fitting sees a bounded, documented sample of
 labelled rows; scoring reads every document.
 """
 
@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +30,28 @@ from .common import packed, ship, text_or_empty, unpacked
 SAMPLE = 3000
 #: Features kept at most, and how sure their link to the label must be.
 FEATURES = 20_000
-SURE = 3.0
+SURE = 4.2
 GRADES = 3
 #: P(grade >= 1) from which a document is rejected.
-REJECT = 0.4
+REJECT = 0.5
 _WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
+#: Numbers of different words with one beginning that are features.
+LEVELS = (1, 2, 3)
 
 
-def features_of(word: str) -> tuple[str, ...]:
-    return (word, *[f"{word[:n]}*" for n in STEMS if len(word) >= n])
+def stems_of(word: str) -> list[str]:
+    return [f"{word[:n]}*" for n in STEMS if len(word) >= n]
+
+
+def leveled(words: set[str], stems: dict[str, int]) -> set[str]:
+    return words | {f"{s}{k}" for s, n in stems.items() for k in LEVELS if n >= k}
 
 
 def features(text: str) -> set[str]:
-    return {f for w in set(_WORD.findall(text.lower())) for f in features_of(w)}
+    words = set(_WORD.findall(text.lower()))
+    return leveled(words, Counter(s for w in words for s in stems_of(w)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -59,18 +67,23 @@ class Model:
 
     def scorer(self):
         memo: dict[str, tuple[str, ...]] = {}
+        stems = {f[:-1] for f in self.weights if f[-2:-1] == "*"}
 
         def score(text: str) -> float:
-            found: set[str] = set()
+            words: set[str] = set()
+            counts: dict[str, int] = {}
             for word in set(_WORD.findall(text.lower())):
                 own = memo.get(word)
                 if own is None:
                     if len(memo) >= 200_000:
                         memo.clear()
-                    own = memo[word] = tuple(f for f in features_of(word) if f in self.weights)
-                if own:
-                    found.update(own)
-            return sum(self.weights[f] for f in sorted(found))
+                    own = memo[word] = (*([word] if word in self.weights else ()), *(s for s in stems_of(word) if s in stems))
+                for s in own:
+                    if s[-1] == "*":
+                        counts[s] = counts.get(s, 0) + 1
+                    else:
+                        words.add(s)
+            return sum(self.weights[f] for f in sorted(leveled(words, counts)) if f in self.weights)
 
         return score
 
@@ -79,13 +92,31 @@ class Model:
         return _sigmoid(np.asarray(scores, float)[:, None] - np.array(self.thresholds)[None, :])
 
 
+def originals(texts: list[str], labels: list[int]) -> list[int]:
+    """Indexes of documents without their near copies of the same label.
+
+    Copies would pass chance words off as common ones. Two documents are copies
+    if one of their two least shingle hashes agrees.
+    """
+    seen: set[tuple[int, int, int]] = set()
+    kept = []
+    for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
+        words = _WORD.findall(text.lower())
+        shingles = [" ".join(words[k : k + 5]).encode() for k in range(max(1, len(words) - 4))]
+        marks = [(label, salt, min(crc32(s, salt) for s in shingles)) for salt in (1, 2)]
+        if not any(m in seen for m in marks):
+            kept.append(i)
+        seen.update(marks)
+    return kept
+
+
 def select(texts: list[str], toxic: list[int]) -> dict[str, float]:
-    """Features that occur in toxic documents far more often than in others, with the log odds ratio in standard errors (6 at most)."""
+    """Features that occur in toxic documents far more often than in others, with the root of their G statistic (6 at most)."""
     bad, good = Counter(), Counter()
     for text, t in zip(texts, toxic, strict=True):
         if t:
             bad.update(features(text))
-    for f in [f for f, n in bad.items() if n < 4]:
+    for f in [f for f, n in bad.items() if n < 3]:
         del bad[f]
     for text, t in zip(texts, toxic, strict=True):
         if not t:
@@ -94,16 +125,18 @@ def select(texts: list[str], toxic: list[int]) -> dict[str, float]:
     kept = {}
     for f, a in bad.items():
         b = good[f]
-        odds = np.log((a + 0.5) / (n_bad - a + 0.5)) - np.log((b + 0.5) / (n_good - b + 0.5))
-        error = np.sqrt(1 / (a + 0.5) + 1 / (n_bad - a + 0.5) + 1 / (b + 0.5) + 1 / (n_good - b + 0.5))
-        if odds > SURE * error:
-            kept[f] = float(min(6.0, odds / error))
+        share = (a + b) / (n_bad + n_good)
+        if a / n_bad <= 2 * share:
+            continue
+        g = sum(2 * n * np.log(n / (size * p)) for n, size, p in ((a, n_bad, share), (b, n_good, share), (n_bad - a, n_bad, 1 - share), (n_good - b, n_good, 1 - share)) if n)
+        if g > SURE**2:
+            kept[f] = float(min(6.0, np.sqrt(g)))
     return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:FEATURES])
 
 
 def grade(texts: list[str], toxic: list[int], chosen: dict[str, float], grades: int = GRADES) -> np.ndarray:
-    """Severity grades from a binary label: toxic documents fall into equal parts by their number of chosen words for each word."""
-    dose = np.array([sum(any(f in chosen for f in features_of(w)) for w in _WORD.findall(t.lower())) / max(1, len(t)) for t in texts])
+    """Severity grades from a binary label: toxic documents fall into equal parts by their chosen features."""
+    dose = np.array([sum(chosen.get(f, 0.0) for f in features(t)) for t in texts])
     out = np.array(toxic, dtype=int)
     bad = np.flatnonzero(out)
     if len(bad):
@@ -112,10 +145,12 @@ def grade(texts: list[str], toxic: list[int], chosen: dict[str, float], grades:
     return out
 
 
-def fit_grades(texts: list[str], grades: np.ndarray, chosen: dict[str, float], top: int = GRADES, rounds: int = 400, decay: float = 1e-3) -> Model:
+def fit_grades(texts: list[str], grades: np.ndarray, chosen: dict[str, float], top: int = GRADES, rounds: int = 400, decay: float = 3e-3) -> Model:
     """Maximum likelihood with a small quadratic penalty, by Adam from a fixed start.
 
     Features count the more, and are penalised the less, the surer their link is.
+    Toxic and clean documents weigh the same in all, so the sample's share of
+    toxic ones does not move the thresholds.
     """
     names = sorted(chosen)
     scale = np.array([(chosen[f] / 4) ** 2 for f in names])
@@ -129,6 +164,8 @@ def fit_grades(texts: list[str], grades: np.ndarray, chosen: dict[str, float], t
     w, t = np.full(len(names), 0.5), np.arange(1.0, top + 1)
     order = np.arange(1, top + 1)
     seen = (grades[:, None] == np.arange(top + 1)[None, :]).astype(float)
+    sick = max(1, int((grades > 0).sum()))
+    weight = np.where(grades > 0, n / 2 / sick, n / 2 / max(1, n - sick))[:, None]
     m, v, p = np.zeros(len(w) + top), np.zeros(len(w) + top), np.concatenate([w, t])
     for step in range(1, rounds + 1):
         w, t = p[: len(w)], p[len(w) :]
@@ -139,12 +176,14 @@ def fit_grades(texts: list[str], grades: np.ndarray, chosen: dict[str, float], t
         slope = above * (1 - above)
         # d(-log chance) by each P(grade >= k)
         by_above = seen[:, :-1] / chance[:, :-1] - seen[:, 1:] / chance[:, 1:]
-        pull = by_above * slope
+        pull = weight * by_above * slope
         g_x = pull.sum(axis=1)
         g_w = (np.bincount(cols, weights=g_x[rows], minlength=len(w)) if len(rows) else np.zeros(len(w))) * scale / n + decay * w
         g = np.concatenate([g_w, -pull.sum(axis=0) / n])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        # features were chosen because they speak for toxicity: none may speak against it
+        p[: len(w)] = np.maximum(p[: len(w)], 0)
         p[len(w) :] = np.maximum.accumulate(p[len(w) :] + 1e-6 * order)
     return Model({f: float(x) for f, x in zip(names, p[: len(names)] * scale, strict=True)}, [float(x) for x in p[len(names) :]])
 
@@ -163,6 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     texts, toxic = [r[1] for r in got], [r[2] for r in got]
     if not any(toxic):
         return Model({}, [20.0 + k for k in range(GRADES)])
+    kept = originals(texts, toxic)
+    texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
     picked = select(texts, toxic)
     return fit_grades(texts, grade(texts, toxic, picked), picked)
 
