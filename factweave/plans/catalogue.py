@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from ..sources.tables import files
+from ..reverse import derive, mine
+from ..sources.tables import files, frames
 from . import tpch
 from .compiler import run
 
@@ -143,6 +145,83 @@ PATHS["E9_group"] = (
 )
 
 
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of turns each conversation's chain connects."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    step = F.col("conv_id") * 100_000 + F.col("turn")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    steps = turns.select("conv_id", step.alias("step"), F.lead(step).over(order).alias("next_step"))
+    text = "LIST c, n FROM Step a has ConversationKey c AND ALSO a has Reach Step b AND ALSO THE COUNT OF b GROUPED BY c AS n"
+    return run(spark, tpch.conversations(), frames(steps=steps), text)
+
+
+def _mined(table: str, work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: work(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def unique_rows(df: DataFrame) -> DataFrame:
+    found = mine.unique_sets(df, mine.facts(df), 2)
+    return df.sparkSession.createDataFrame([(", ".join(u),) for u in found], "columns string")
+
+
+REFERENCES = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("events", "user_id", "customer", "c_custkey"), ("customer", "c_custkey", "events", "user_id"), ("orders", "o_orderkey", "lineitem", "l_orderkey"), ("documents", "doc_id", "labels", "doc_id"))
+
+
+def orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: for each pair, how many of the child's values the parent lacks."""
+    read = files(spark, sf_dir)
+    out = None
+    for child, column, parent, key in REFERENCES:
+        one = mine.missing(read(child), (column,), read(parent), (key,)).agg(F.count(F.lit(1)).alias("orphans"))
+        one = one.select(F.lit(f"{child}.{column}").alias("child"), F.lit(f"{parent}.{key}").alias("parent"), "orphans")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K2, K7: keys and references that the rows alone give, as rows."""
+    read = files(spark, sf_dir)
+    catalog, _, _ = derive.mine_keys({n: read(n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")})
+    rows = [(n, "key", ", ".join(t.key), "") for n, t in catalog.items()]
+    rows += [(n, "reference", ", ".join(f.columns), f.table) for n, t in catalog.items() for f in t.foreign]
+    return spark.createDataFrame(rows, "table string, kind string, columns string, target string")
+
+
+def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape, leaves = mine.json_shape(spark.read.parquet(f"{sf_dir}/events.parquet"), "props")
+    return spark.createDataFrame([(shape, p, k) for p, k in leaves.items()], "shape string, path string, kind string")
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do an order's customer and its suppliers lead to the same nations?"""
+    ask = lambda t: run(spark, tpch.model(), files(spark, sf_dir), t)
+    customers = ask("LIST o, n FROM Order o is placed by Customer is from Nation n")
+    suppliers = ask("LIST o, n FROM Order o has LineItem is supplied by Supplier is based in Nation n")
+    return mine.routes_agree(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", customers, suppliers)
+
+
+def _profile_sql(table: str, *columns: str) -> str:
+    return " union all ".join(f"select '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as nulls, count(distinct {c}) as \"distinct\" from {table}" for c in columns)
+
+
+#: key: (function, SQL or none)
+FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "J6_closure": (closure, "with recursive t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as p from conversations), r(conv_id, a, b) as (select conv_id, p, p + 1 from t where p < (select count(*) from t x where x.conv_id = t.conv_id) union select r.conv_id, r.a, r.b + 1 from r where r.b < (select count(*) from t x where x.conv_id = r.conv_id)) select conv_id as c, count(*) as n from r group by 1"),
+    "K1_recovered": (recovered, None),
+    "K5_profile": (_mined("orders", mine.profile), _profile_sql("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")),
+    "K6_unique": (_mined("nation", unique_rows), "select 'n_nationkey' as columns from nation having count(distinct n_nationkey) = count(*) union all select 'n_name' from nation having count(distinct n_name) = count(*)"),
+    "K8_orphans": (orphan_counts, " union all ".join(f"select '{c}.{a}' as child, '{p}.{k}' as parent, count(distinct {a}) as orphans from {c} where {a} is not null and {a} not in (select {k} from {p})" for c, a, p, k in REFERENCES)),
+    "K13_domains": (_mined("customer", lambda df: mine.domains(df.select("c_mktsegment", "c_name"))), "select 'c_mktsegment' as \"column\", c_mktsegment as value, count(*) as n from customer group by 2"),
+    "K15_null_patterns": (_mined("supplier", lambda df: mine.null_patterns(df, ["s_name", "s_acctbal"])), "select 's_name' as \"left\", 's_acctbal' as \"right\", count(*) as rows, cast(sum(case when s_name is not null and s_acctbal is not null then 1 else 0 end) as bigint) as both, cast(sum(case when s_name is null and s_acctbal is null then 1 else 0 end) as bigint) as neither, cast(sum(case when (s_name is null) <> (s_acctbal is null) then 1 else 0 end) as bigint) as one from supplier"),
+    "K16_comparisons": (_mined("lineitem", lambda df: mine.comparisons(df, [("l_discount", "l_quantity"), ("l_quantity", "l_tax")])), " union all ".join(f"select '{a}' as low, '{b}' as high, count(*) as rows, cast(sum(case when {a} > {b} then 1 else 0 end) as bigint) as broken from lineitem" for a, b in (("l_discount", "l_quantity"), ("l_quantity", "l_tax")))),
+    "K19_dependencies": (_mined("part", lambda df: mine.dependencies(df, [("p_partkey", "p_brand"), ("p_brand", "p_type"), ("p_size", "p_type")])), " union all ".join(f"select '{a}' as determinant, '{b}' as dependent, count(*) as groups, cast(sum(case when n > 1 then 1 else 0 end) as bigint) as broken from (select {a}, count(distinct {b}) as n from part group by 1)" for a, b in (("p_partkey", "p_brand"), ("p_brand", "p_type"), ("p_size", "p_type")))),
+    "K23_quality": (_mined("nation", mine.quality), "select '' as \"column\", '' as finding, cast(0 as bigint) as \"values\", cast(0 as bigint) as rows where false"),
+    "K25_routes": (routes, "with a as (select o_orderkey as k, [c_nationkey] as x from orders join customer on o_custkey = c_custkey), b as (select l_orderkey as k, list_sort(list(distinct s_nationkey)) as y from lineitem join supplier on l_suppkey = s_suppkey group by 1) select cast(sum(case when x = y then 1 else 0 end) as bigint) as agree, cast(sum(case when x <> y then 1 else 0 end) as bigint) as differ, cast(sum(case when y is null then 1 else 0 end) as bigint) as only_first, cast(0 as bigint) as only_second from a left join b using (k)"),
+    "K26_structure": (lambda spark, d: mine.structure(spark.read.parquet(f"{d}/orders.parquet"), "o_custkey", spark.read.parquet(f"{d}/customer.parquet"), "c_custkey"), "select count(*) as parents, count(n) as covered, cast(coalesce(sum(n), 0) as bigint) as rows, coalesce(max(n), 0) as most from customer left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey"),
+    "K29_json_shape": (json_leaves, "select 'record' as shape, '$.k' as path, 'bigint' as kind"),
+}
+
+
 def _path(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run(spark, tpch.model(), files(spark, sf_dir), text)
 
@@ -152,8 +231,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _path(text) for k, (text, _) in PATHS.items()}
+    return {k: _path(text) for k, (text, _) in PATHS.items()} | {k: f for k, (f, _) in FRAMES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in PATHS.items() if sql}
+    return {k: sql for k, (_, sql) in PATHS.items() if sql} | {k: sql for k, (_, sql) in FRAMES.items() if sql}
