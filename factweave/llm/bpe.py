@@ -47,6 +47,10 @@ _WORD_START = re.compile(" (?=[!-;=-~¡-ᙿᚁ-᠍᠏-῿⁰-⿿、-﻾＀-\U001
 #: Text bytes in a block, and listed words in a bucket, to aim at.
 BLOCK_BYTES = 16 << 20
 BUCKET_WORDS = 200_000
+#: Blocks that meet in a bucket at most, so that a word that all blocks list does
+#: not gather them all in one task. Beyond it (a terabyte of text) a word is
+#: encoded once for each so many blocks.
+BUCKET_BLOCKS = 65_536
 
 
 def words_of(text: str) -> list[str]:
@@ -82,7 +86,7 @@ def _chunks(table: pa.Table) -> Iterator[pa.Table]:
         yield pa.ipc.open_stream(chunk.as_py()).read_all()
 
 
-def _list_words(n_buckets: int):
+def _list_words(n_buckets: int, shares: int):
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -96,15 +100,16 @@ def _list_words(n_buckets: int):
                 first.add(words[0])
                 later.update(words[1:])
         first.discard("")
+        block = table.column("block")[0].as_py()
+        share = block % shares
         buckets: dict[int, list[bytes]] = {}
         for word in first:
             b = word.encode()
-            buckets.setdefault(zlib.crc32(b) % n_buckets, []).append(b)
+            buckets.setdefault(zlib.crc32(b) % n_buckets * shares + share, []).append(b)
         for word in later:
             b = b" " + word.encode()
-            buckets.setdefault(zlib.crc32(b) % n_buckets, []).append(b)
+            buckets.setdefault(zlib.crc32(b) % n_buckets * shares + share, []).append(b)
         pack = zstandard.ZstdCompressor(level=3).compress
-        block = table.column("block")[0].as_py()
         # NUL ends each word; a NUL inside a word is written as the byte 0xFF, which UTF-8 never holds
         lists = {k: pack(b"\0".join(w.replace(b"\0", b"\xff") for w in sorted(v))) for k, v in buckets.items()}
         return pa.table([pa.array([block] * len(lists), pa.int64()), pa.array(list(lists), pa.int64()), pa.array(list(lists.values()), pa.binary())], schema=schema)
@@ -227,7 +232,7 @@ def encode(docs: DataFrame, file: TokenizerFile, keep: list[str], text_col: str
     arrow_row = to_arrow_type(row_type)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("row", "content"), F.lit(n_blocks)))
     dealt = dealt.mapInArrow(_pack(arrow_row), "block long, chunk binary").repartition("block")
-    lists = dealt.groupBy("block").applyInArrow(_list_words(n_buckets), "block long, bucket long, words binary")
+    lists = dealt.groupBy("block").applyInArrow(_list_words(n_buckets, -(-n_blocks // BUCKET_BLOCKS)), "block long, bucket long, words binary")
     answers = lists.groupBy("bucket").applyInArrow(_answer(file), "block long, words binary, ids binary")
     out = T.StructType([T.StructField("row", row_type), T.StructField("n_tokens", T.LongType())])
     out = out.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else out.add("ids", T.ArrayType(T.IntegerType()))

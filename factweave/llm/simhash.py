@@ -7,7 +7,9 @@ a pair whose sum exceeds the budget is pruned with all that lies below it.
 The top levels of the walk are dealt over tasks: a task owns the pairs of
 subtrees whose smaller prefix is its own, so every fingerprint goes to its own
 task and to those of the lower prefixes that differ from its own in at most
-``budget`` bits. Each task then walks its part with arrays of node ranges, a
+``budget`` bits. A subtree that holds far more fingerprints than others is cut
+into chunks, and each pair of chunks is a task, so no task's rows grow with the
+largest subtree. Each task then walks its part with arrays of node ranges, a
 bounded number of node pairs at a time, and returns a spanning forest of the
 links it found: no link is lost, and dense groups cost no more rows than they
 have members. Copies share a fingerprint and never meet as pairs.
@@ -28,6 +30,8 @@ from .components import components
 
 #: Fingerprints below one top prefix to aim at, and node pairs held at a time.
 SUBTREE = 4096
+#: A subtree is cut into chunks of this many.
+CHUNK = 8 * SUBTREE
 FRONTIER = 1 << 19
 
 
@@ -142,17 +146,23 @@ def _walk(prefix_bits: int, budget: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        own = key[0].as_py()
-        keys = np.sort(table.column("fp").to_numpy().view(np.uint64))
-        tops = (keys >> np.uint64(64 - prefix_bits)).astype(np.int64) if prefix_bits else np.zeros(len(keys), np.int64)
-        forest = _Forest(len(keys))
-        mine = np.searchsorted(tops, [own, own + 1])
-        for other in np.unique(tops[mine[0] :]) if mine[0] < mine[1] else []:
+        own, i, j = (k.as_py() for k in key)
+        keys = table.column("fp").to_numpy().view(np.uint64)
+        member = table.column("member").to_numpy(zero_copy_only=False)
+        members, visitors = np.unique(keys[member]), np.unique(keys[~member])
+        every = np.union1d(members, visitors)
+        forest = _Forest(len(every))
+        mine, theirs = np.searchsorted(every, members), np.searchsorted(every, visitors)
+        if i == j:
+            for x, y in trie_pairs(members, members, budget, True, prefix_bits):
+                forest.add(mine[x], mine[y])
+        tops = (visitors >> np.uint64(64 - prefix_bits)).astype(np.int64) if prefix_bits else np.zeros(len(visitors), np.int64)
+        for other in np.unique(tops) if len(members) else []:
             lo, hi = np.searchsorted(tops, [other, other + 1])
-            for i, j in trie_pairs(keys[mine[0] : mine[1]], keys[lo:hi], budget, other == own, prefix_bits, int(np.bitwise_count(other ^ own))):
-                forest.add(i + mine[0], j + lo)
-        linked = np.flatnonzero(forest.label != np.arange(len(keys)))
-        return pa.table([pa.array(keys[linked].view(np.int64)), pa.array(keys[forest.label[linked]].view(np.int64))], schema=schema)
+            for x, y in trie_pairs(members, visitors[lo:hi], budget, False, prefix_bits, int(np.bitwise_count(other ^ own))):
+                forest.add(mine[x], theirs[lo:hi][y])
+        linked = np.flatnonzero(forest.label != np.arange(len(every)))
+        return pa.table([pa.array(every[linked].view(np.int64)), pa.array(every[forest.label[linked]].view(np.int64))], schema=schema)
 
     return run
 
@@ -167,9 +177,27 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     n = distinct.count()
     bits = min(24, max(0, (n // SUBTREE).bit_length()))
     top = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
-    flips = [0] + [sum(1 << k for k in c) for d in range(1, budget + 1) for c in combinations(range(bits), d)]
-    owner = F.explode(F.filter(F.array(*[top.bitwiseXOR(F.lit(x).cast("long")) for x in flips]), lambda p: p <= top))
-    return distinct.select("fp", owner.alias("owner")).groupBy("owner").applyInArrow(_walk(bits, budget), "u long, v long")
+    rows = distinct.select("fp", top.alias("top"))
+    flips = [sum(1 << k for k in c) for d in range(1, budget + 1) for c in combinations(range(bits), d)]
+    near = lambda p: F.array(*[p.bitwiseXOR(F.lit(x).cast("long")) for x in flips]) if flips else F.array().cast("array<long>")
+    lower = F.explode(F.filter(near(F.col("top")), lambda p: p < F.col("top"))).alias("owner")
+    large = rows.groupBy("top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("top", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    large = materialise(large, "subtrees")
+    zero = F.lit(0)
+    if large.isEmpty():
+        members = rows.select(F.col("top").alias("owner"), zero.alias("i"), zero.alias("j"), "fp", F.lit(True).alias("member"))
+        visitors = rows.select(lower, zero.alias("i"), zero.alias("j"), "fp", F.lit(False).alias("member"))
+    else:
+        one = F.lit(1)
+        rows = rows.join(large, "top", "left").select("fp", "top", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", one)).cast("int").alias("chunk"))
+        # an owner's chunks meet as many chunks of visitors as its largest neighbour, or it itself, has
+        wide = large.select(F.explode(F.concat(F.array("top"), near(F.col("top")))).alias("top"), "chunks").groupBy("top").agg(F.max("chunks").alias("meets"))
+        members = rows.join(wide, "top", "left").select(F.col("top").alias("owner"), F.col("chunk").alias("i"), F.explode(F.sequence(zero, F.coalesce("meets", one) - 1)).alias("j"), "fp", F.lit(True).alias("member"))
+        across = rows.select(lower, "fp", "chunk").join(large.withColumnRenamed("top", "owner"), "owner", "left")
+        across = across.select("owner", F.explode(F.sequence(zero, F.coalesce("chunks", one) - 1)).alias("i"), F.col("chunk").alias("j"), "fp", F.lit(False).alias("member"))
+        within = rows.where("chunk > 0").select(F.col("top").alias("owner"), F.explode(F.sequence(zero, F.col("chunk") - 1)).alias("i"), F.col("chunk").alias("j"), "fp", F.lit(False).alias("member"))
+        visitors = across.union(within)
+    return members.union(visitors).groupBy("owner", "i", "j").applyInArrow(_walk(bits, budget), "u long, v long")
 
 
 def classes(rows: DataFrame, budget: int = 2) -> DataFrame:

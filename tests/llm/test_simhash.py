@@ -74,8 +74,10 @@ def test_trie_finds_all_pairs(seed):
     assert cross == set(zip(*np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= 2)))
 
 
-def test_links_over_many_subtrees(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [10**9, 7])
+def test_links_over_many_subtrees(spark, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "SUBTREE", 16)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**64, 150, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)), base ^ np.uint64(3 << 62)]))
@@ -87,7 +89,9 @@ def test_links_over_many_subtrees(spark, monkeypatch):
     assert {by_fp[r.fp % 2**64]: r.component_id for r in got} == want
 
 
-def test_a_dense_ball_costs_no_more_links_than_members(spark):
+@pytest.mark.parametrize("chunk", [10**9, 300])
+def test_a_dense_ball_costs_no_more_links_than_members(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     centre = 0x0123456789ABCDEF
     ball = sorted({centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(64)})
     df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in ball], "fp long")
