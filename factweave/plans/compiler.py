@@ -1063,6 +1063,10 @@ class Compiler:
         else:
             if not frame.grouped and a.function not in EXEMPT and not a.distinct:
                 self.refuse_multiplied(frame, read, nodes, "a value WITHIN a partition")
+            if not keys:
+                # one partition: one aggregate beside all rows, instead of all rows in one task
+                frame.df = frame.df.crossJoin(F.broadcast(frame.df.agg(self.fold(frame, a, value, a.distinct).alias(p.col))))
+                return
             if a.distinct and a.function == "count":
                 out = F.size(F.collect_set(value).over(by)).cast("long")
             else:

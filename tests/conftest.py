@@ -1,10 +1,9 @@
 import tempfile
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import SparkSession
 
-from factweave.model import Model, Role
+from factweave.model import Model
 from factweave.plans.compiler import run
 from factweave.sources.tables import frames
 
@@ -42,7 +41,6 @@ def company_model() -> Model:
 
 @pytest.fixture(scope="session")
 def company(spark):
-    d = Decimal
     tables = {
         "department": spark.createDataFrame([("SALES", "Sales", 900000.0), ("ENG", "Engineering", 2400000.0), ("HR", "People", 300000.0)], "dept_code string, dept_name string, budget double"),
         "employee": spark.createDataFrame(
@@ -53,7 +51,6 @@ def company(spark):
         "project": spark.createDataFrame([("P1", "Mercury", 1), ("P2", "Venus", 3), ("P3", "Mars", 5)], "proj_code string, proj_name string, priority int"),
         "assignment": spark.createDataFrame([(1, "P1", 10), (1, "P2", 20), (2, "P1", 30), (3, "P2", 5), (3, "P3", 15), (4, "P1", 8), (5, "P3", 40)], "emp_nr int, proj_code string, hours int"),
     }
-    assert d
     source = frames(**tables)
     model = company_model()
 
@@ -63,5 +60,3 @@ def company(spark):
     ask.model, ask.source, ask.tables = model, source, tables
     return ask
 
-
-__all__ = ["Role"]
