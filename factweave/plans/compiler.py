@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.aggregates import AGGREGATES as OWN
 from ..functions.scalar import FUNCTIONS, number
 from ..language import syntax as S
 from ..language.parser import Parser, QueryError, parse
@@ -74,7 +75,12 @@ class Compiler:
         """Range over a type's population."""
         m = self.model
         if frame.roots:
-            raise QueryError(f"{name} is not connected to {frame.roots[0].type}: a query ranges over one connected path")
+            self.ctx.judge(f"{name} is not connected to {frame.roots[0].type}: a query ranges over one connected path")
+            apart = Frame(self.ctx, frame.outer)
+            node = self.start(apart, name)
+            frame.df = frame.df.crossJoin(apart.df)
+            frame.roots.append(node)
+            return node
         if name in m.values:
             found = m.carriers(name)
             places = {(f.table, f.roles[i].columns, f.roles[i].path) for f, i in found}
@@ -759,6 +765,8 @@ class Compiler:
             pairs = F.array_sort(F.collect_list(F.struct(self.expr(frame, a.by).cast("string").alias("key"), value.alias("value"))))
             keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
             return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"])))
+        if f in OWN:
+            return OWN[f](value)
         return {"avg": F.avg, "min": F.min, "max": F.max, "median": F.median, "stddev": F.stddev_samp, "variance": F.var_samp}[f](value)
 
     def ordered(self, frame: Frame, a: S.Aggregate, value: Column) -> Column:

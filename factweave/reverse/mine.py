@@ -436,3 +436,20 @@ def structure(child: DataFrame, reference: str, parent: DataFrame, key: str) ->
 def partition_or_subtype(child: DataFrame, parent: DataFrame, share: float = 0.995) -> str:
     """A one-to-one table with almost all of the parent's rows is the rest of it; else a subtype."""
     return "partition" if child.count() >= share * parent.count() else "subtype"
+
+
+def document_quality(df: DataFrame, column: str, leaves: dict[str, str]) -> DataFrame:
+    """The findings of ``quality`` for the leaves of a document column, by path."""
+    paths = [F.get_json_object(F.col(f"`{column}`"), p).alias(p.removeprefix("$.").replace(".", "_")) for p in leaves]
+    if not paths:
+        return df.sparkSession.createDataFrame([], "column string, finding string, values long, rows long")
+    return quality(df.select(*paths))
+
+
+def referenced_key(df: DataFrame, known: dict[str, ColumnFacts], key: tuple[str, ...], references: list[tuple[str, ...]]) -> tuple[str, ...]:
+    """The unique, never-null columns that most references use, rather than a key that none does."""
+    counts = {r: references.count(r) for r in set(references)}
+    usable = [r for r in counts if all(known[c].never_null for c in r) and not repeats(df, r)]
+    if not usable or key in counts:
+        return key
+    return max(sorted(usable), key=counts.__getitem__)
