@@ -77,9 +77,9 @@ def _halves(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.
 def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool, depth: int = 0, spent: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) with a[i] and b[j] at most ``budget`` bits apart.
 
-    a, b: sorted distinct uint64, each with one common prefix of ``depth``
-    bits; the prefixes differ in ``spent`` bits. With ``same``, a is b and only
-    i < j are given.
+    a, b: sorted uint64, each with one common prefix of ``depth`` bits; the
+    prefixes differ in ``spent`` bits. With ``same``, a is b and only i < j are
+    given. Equal keys are pairs too.
     """
     if not len(a) or not len(b):
         return
@@ -91,9 +91,25 @@ def trie_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool, depth: int
             half = len(alo) // 2
             stack += [(d, *(x[:half] for x in (alo, ahi, blo, bhi, cost))), (d, *(x[half:] for x in (alo, ahi, blo, bhi, cost)))]
             continue
-        small = (ahi - alo) * (bhi - blo) <= 16
+        size = (ahi - alo) * (bhi - blo)
+        if d == 64 and size.max() > FRONTIER:
+            # many equal keys: halve their range until its pairs fit
+            k = int(size.argmax())
+            mid = (alo[k] + ahi[k]) // 2 if ahi[k] - alo[k] > 1 else ahi[k]
+            cut = (blo[k] + bhi[k]) // 2
+            parts = [(x, y, z, w) for x, y in ((alo[k], mid), (mid, ahi[k])) for z, w in ((blo[k], cut), (cut, bhi[k])) if x < y and z < w and (not same or x < w)]
+            keep = np.arange(len(size)) != k
+            alo, ahi, blo, bhi = (np.concatenate([x[keep], [q[i] for q in parts]]).astype(np.int64) for i, x in enumerate((alo, ahi, blo, bhi)))
+            stack.append((d, alo, ahi, blo, bhi, np.concatenate([cost[keep], np.full(len(parts), cost[k])])))
+            continue
+        small = size <= 16
         if d == 64:
-            small[:] = True
+            small = np.cumsum(size) <= max(FRONTIER, int(size[0]))
+            if not small.all():
+                rest_ = ~small
+                stack.append((d, *(x[rest_] for x in (alo, ahi, blo, bhi, cost))))
+                alo, ahi, blo, bhi, cost = (x[small] for x in (alo, ahi, blo, bhi, cost))
+                small = np.ones(len(alo), bool)
         if small.any():
             l, w = alo[small], (bhi - blo)[small]
             n = (ahi[small] - l) * w
@@ -142,62 +158,79 @@ class _Forest:
                 self.label = up
 
 
-def _walk(prefix_bits: int, budget: int):
+def _walk(prefix_bits: int, budget: int, near: int | None):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        own, i, j = (k.as_py() for k in key)
-        keys = table.column("fp").to_numpy().view(np.uint64)
+        own, i, j = (k.as_py() for k in key[1:])
+        keys, ids = (table.column(c).to_numpy().view(np.uint64) for c in ("key", "fp"))
         member = table.column("member").to_numpy(zero_copy_only=False)
-        members, visitors = np.unique(keys[member]), np.unique(keys[~member])
-        every = np.union1d(members, visitors)
+        marks = table.column("marks").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(keys), -1) if near is not None else None
+        every, place = np.unique(ids, return_inverse=True)
         forest = _Forest(len(every))
-        mine, theirs = np.searchsorted(every, members), np.searchsorted(every, visitors)
+        order = np.argsort(keys, kind="stable")
+        mine, theirs = order[member[order]], order[~member[order]]
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            if marks is not None:
+                close = np.bitwise_count(marks[a] ^ marks[b]).sum(axis=1) <= near
+                a, b = a[close], b[close]
+            forest.add(place[a], place[b])
+
         if i == j:
-            for x, y in trie_pairs(members, members, budget, True, prefix_bits):
-                forest.add(mine[x], mine[y])
-        tops = (visitors >> np.uint64(64 - prefix_bits)).astype(np.int64) if prefix_bits else np.zeros(len(visitors), np.int64)
-        for other in np.unique(tops) if len(members) else []:
+            for x, y in trie_pairs(keys[mine], keys[mine], budget, True, prefix_bits):
+                add(mine[x], mine[y])
+        tops = (keys[theirs] >> np.uint64(64 - prefix_bits)).astype(np.int64) if prefix_bits else np.zeros(len(theirs), np.int64)
+        for other in np.unique(tops) if len(mine) else []:
             lo, hi = np.searchsorted(tops, [other, other + 1])
-            for x, y in trie_pairs(members, visitors[lo:hi], budget, False, prefix_bits, int(np.bitwise_count(other ^ own))):
-                forest.add(mine[x], theirs[lo:hi][y])
+            for x, y in trie_pairs(keys[mine], keys[theirs[lo:hi]], budget, False, prefix_bits, int(np.bitwise_count(other ^ own))):
+                add(mine[x], theirs[lo:hi][y])
         linked = np.flatnonzero(forest.label != np.arange(len(every)))
         return pa.table([pa.array(every[linked].view(np.int64)), pa.array(every[forest.label[linked]].view(np.int64))], schema=schema)
 
     return run
 
 
-def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
-    """Links (u, v) that connect all fingerprints at most ``budget`` bits apart.
+def links(nodes: DataFrame, budget: int = 2, near: int | None = None, subtree: int | None = None) -> DataFrame:
+    """Links (u, v) that connect all nodes whose keys are at most ``budget`` bits apart.
 
-    distinct: one non-null column fp (long) without repeats. The links form a
-    spanning forest within each task, so their components are those of all
-    pairs.
+    nodes: (fp long) without nulls or repeats, the key being fp itself; or
+    (fp, keys, marks), where a node has one key for each trie and marks, arrays
+    of long, whose differing bits must not exceed ``near`` for a link. The links
+    form a spanning forest within each task, so their components are those of
+    all pairs.
     """
-    n = distinct.count()
-    bits = min(24, max(0, (n // SUBTREE).bit_length()))
-    top = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = distinct.select("fp", top.alias("top"))
+    n = nodes.count()
+    subtree = subtree or SUBTREE
+    bits = min(24, max(0, (n // subtree).bit_length()))
+    if near is None:
+        rows = nodes.select(F.lit(0).alias("trie"), F.col("fp").alias("key"), "fp", F.lit(None).cast("array<bigint>").alias("marks"))
+    else:
+        rows = nodes.select(F.posexplode("keys").alias("trie", "key"), "fp", "marks")
+    top = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+    rows = rows.withColumn("top", top)
     flips = [sum(1 << k for k in c) for d in range(1, budget + 1) for c in combinations(range(bits), d)]
-    near = lambda p: F.array(*[p.bitwiseXOR(F.lit(x).cast("long")) for x in flips]) if flips else F.array().cast("array<long>")
-    lower = F.explode(F.filter(near(F.col("top")), lambda p: p < F.col("top"))).alias("owner")
-    large = rows.groupBy("top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("top", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    about = lambda p: F.array(*[p.bitwiseXOR(F.lit(x).cast("long")) for x in flips]) if flips else F.array().cast("array<long>")
+    lower = F.explode(F.filter(about(F.col("top")), lambda p: p < F.col("top"))).alias("owner")
+    chunk = max(CHUNK, 4 * subtree)
+    large = rows.groupBy("trie", "top").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("trie", "top", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     large = materialise(large, "subtrees")
-    zero = F.lit(0)
+    zero, own = F.lit(0), ("key", "fp", "marks")
+    out = lambda df, owner, i, j, member: df.select("trie", owner, i.alias("i"), j.alias("j"), *own, F.lit(member).alias("member"))
     if large.isEmpty():
-        members = rows.select(F.col("top").alias("owner"), zero.alias("i"), zero.alias("j"), "fp", F.lit(True).alias("member"))
-        visitors = rows.select(lower, zero.alias("i"), zero.alias("j"), "fp", F.lit(False).alias("member"))
+        members = out(rows, F.col("top").alias("owner"), zero, zero, True)
+        visitors = out(rows, lower, zero, zero, False)
     else:
         one = F.lit(1)
-        rows = rows.join(large, "top", "left").select("fp", "top", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", one)).cast("int").alias("chunk"))
+        rows = rows.join(large, ["trie", "top"], "left").select("trie", "top", *own, F.pmod(F.xxhash64("fp"), F.coalesce("chunks", one)).cast("int").alias("chunk"))
         # an owner's chunks meet as many chunks of visitors as its largest neighbour, or it itself, has
-        wide = large.select(F.explode(F.concat(F.array("top"), near(F.col("top")))).alias("top"), "chunks").groupBy("top").agg(F.max("chunks").alias("meets"))
-        members = rows.join(wide, "top", "left").select(F.col("top").alias("owner"), F.col("chunk").alias("i"), F.explode(F.sequence(zero, F.coalesce("meets", one) - 1)).alias("j"), "fp", F.lit(True).alias("member"))
-        across = rows.select(lower, "fp", "chunk").join(large.withColumnRenamed("top", "owner"), "owner", "left")
-        across = across.select("owner", F.explode(F.sequence(zero, F.coalesce("chunks", one) - 1)).alias("i"), F.col("chunk").alias("j"), "fp", F.lit(False).alias("member"))
-        within = rows.where("chunk > 0").select(F.col("top").alias("owner"), F.explode(F.sequence(zero, F.col("chunk") - 1)).alias("i"), F.col("chunk").alias("j"), "fp", F.lit(False).alias("member"))
+        wide = large.select("trie", F.explode(F.concat(F.array("top"), about(F.col("top")))).alias("top"), "chunks").groupBy("trie", "top").agg(F.max("chunks").alias("meets"))
+        members = out(rows.join(wide, ["trie", "top"], "left"), F.col("top").alias("owner"), F.col("chunk"), F.explode(F.sequence(zero, F.coalesce("meets", one) - 1)), True)
+        across = rows.select("trie", lower, *own, "chunk").join(large.withColumnRenamed("top", "owner"), ["trie", "owner"], "left")
+        across = out(across, F.col("owner"), F.explode(F.sequence(zero, F.coalesce("chunks", one) - 1)), F.col("chunk"), False)
+        within = out(rows.where("chunk > 0"), F.col("top").alias("owner"), F.explode(F.sequence(zero, F.col("chunk") - 1)), F.col("chunk"), False)
         visitors = across.union(within)
-    return members.union(visitors).groupBy("owner", "i", "j").applyInArrow(_walk(bits, budget), "u long, v long")
+    return members.union(visitors).groupBy("trie", "owner", "i", "j").applyInArrow(_walk(bits, budget, near), "u long, v long")
 
 
 def classes(rows: DataFrame, budget: int = 2) -> DataFrame:
@@ -208,7 +241,11 @@ def classes(rows: DataFrame, budget: int = 2) -> DataFrame:
     fingerprint that the document with that id has (the least, if several).
     """
     least = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(links(least.select("fp"), budget))
+    return _classes(least, links(least.select("fp"), budget))
+
+
+def _classes(least: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = components(edges)
     joined = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull().alias("n"), "least", "fp")).alias("head"))
     return joined.select("fp", "root").join(heads, "root").select("fp", "component_id", F.col("head.fp").alias("component_fp"))
@@ -230,17 +267,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(found, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2) -> DataFrame:
-    """Keep one document of each class, with all its columns.
+#: Tries that a similarity search walks, each over a fingerprint of its own, and the bits in which keys may differ.
+TRIES = 4
+KEY_BUDGET = 3
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+def _majority(hashes: np.ndarray) -> list[int]:
+    """One signed 64-bit SimHash for each of the fixed multipliers."""
+    out = []
+    for odd in _ODD:
+        mixed = hashes * odd
+        mixed ^= mixed >> np.uint64(29)
+        mixed = (mixed * np.uint64(0xBF58476D1CE4E5B9)).astype(">u8")
+        ones = np.zeros(64, dtype=np.int64)
+        for k in range(0, len(mixed), 1 << 16):
+            ones += np.unpackbits(mixed[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(mixed)).tobytes(), "big", signed=True))
+    return out
+
+
+def signature(text: str, shingle: int = 5, seed: int = 42) -> tuple[list[int], list[int]]:
+    """(keys, marks): SimHashes over a text's different words, and over its different shingles."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split()
+    if not words:
+        return [0] * TRIES, [0] * TRIES
+    joined = b" ".join(words)
+    ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
+    starts = [0, *(e + 1 for e in ends)]
+    shingles = {joined[a:b] for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:])}
+    digests = lambda parts: np.array(sorted(xxh64_intdigest(p, seed) for p in parts), dtype=np.uint64)
+    return _majority(digests(set(words))), _majority(digests(shingles))
+
+
+def signatures(text: Column, shingle: int = 5) -> Column:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [signature(t.as_py() or "", shingle) for t in batch]
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)], ["keys", "marks"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf("keys array<bigint>, marks array<bigint>")(run)(text)
+
+
+def bits_for(similarity: float) -> int:
+    """Differing bits of 64 * TRIES that two sets of this Jaccard similarity show in the mean, and one standard deviation more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * TRIES
+    return int(np.floor(n * share + np.sqrt(n * share * (1 - share))))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Keep one document of each class of similar texts, with all its columns.
+
+    Texts link if their 256-bit SimHashes over different shingles of
+    ``shingle`` words differ in no more bits than a Jaccard similarity of
+    ``similarity`` shows (``bits_for``). Pairs come from TRIES tries, each over a
+    64-bit SimHash of the different words, within KEY_BUDGET bits: a few edited
+    words move these keys far less than they move the shingles.
 
-    Kept is the document whose id is the class's id; among repeated ids, the
-    one with the class's fingerprint, then the least row by its hash. A class
-    with null ids only keeps one of its rows too. Rows with the same
-    fingerprint are reduced to one before any shuffle of texts.
+    Kept is the document with the least non-null id of a class; among rows of
+    that id, one with the class's signature, then the least by its hash. Texts
+    without words are alike. A class with null ids only keeps one of its rows
+    too. Rows with the same signature are reduced to one before any shuffle of
+    texts. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    rows = materialise(packed(docs, doc_id=F.col(id_col).cast("long"), fp=fingerprints(text_or_empty(text_col))), "simhash")
-    found = classes(rows.select("doc_id", "fp"), budget)
+    rows = packed(docs, doc_id=F.col(id_col).cast("long"), s=signatures(text_or_empty(text_col), shingle))
+    rows = materialise(rows.select("row", "doc_id", F.xxhash64("s.keys", "s.marks").alias("fp"), F.col("s.keys").alias("keys"), F.col("s.marks").alias("marks")), "simhash")
+    least = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks")), "signatures")
+    found = _classes(least.select("fp", "least"), links(least.select("fp", "keys", "marks"), KEY_BUDGET, bits_for(similarity), 8 * SUBTREE))
     heads = found.where("fp = component_fp").select("fp")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("row"))
     first = rows.groupBy("fp").agg(F.min_by("row", order).alias("row"))

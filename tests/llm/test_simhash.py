@@ -52,12 +52,56 @@ def test_documents_against_all_pairs(spark, sf_dir):
         assert r.component_id == want[r.doc_id]
 
 
+def plain_kept(rows):
+    """Ids that stay, of (id, text): the least of each class, over all pairs of signatures."""
+    marks = {d: simhash.signature(t or "") for d, t in rows}
+    ids = sorted(marks)
+    keys, sigs = (np.array([marks[d][i] for d in ids], dtype=np.int64).view(np.uint64) for i in (0, 1))
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(ids)):
+        near = (np.bitwise_count(keys[i + 1 :] ^ keys[i]) <= simhash.KEY_BUDGET).any(axis=1) & (np.bitwise_count(sigs[i + 1 :] ^ sigs[i]).sum(axis=1) <= simhash.bits_for(0.8))
+        for j in np.flatnonzero(near):
+            a, b = find(i), find(i + 1 + j)
+            root[max(a, b)] = min(a, b)
+    return sorted({ids[find(i)] for i in range(len(ids))})
+
+
 def test_one_of_each_class_stays(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    want = plain_classes([(r.doc_id, plain_fingerprint(r.text)) for r in docs.collect()])
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("chunk", [10**9, 60])
+def test_near_copies_go_and_others_stay(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "SUBTREE", 8 if chunk == 60 else 4096)
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(5000)] + ["the", "of", "and", "a"] * 300
+    originals = [[str(w) for w in rng.choice(vocabulary, int(rng.integers(80, 600)))] for _ in range(120)]
+    rows, near = [(i, " ".join(w)) for i, w in enumerate(originals)], 0
+    for i, words in enumerate(originals):
+        for k in range(3):
+            copy = list(words)
+            for at in rng.choice(len(copy), max(1, len(copy) // 100), replace=False):
+                copy[at] = f"edit{i}{k}{at}"
+            a, b = ({" ".join(x[n : n + 5]) for n in range(len(x) - 4)} for x in (words, copy))
+            near += len(a & b) / len(a | b) >= 0.8
+            rows.append((1000 + 3 * i + k, " ".join(copy)))
+    # texts that share half of their words are no copies
+    for i, words in enumerate(originals[:60]):
+        rows.append((5000 + i, " ".join([*words[: len(words) // 2], *(str(w) for w in rng.choice(vocabulary, len(words) // 2))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicate(df).collect()}
+    assert set(range(120)) <= kept and set(range(5000, 5060)) <= kept
+    assert near > 300 and len([d for d in kept if 1000 <= d < 5000]) <= 0.1 * 360
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -74,6 +118,20 @@ def test_trie_finds_all_pairs(seed):
     assert cross == set(zip(*np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= 2)))
 
 
+@pytest.mark.parametrize("frontier", [1 << 19, 50])
+def test_trie_takes_equal_keys(monkeypatch, frontier):
+    monkeypatch.setattr(simhash, "FRONTIER", frontier)
+    rng = np.random.default_rng(9)
+    a = np.sort(np.concatenate([np.repeat(rng.integers(0, 2**64, 6, dtype=np.uint64), 25), np.array([5, 4, 7], dtype=np.uint64)]))
+    same = [(i, j) for x, y in simhash.trie_pairs(a, a, 1, True) for i, j in zip(x, y)]
+    dist = np.bitwise_count(a[:, None] ^ a[None, :])
+    want = {(i, j) for i, j in zip(*np.nonzero(dist <= 1)) if i < j}
+    assert len(same) == len(want) and set(same) == want
+    cross = [(i, j) for x, y in simhash.trie_pairs(a, a[::3].copy(), 1, False) for i, j in zip(x, y)]
+    wide = set(zip(*np.nonzero(np.bitwise_count(a[:, None] ^ a[::3][None, :]) <= 1)))
+    assert len(cross) == len(wide) and set(cross) == wide
+
+
 @pytest.mark.parametrize("chunk", [10**9, 7])
 def test_links_over_many_subtrees(spark, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "SUBTREE", 16)
