@@ -643,6 +643,7 @@ class Compiler:
         def apart(a: DataFrame, acols: list[str], apairs, b: DataFrame, bcols: list[str], bpairs, how: str) -> Test:
             wide = tied(a, apairs)
             on = [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(acols, bcols, strict=True)] + [F.col(x) == F.col(names[y]) for x, y in bpairs]
+            b = b.select(*dict.fromkeys([*bcols, *[x for x, _ in bpairs]])).distinct()
             return Test(wide.join(b, conjunction(on), how), [(names[k], k) for k in carried])
 
         over = lambda: apart(left, lcols, lpairs, right, rcols, rpairs, "left_anti")  # noqa: E731  in left only
@@ -1017,12 +1018,11 @@ class Compiler:
                 self.identified(det)
                 name = frame.add(value, "v")
                 by = [c for n in (self.reads(frame, a.by) if a.by is not None else ()) for c in n.cols]
-                rows = frame.df.select(*dict.fromkeys([*keys, *[c for n in det for c in n.cols], *by, name])).distinct()
-                apart.append((p, rows, self.fold(frame, a, F.col(name), False).alias(p.col)))
+                apart.append((p, [*[c for n in det for c in n.cols], *by, name], self.fold(frame, a, F.col(name), False).alias(p.col)))
             else:
                 plain.append(self.fold(frame, a, value, False).alias(p.col))
         fixed, _ = determine.settled(frame, nodes)
-        carried: dict[str, Column] = {}
+        carried: dict[str, None] = {}
         for name, found in frame.names.items():
             if isinstance(found, Pending):
                 continue
@@ -1031,20 +1031,26 @@ class Compiler:
             if set(cols) <= set(keys):
                 continue
             if own:
-                carried |= {c: F.any_value(c).alias(c) for c in cols}
+                carried |= dict.fromkeys(cols)
             else:
                 frame.lost[name] = f"{name} has many values in a group: group by it too, or aggregate it"
         for c in [c for r in frame.roots if r.outer for c in r.cols] + [a for a, _ in frame.pairs]:
             if c not in keys:
                 keys = [*keys, c]
         base = frame.df
-        whole = plain + list(carried.values())
-        frame.df = base.groupBy(*keys).agg(*(whole or [F.count(F.lit(1)).alias(self.ctx.fresh("n"))]))
-        for p, rows, folded in apart:
-            own_keys = [k for k in keys if k in rows.columns]
-            renamed = {k: self.ctx.fresh("g") for k in own_keys}
-            found = rows.groupBy(*[F.col(k).alias(renamed[k]) for k in own_keys]).agg(folded)
-            on = conjunction(F.col(k).eqNullSafe(F.col(renamed[k])) for k in own_keys)
+        # what the keys fix is grouped by too: it splits no group, and hash aggregation can hold it
+        wide = [*keys, *[c for c in carried if c not in keys]]
+        if apart and not plain:
+            # the rows of a distinct aggregate hold every group, so they stand for the groups
+            p, det_cols, folded = apart.pop(0)
+            frame.df = base.select(*dict.fromkeys([*wide, *det_cols])).distinct().groupBy(*wide).agg(folded)
+        else:
+            frame.df = base.groupBy(*wide).agg(*(plain or [F.count(F.lit(1)).alias(self.ctx.fresh("n"))]))
+        for p, det_cols, folded in apart:
+            renamed = {k: self.ctx.fresh("g") for k in keys}
+            rows = base.select(*dict.fromkeys([*keys, *det_cols])).distinct()
+            found = rows.groupBy(*[F.col(k).alias(renamed[k]) for k in keys]).agg(folded)
+            on = conjunction(F.col(k).eqNullSafe(F.col(renamed[k])) for k in keys)
             frame.df = frame.df.join(found, on, "left") if on is not None else frame.df.crossJoin(F.broadcast(found))
         frame.grouped = True
         frame.key_nodes = tuple(nodes)
