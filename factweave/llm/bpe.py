@@ -12,8 +12,9 @@ are those of its words in order. Encoding runs in four steps:
    bucket.
 3. Each bucket joins the lists of all blocks, encodes each distinct word once,
    and answers each block with ids in the order of its list.
-4. Each block joins the answers back by position: a word's place in the list
-   gives its ids, and a text's words in order give the text's ids.
+4. Each block makes its lists again and joins the answers back by position: a
+   word's place in its list gives its ids, and a text's words in order give the
+   text's ids. A checksum tells that the lists are those that were answered.
 
 Decoding joins ids to pieces. The piece table has one row for each id of the
 vocabulary, a size that does not grow with the corpus.
@@ -86,77 +87,80 @@ def _chunks(table: pa.Table) -> Iterator[pa.Table]:
         yield pa.ipc.open_stream(chunk.as_py()).read_all()
 
 
+def _lists_of(table: pa.Table, n_buckets: int, shares: int) -> tuple[int, dict[int, list[bytes]]]:
+    """A block's number, and its distinct words by bucket, in order."""
+    first: set[str] = set()
+    later: set[str] = set()
+    for chunk in _chunks(table):
+        for text in chunk.column("content"):
+            words = words_of(text.as_py())
+            first.add(words[0])
+            later.update(words[1:])
+    first.discard("")
+    block = table.column("block")[0].as_py()
+    share = block % shares
+    buckets: dict[int, list[bytes]] = {}
+    for word in {w.encode() for w in first} | {b" " + w.encode() for w in later}:
+        buckets.setdefault(zlib.crc32(word) % n_buckets * shares + share, []).append(word)
+    return block, {k: sorted(v) for k, v in buckets.items()}
+
+
+def _joined(words: list[bytes]) -> bytes:
+    """NUL ends each word; a NUL inside a word is written as the byte 0xFF, which UTF-8 never holds."""
+    return b"\0".join(w.replace(b"\0", b"\xff") for w in words)
+
+
 def _list_words(n_buckets: int, shares: int):
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         import zstandard
 
-        first: set[str] = set()
-        later: set[str] = set()
-        for chunk in _chunks(table):
-            for text in chunk.column("content"):
-                words = words_of(text.as_py())
-                first.add(words[0])
-                later.update(words[1:])
-        first.discard("")
-        block = table.column("block")[0].as_py()
-        share = block % shares
-        buckets: dict[int, list[bytes]] = {}
-        for word in first:
-            b = word.encode()
-            buckets.setdefault(zlib.crc32(b) % n_buckets * shares + share, []).append(b)
-        for word in later:
-            b = b" " + word.encode()
-            buckets.setdefault(zlib.crc32(b) % n_buckets * shares + share, []).append(b)
+        block, lists = _lists_of(table, n_buckets, shares)
         pack = zstandard.ZstdCompressor(level=3).compress
-        # NUL ends each word; a NUL inside a word is written as the byte 0xFF, which UTF-8 never holds
-        lists = {k: pack(b"\0".join(w.replace(b"\0", b"\xff") for w in sorted(v))) for k, v in buckets.items()}
-        return pa.table([pa.array([block] * len(lists), pa.int64()), pa.array(list(lists), pa.int64()), pa.array(list(lists.values()), pa.binary())], schema=schema)
+        return pa.table([pa.array([block] * len(lists), pa.int64()), pa.array(list(lists), pa.int64()), pa.array([pack(_joined(v)) for v in lists.values()], pa.binary())], schema=schema)
 
     return run
 
 
-def _unpack_words(data: bytes) -> list[bytes]:
-    import zstandard
-
-    return [w.replace(b"\xff", b"\0") for w in zstandard.ZstdDecompressor().decompress(data).split(b"\0")]
-
-
 def _answer(file: TokenizerFile):
-    schema = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("check", pa.int64()), ("ids", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         import zstandard
 
         enc = encoder(file)
         known: dict[bytes, bytes] = {}
-        pack = zstandard.ZstdCompressor(level=3).compress
-        answers = []
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        checks, answers = [], []
         for data in table.column("words"):
+            joined = unpack(data.as_py())
             out = []
-            for word in _unpack_words(data.as_py()):
+            for word in joined.split(b"\0"):
                 ids = known.get(word)
                 if ids is None:
-                    ids = known[word] = ",".join(map(str, enc.encode(word.decode()))).encode()
+                    ids = known[word] = ",".join(map(str, enc.encode(word.replace(b"\xff", b"\0").decode()))).encode()
                 out.append(ids)
+            checks.append(zlib.crc32(joined))
             answers.append(pack(b"\n".join(out)))
-        return pa.table([table.column("block"), table.column("words"), pa.array(answers, pa.binary())], schema=schema)
+        return pa.table([table.column("block"), table.column("bucket"), pa.array(checks, pa.int64()), pa.array(answers, pa.binary())], schema=schema)
 
     return run
 
 
 class _Block:
-    """One block's words and the ids they join to."""
+    """One block's words and the ids they join to, by their places in its lists."""
 
-    def __init__(self, enc: Encoder, answers: pa.Table):
+    def __init__(self, enc: Encoder, lists: dict[int, list[bytes]], answers: pa.Table):
         import zstandard
 
         self.enc = enc
         self.ids: dict[str, str] = {}
-        unzip = zstandard.ZstdDecompressor().decompress
-        for words, ids in zip(answers.column("words"), answers.column("ids"), strict=True):
-            self.ids.update(zip((w.decode() for w in _unpack_words(words.as_py())), unzip(ids.as_py()).decode().split("\n"), strict=True))
+        unpack = zstandard.ZstdDecompressor().decompress
+        for bucket, check, ids in zip(*(answers.column(c) for c in ("bucket", "check", "ids")), strict=True):
+            words = lists.get(bucket.as_py(), [])
+            if zlib.crc32(_joined(words)) == check.as_py():
+                self.ids.update(zip((w.decode() for w in words), unpack(ids.as_py()).decode().split("\n"), strict=True))
 
     def __getitem__(self, word: str) -> str:
         found = self.ids.get(word)
@@ -177,10 +181,12 @@ class _Block:
             return ",".join(head + [self[w] for w in spaced])
 
 
-def _join_back(file: TokenizerFile, digests: bool, schema: pa.Schema):
+def _join_back(file: TokenizerFile, n_buckets: int, shares: int, digests: bool, schema: pa.Schema):
     def run(key: tuple, chunks: pa.Table, answers: pa.Table) -> pa.Table:
         enc = encoder(file)
-        block = _Block(enc, answers)
+        if not chunks.num_rows:
+            return schema.empty_table()
+        block = _Block(enc, _lists_of(chunks, n_buckets, shares)[1], answers)
         out = []
         for docs in _chunks(chunks):
             n, ids, sha, decoded = [], [], [], []
@@ -228,16 +234,17 @@ def encode(docs: DataFrame, file: TokenizerFile, keep: list[str], text_col: str
     n_blocks = max(-(-n_bytes // BLOCK_BYTES), 4 * spark.sparkContext.defaultParallelism)
     # about one distinct word in a block for every 40 bytes of it
     n_buckets = max(-(-n_bytes // (40 * BUCKET_WORDS)), 4 * spark.sparkContext.defaultParallelism)
+    shares = -(-n_blocks // BUCKET_BLOCKS)
     row_type = rows.schema["row"].dataType
     arrow_row = to_arrow_type(row_type)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("row", "content"), F.lit(n_blocks)))
     dealt = dealt.mapInArrow(_pack(arrow_row), "block long, chunk binary").repartition("block")
-    lists = dealt.groupBy("block").applyInArrow(_list_words(n_buckets, -(-n_blocks // BUCKET_BLOCKS)), "block long, bucket long, words binary")
-    answers = lists.groupBy("bucket").applyInArrow(_answer(file), "block long, words binary, ids binary")
+    lists = dealt.groupBy("block").applyInArrow(_list_words(n_buckets, shares), "block long, bucket long, words binary")
+    answers = lists.groupBy("bucket").applyInArrow(_answer(file), "block long, bucket long, check long, ids binary")
     out = T.StructType([T.StructField("row", row_type), T.StructField("n_tokens", T.LongType())])
     out = out.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else out.add("ids", T.ArrayType(T.IntegerType()))
     arrow_out = pa.schema([("row", arrow_row), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32()))])])
-    back = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_back(file, digests, arrow_out), out)
+    back = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_back(file, n_buckets, shares, digests, arrow_out), out)
     return back.select("row.*", *out.names[1:])
 
 
