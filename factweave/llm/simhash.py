@@ -267,76 +267,87 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(found, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Tries that a similarity search walks, each over a fingerprint of its own, and the bits in which keys may differ.
-TRIES = 4
-KEY_BUDGET = 3
-_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-
-
-def _majority(hashes: np.ndarray) -> list[int]:
-    """One signed 64-bit SimHash for each of the fixed multipliers."""
-    out = []
-    for odd in _ODD:
-        mixed = hashes * odd
-        mixed ^= mixed >> np.uint64(29)
-        mixed = (mixed * np.uint64(0xBF58476D1CE4E5B9)).astype(">u8")
-        ones = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(mixed), 1 << 16):
-            ones += np.unpackbits(mixed[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(mixed)).tobytes(), "big", signed=True))
-    return out
-
-
-def signature(text: str, shingle: int = 5, seed: int = 42) -> tuple[list[int], list[int]]:
-    """(keys, marks): SimHashes over a text's different words, and over its different shingles."""
+#: Tries that a similarity search walks, each over a key of ROWS min-hashes, and the bits in which keys may differ.
+#: Two texts of Jaccard similarity s share a key with probability 1 - (1 - s ** ROWS) ** TRIES: 0.998 at 0.8.
+TRIES = 20
+ROWS = 6
+KEY_BUDGET = 0
+#: Min-hashes of a text; the marks hold one bit of each.
+HASHES = 256
+_draw = np.random.default_rng(5)
+_ODD = _draw.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _draw.integers(0, 2**64, HASHES, dtype=np.uint64)
+
+
+def digests(text: str, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted XXH64 of a text's different shingles; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
     if not words:
-        return [0] * TRIES, [0] * TRIES
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
     starts = [0, *(e + 1 for e in ends)]
-    shingles = {joined[a:b] for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:])}
-    digests = lambda parts: np.array(sorted(xxh64_intdigest(p, seed) for p in parts), dtype=np.uint64)
-    return _majority(digests(set(words))), _majority(digests(shingles))
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:])], dtype=np.uint64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def signature(text: str, shingle: int = 5, seed: int = 42) -> tuple[list[int], list[int], int]:
+    """(keys, marks, identity) of a text's different shingles: keys of ROWS min-hashes, a bit of each min-hash, and a hash of them all."""
+    from xxhash import xxh64_intdigest
+
+    found = digests(text, shingle, seed)
+    if not len(found):
+        return [0] * TRIES, [0] * (HASHES // 64), 0
+    least = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
+    for k in range(0, len(found), 1 << 10):
+        least = np.minimum(least, (found[k : k + (1 << 10), None] * _ODD + _ADD).min(axis=0))
+    least = _mixed(least)
+    keys = np.zeros(TRIES, dtype=np.uint64)
+    for part in least[: TRIES * ROWS].reshape(TRIES, ROWS).T:
+        keys = _mixed((keys ^ part) * _ODD[0] + _ADD[0])
+    marks = np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    return keys.view(np.int64).tolist(), marks.tolist(), int(np.uint64(xxh64_intdigest(found.tobytes(), seed)).view(np.int64))
 
 
 def signatures(text: Column, shingle: int = 5) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = [signature(t.as_py() or "", shingle) for t in batch]
-            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)], ["keys", "marks"])
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()))], ["keys", "marks", "fp"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf("keys array<bigint>, marks array<bigint>")(run)(text)
+    return F.arrow_udf("keys array<bigint>, marks array<bigint>, fp bigint")(run)(text)
 
 
 def bits_for(similarity: float) -> int:
-    """Differing bits of 64 * TRIES that two sets of this Jaccard similarity show in the mean, and one standard deviation more."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = 64 * TRIES
-    return int(np.floor(n * share + np.sqrt(n * share * (1 - share))))
+    """Differing marks that two sets of this Jaccard similarity show in the mean, and one standard deviation more."""
+    share = (1 - similarity) / 2
+    return int(np.floor(HASHES * share + np.sqrt(HASHES * share * (1 - share))))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """Keep one document of each class of similar texts, with all its columns.
 
-    Texts link if their 256-bit SimHashes over different shingles of
-    ``shingle`` words differ in no more bits than a Jaccard similarity of
-    ``similarity`` shows (``bits_for``). Pairs come from TRIES tries, each over a
-    64-bit SimHash of the different words, within KEY_BUDGET bits: a few edited
-    words move these keys far less than they move the shingles.
+    Texts link if the marks of their different shingles of ``shingle`` words
+    differ in no more bits than a Jaccard similarity of ``similarity`` shows
+    (``bits_for``). Pairs come from TRIES tries, each over a key of ROWS
+    min-hashes of the shingles: what kind of edit made a copy plays no part.
 
     Kept is the document with the least non-null id of a class; among rows of
-    that id, one with the class's signature, then the least by its hash. Texts
+    that id, one with the class's shingles, then the least by its hash. Texts
     without words are alike. A class with null ids only keeps one of its rows
-    too. Rows with the same signature are reduced to one before any shuffle of
+    too. Rows with the same shingles are reduced to one before any shuffle of
     texts. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     rows = packed(docs, doc_id=F.col(id_col).cast("long"), s=signatures(text_or_empty(text_col), shingle))
-    rows = materialise(rows.select("row", "doc_id", F.xxhash64("s.keys", "s.marks").alias("fp"), F.col("s.keys").alias("keys"), F.col("s.marks").alias("marks")), "simhash")
+    rows = materialise(rows.select("row", "doc_id", F.col("s.fp").alias("fp"), F.col("s.keys").alias("keys"), F.col("s.marks").alias("marks")), "simhash")
     least = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks")), "signatures")
     found = _classes(least.select("fp", "least"), links(least.select("fp", "keys", "marks"), KEY_BUDGET, bits_for(similarity), 8 * SUBTREE))
     heads = found.where("fp = component_fp").select("fp")

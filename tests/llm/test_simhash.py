@@ -173,3 +173,30 @@ def test_nulls_repeats_and_extra_columns(spark):
     kept = simhash.deduplicate(df).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["2", "5", "None"] and kept[0].fp == 1
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def edited(words, kind, share, rng):
+    """A copy of which this share of words is appended, cut off the end, cut off the start, or replaced here and there."""
+    n, fresh = max(1, int(len(words) * share)), lambda k: [f"e{x}" for x in rng.integers(0, 10**9, k)]
+    if kind == "replaced":
+        copy = list(words)
+        for at, word in zip(rng.choice(len(copy), n, replace=False), fresh(n), strict=True):
+            copy[at] = word
+        return copy
+    return {"appended": words + fresh(n), "cut off": words[:-n], "begun later": words[n:]}[kind]
+
+
+@pytest.mark.parametrize("kind", ["appended", "cut off", "begun later", "replaced"])
+def test_candidates_of_every_kind_of_edit(kind):
+    rng = np.random.default_rng(11)
+    shares = (0.01, 0.02, 0.03) if kind == "replaced" else (0.12, 0.15, 0.18)
+    near = found = 0
+    for _ in range(400):
+        words = [f"w{x}" for x in rng.zipf(1.3, int(rng.integers(60, 500))) % 5000]
+        copy = edited(words, kind, rng.choice(shares), rng)
+        a, b = ({" ".join(x[n : n + 5]) for n in range(len(x) - 4)} for x in (words, copy))
+        if 0.8 <= len(a & b) / len(a | b) < 0.9:
+            near += 1
+            keys = [np.array(simhash.signature(" ".join(x))[0], dtype=np.int64).view(np.uint64) for x in (words, copy)]
+            found += bool((np.bitwise_count(keys[0] ^ keys[1]) <= simhash.KEY_BUDGET).any())
+    assert near > 100 and found >= 0.99 * near
