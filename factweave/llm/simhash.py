@@ -274,6 +274,8 @@ ROWS = 6
 KEY_BUDGET = 0
 #: Min-hashes of a text; the marks hold one bit of each.
 HASHES = 256
+#: Standard deviations by which a candidate's marks may exceed the mean.
+DEVIATIONS = 3
 _draw = np.random.default_rng(5)
 _ODD = _draw.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _draw.integers(0, 2**64, HASHES, dtype=np.uint64)
@@ -326,18 +328,73 @@ def signatures(text: Column, shingle: int = 5) -> Column:
 
 
 def bits_for(similarity: float) -> int:
-    """Differing marks that two sets of this Jaccard similarity show in the mean, and one standard deviation more."""
+    """Differing marks that two sets of this Jaccard similarity show in the mean, and DEVIATIONS standard deviations more."""
     share = (1 - similarity) / 2
-    return int(np.floor(HASHES * share + np.sqrt(HASHES * share * (1 - share))))
+    return int(np.floor(HASHES * share + DEVIATIONS * np.sqrt(HASHES * share * (1 - share))))
+
+
+#: Texts of one candidate class that a task compares with each other or with as many others.
+MEET = 512
+
+
+def _similar(similarity: float, shingle: int):
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key[2:])
+        fp, root = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "root"))
+        chunk = table.column("chunk").to_numpy()
+        sets = [digests(t or "", shingle) for t in table.column("text").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        # a shingle counts within its candidate class only, as classes share tasks
+        every, place = np.unique(np.concatenate([x ^ y for x, y in zip(sets, _mixed(root), strict=True)]), return_inverse=True)
+        ends = np.cumsum(sizes)
+        right = np.repeat(chunk == j, sizes)
+        order = np.flatnonzero(right)[np.argsort(place[right], kind="stable")]
+        holder = np.repeat(np.arange(len(sets)), sizes)[order]
+        held = np.bincount(place[right], minlength=len(every))
+        first = np.cumsum(held) - held
+        forest = _Forest(len(sets))
+        for x in np.flatnonzero(chunk == i):
+            own = place[ends[x] - sizes[x] : ends[x]]
+            n = held[own]
+            common = np.bincount(holder[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+            y = np.flatnonzero(common)
+            y = y[common[y] / (sizes[x] + sizes[y] - common[y]) >= similarity]
+            forest.add(np.full(len(y), x), y)
+        linked = np.flatnonzero(forest.label != np.arange(len(sets)))
+        return pa.table([pa.array(fp[linked].view(np.int64)), pa.array(fp[forest.label[linked]].view(np.int64))], schema=schema)
+
+    return run
+
+
+def similar(texts: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
+    """Links (u, v) that connect all texts of one candidate class whose shingles have this exact Jaccard similarity.
+
+    texts: (fp long, root long, text string), fp without repeats, root naming the
+    class. Small classes share tasks; a class of more than MEET texts is cut into
+    chunks, and each pair of chunks is a task.
+    """
+    sizes = materialise(texts.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "candidates")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") > MEET
+    tasks = F.lit(max(1, total // (2 * MEET)))
+    rows = texts.join(sizes, "root").withColumn("chunks", F.when(large, F.ceil(F.col("n") / MEET)).otherwise(1).cast("int"))
+    rows = rows.select("fp", "root", "text", large.alias("large"), F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), tasks)).alias("owner"), "chunks", F.pmod(F.xxhash64("fp"), "chunks").cast("int").alias("chunk"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    rows = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other")
+    return rows.groupBy("large", "owner", "i", "j").applyInArrow(_similar(similarity, shingle), "u long, v long")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """Keep one document of each class of similar texts, with all its columns.
 
-    Texts link if the marks of their different shingles of ``shingle`` words
-    differ in no more bits than a Jaccard similarity of ``similarity`` shows
-    (``bits_for``). Pairs come from TRIES tries, each over a key of ROWS
-    min-hashes of the shingles: what kind of edit made a copy plays no part.
+    Texts link if their different shingles of ``shingle`` words have an exact
+    Jaccard similarity of at least ``similarity``. Pairs come from TRIES tries,
+    each over a key of ROWS min-hashes of the shingles: what kind of edit made a
+    copy plays no part. Pairs whose marks differ in no more bits than
+    ``bits_for`` gives form candidate classes, and within these all texts are
+    compared (``similar``).
 
     Kept is the document with the least non-null id of a class; among rows of
     that id, one with the class's shingles, then the least by its hash. Texts
@@ -349,7 +406,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = packed(docs, doc_id=F.col(id_col).cast("long"), s=signatures(text_or_empty(text_col), shingle))
     rows = materialise(rows.select("row", "doc_id", F.col("s.fp").alias("fp"), F.col("s.keys").alias("keys"), F.col("s.marks").alias("marks")), "simhash")
     least = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks")), "signatures")
-    found = _classes(least.select("fp", "least"), links(least.select("fp", "keys", "marks"), KEY_BUDGET, bits_for(similarity), 8 * SUBTREE))
+    near = components(links(least.select("fp", "keys", "marks"), KEY_BUDGET, bits_for(similarity), 8 * SUBTREE))
+    texts = rows.groupBy("fp").agg(F.any_value(F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))).alias("text"))
+    texts = texts.join(near.withColumnRenamed("node", "fp"), "fp")
+    found = _classes(least.select("fp", "least"), similar(materialise(texts, "texts"), similarity, shingle))
     heads = found.where("fp = component_fp").select("fp")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("row"))
     first = rows.groupBy("fp").agg(F.min_by("row", order).alias("row"))

@@ -200,3 +200,43 @@ def test_candidates_of_every_kind_of_edit(kind):
             keys = [np.array(simhash.signature(" ".join(x))[0], dtype=np.int64).view(np.uint64) for x in (words, copy)]
             found += bool((np.bitwise_count(keys[0] ^ keys[1]) <= simhash.KEY_BUDGET).any())
     assert near > 100 and found >= 0.99 * near
+
+
+def exactly_kept(rows):
+    """Ids that stay, of (id, text): the least of each class, over all pairs by exact similarity."""
+    sets = {}
+    for d, t in sorted(rows):
+        words = (t or "").encode().lower().split()
+        sets[d] = {b" ".join(words[n : n + 5]) for n in range(max(1, len(words) - 4))}
+    ids = list(sets)
+    root = {d: d for d in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, x in enumerate(ids):
+        for y in ids[n + 1 :]:
+            a, b = sets[x], sets[y]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) / len(a | b) >= 0.8:
+                p, q = find(x), find(y)
+                root[max(p, q)] = min(p, q)
+    return sorted({find(d) for d in ids})
+
+
+@pytest.mark.parametrize("meet", [512, 7])
+def test_exact_similarity_decides(spark, sf_dir, monkeypatch, meet):
+    monkeypatch.setattr(simhash, "MEET", meet)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rng = np.random.default_rng(13)
+    words = [f"v{x}" for x in range(300)]
+    # versions of one text that are some 0.7 alike are no copies, however many there are
+    rows += [(100000 + k, " ".join(edited(words, "replaced", 0.018, rng))) for k in range(200)]
+    # of one text, copies of every degree, some alike enough and some not
+    words = [f"u{x}" for x in range(250)]
+    rows += [(200000 + k, " ".join(edited(words, kind, k / 200, rng))) for k in range(1, 60) for kind in ("appended", "cut off")[k % 2 :][:1]]
+    want = exactly_kept(rows)
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert sum(100000 <= d < 200000 for d in want) > 100 and sum(d >= 200000 for d in want) < 30
