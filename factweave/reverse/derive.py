@@ -141,7 +141,7 @@ def mine_keys(tables: dict[str, DataFrame], catalog: Catalog | None = None) -> t
         if any(i.column in f.columns for f in t.foreign):
             continue
         t.foreign.append(ForeignKey((i.column,), i.parent, (i.key,), True))
-        findings.append(Finding("reference", f"{i.child}.{i.column}", f"refers to {i.parent}.{i.key} (names {i.score:.1f}, spread {i.spread:.2f})", f"select {i.column} from {i.child} where {i.column} is not null and {i.column} not in (select {i.key} from {i.parent})"))
+        findings.append(Finding("reference", f"{i.child}.{i.column}", f"refers to {i.parent}.{i.key} (names {i.score:.1f}, spread {'unknown' if i.spread is None else format(i.spread, '.2f')})", f"select {i.column} from {i.child} where {i.column} is not null and {i.column} not in (select {i.key} from {i.parent})"))
     return catalog, known, findings
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import accumulate, combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,7 +108,7 @@ class Inclusion:
     parent: str
     key: str
     score: float
-    spread: float
+    spread: float | None
 
 
 def name_parts(name: str) -> list[str]:
@@ -159,8 +159,8 @@ def inclusions(tables: dict[str, DataFrame], known: dict[str, dict[str, ColumnFa
                 if not missing(df, (column,), tables[parent], key).limit(1).isEmpty():
                     continue
                 even = spread(df, column, tables[parent], key[0])
-                # values at one end of the parent's order are there by chance, as counters that start at 1 are
-                if even < EVEN and score < 5:
+                # an unknown spread rejects nothing; values at one end of the parent's order are there by chance, as counters that start at 1 are
+                if even is not None and even < EVEN and score < 5:
                     continue
                 best[child, column] = Inclusion(child, column, parent, key[0], score, even)
     return list(best.values())
@@ -172,20 +172,28 @@ def missing(child: DataFrame, columns: tuple[str, ...], parent: DataFrame, refer
     return left.join(parent.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(references, names, strict=True)]), names, "left_anti")
 
 
-def spread(child: DataFrame, column: str, parent: DataFrame, key: str, most: int = 50_000) -> float:
+def spread(child: DataFrame, column: str, parent: DataFrame, key: str) -> float | None:
     """K9: 1 - 2 W1, how evenly the child's values lie over the parent's order: 1 is even, 0 is one end.
 
-    Both sides are distinct values; quantiles of the child's percent ranks are compared with an even spread.
+    Both sides are distinct values; quantiles of the child's percent ranks are compared with an even spread. The
+    parent's keys are sorted by ranges and ranked within each, so no task holds them all. None: too few values to tell.
     """
-    ranked = parent.select(F.col(f"`{key}`").alias("k")).distinct()
-    n = ranked.count()
-    if n < 5 or n > most:
-        return 0.0
-    ranked = ranked.select("k", F.percent_rank().over(Window.partitionBy(F.lit(0)).orderBy("k")).alias("p"))
+    from ..sources.scratch import materialise
+
+    ordered = parent.select(F.col(f"`{key}`").alias("k")).dropna().distinct().orderBy("k")
+    # the id holds the range in its upper bits, and the place within the range in the lower 33
+    ordered = materialise(ordered.select("k", F.monotonically_increasing_id().alias("id")), "ranks")
+    ranges = ordered.groupBy(F.shiftright("id", 33).alias("range")).agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()
+    n = sum(r["n"] for r in ranges)
+    if n < 5:
+        return None
+    starts = child.sparkSession.createDataFrame([(r["range"], t - r["n"]) for r, t in zip(ranges, accumulate(r["n"] for r in ranges), strict=True)], "range long, start long")
+    place = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = ordered.join(starts, F.shiftright("id", 33) == F.col("range")).select("k", ((F.col("start") + place) / (n - 1)).alias("p"))
     hit = child.select(F.col(f"`{column}`").alias("k")).dropna().distinct().join(ranked, "k")
     row = hit.agg(F.percentile_approx("p", [i / 20 for i in range(21)]).alias("q"), F.count(F.lit(1)).alias("n")).first()
     if row["n"] < 3:
-        return 0.0
+        return None
     return 1 - 2 * sum(abs(q - i / 20) for i, q in enumerate(row["q"])) / 21
 
 

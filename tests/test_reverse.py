@@ -120,3 +120,20 @@ def test_routes_structure_and_partitions(spark):
     s = mine.structure(b, "k", spark.createDataFrame([(1,), (2,), (3,)], "id int"), "id").first()
     assert (s.parents, s.covered, s.rows, s.most) == (3, 2, 2, 1)
     assert mine.partition_or_subtype(a, a) == "partition"
+
+
+def test_references_to_large_parents_are_recovered(spark):
+    parents = spark.range(60_000).selectExpr("id + 1 as c_custkey")
+    children = spark.range(4000).selectExpr("id as o_orderkey", "id * 7919 % 60000 + 1 as o_custkey")
+    counters = spark.range(4000).selectExpr("id as o_orderkey", "id % 100 + 1 as o_custkey")
+    assert mine.spread(children, "o_custkey", parents, "c_custkey") > 0.9
+    assert mine.spread(counters, "o_custkey", parents, "c_custkey") < 0.05
+    found = lambda orders: [(i.column, i.parent) for i in mine.inclusions({"orders": orders, "customer": parents}, {"orders": mine.facts(orders), "customer": mine.facts(parents)}, {"orders": ("o_orderkey",), "customer": ("c_custkey",)}) if i.column == "o_custkey"]
+    assert found(children) == [("o_custkey", "customer")] and found(counters) == []
+    assert mine.spread(children, "o_custkey", parents.limit(4), "c_custkey") is None
+
+
+def test_spread_of_texts_is_that_of_their_order(spark):
+    parents = spark.range(1000).selectExpr("lpad(id, 4, '0') as code")
+    assert mine.spread(parents.where("code like '%0'"), "code", parents, "code") > 0.95
+    assert mine.spread(parents.where("code < '0050'"), "code", parents, "code") < 0.1
