@@ -311,16 +311,14 @@ def stored_aggregates(parent: DataFrame, key: str, child: DataFrame, reference:
     return [f"{t} = {said}" for i, (t, _, said) in enumerate(tests) if row["rows"] and not row[f"x{i}"]]
 
 
-def ring(df: DataFrame, child: str, parent: str, rounds: int = 64) -> dict[str, bool]:
-    """Whether a self-reference is irreflexive, and acyclic: whether peeling leaves empties it."""
+def ring(df: DataFrame, child: str, parent: str) -> dict[str, bool]:
+    """Whether a self-reference is irreflexive, and acyclic: whether peeling leaves, until a round peels none, empties it."""
     from ..sources.scratch import materialise
 
     edges = df.select(F.col(f"`{child}`").alias("a"), F.col(f"`{parent}`").alias("b")).dropna().distinct()
     irreflexive = edges.where("a = b").limit(1).isEmpty()
     left = edges.count()
-    for _ in range(rounds):
-        if not left:
-            break
+    while left:
         edges = materialise(edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "ring")
         now = edges.count()
         if now == left:

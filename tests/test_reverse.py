@@ -137,3 +137,9 @@ def test_spread_of_texts_is_that_of_their_order(spark):
     parents = spark.range(1000).selectExpr("lpad(id, 4, '0') as code")
     assert mine.spread(parents.where("code like '%0'"), "code", parents, "code") > 0.95
     assert mine.spread(parents.where("code < '0050'"), "code", parents, "code") < 0.1
+
+
+def test_rings_of_long_chains(spark):
+    chain = [(i + 1, i) for i in range(70)]
+    assert mine.ring(spark.createDataFrame(chain, "a int, b int").coalesce(1), "a", "b") == {"irreflexive": True, "acyclic": True}
+    assert mine.ring(spark.createDataFrame([*chain, (0, 1)], "a int, b int"), "a", "b") == {"irreflexive": True, "acyclic": False}
