@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Characters before a match in which context words are looked for.
+#: Characters before and after a match in which context words are looked for.
 CONTEXT = 48
 #: The least score of a span that the contract's base kinds don't hold already.
 THRESHOLD = 0.5
@@ -91,8 +91,9 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
-def _adjusted(kind: Kind, before: Column) -> Column:
-    near = F.lower(F.right(before, F.lit(CONTEXT)))
+def _adjusted(kind: Kind, text: Column, low: Column, high: Column) -> Column:
+    first = F.greatest(F.lit(0), low - CONTEXT)
+    near = F.lower(F.substr(text, first + 1, high + CONTEXT - first))
     score = F.lit(kind.score)
     if kind.helps:
         score = score + F.when(near.rlike(kind.helps), 0.3).otherwise(0.0)
@@ -112,8 +113,8 @@ def spans_of(text: Column, kind: Kind) -> Column:
             gap, hit = x["gap"], x["hit"]
             low = acc["at"] + F.char_length(gap)
             high = low + F.char_length(hit)
-            span = F.struct(low.alias("start"), high.alias("end"), hit.alias("value"), _adjusted(kind, gap).alias("score"))
-            fits = kind.confirm(hit) if kind.base else kind.confirm(hit) & (_adjusted(kind, gap) >= THRESHOLD)
+            span = F.struct(low.alias("start"), high.alias("end"), hit.alias("value"), _adjusted(kind, text, low, high).alias("score"))
+            fits = kind.confirm(hit) if kind.base else kind.confirm(hit) & (_adjusted(kind, text, low, high) >= THRESHOLD)
             return F.struct(high.alias("at"), F.when(fits, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
         return F.aggregate(F.slice(pairs, F.lit(1), F.size(found)), start, step, lambda acc: acc["out"])

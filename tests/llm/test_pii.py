@@ -81,3 +81,12 @@ def test_redaction_cuts_spans_and_keeps_the_rest(spark):
 @pytest.mark.parametrize("run", [pii.report, pii.redact])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], "doc_id long, text string, row string, content string")).count() == 0
+
+
+def test_context_is_looked_for_all_around_a_number(spark):
+    texts = ["SSN: 123-45-6789, 234-56-7890", "123-45-6789 is my SSN", f"SSN {'x' * 60} 123-45-6789 {'x' * 60} SSN", "123-45-6789"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert got == {0: "ssn:5:16,ssn:18:29", 1: "ssn:0:11", 2: "", 3: ""}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[0] == "SSN: [SSN], [SSN]"
