@@ -278,22 +278,25 @@ def comparisons(df: DataFrame, pairs: list[tuple[str, str]] | None = None) -> Da
     return row.select(F.explode(out).alias("p")).select("p.*")
 
 
-def computed(df: DataFrame, tolerance: float = 1e-9, most: int = 120) -> list[str]:
+def computed(df: DataFrame, tolerance: float = 1e-9, skip: tuple[str, ...] = (), at_once: int = 120) -> list[str]:
     """Columns that are a sum, difference or product of two others in every row.
 
-    Formulas that a bounded sample refutes are dropped before the one pass that verifies the rest over all rows.
+    skip: columns that are no measures, as keys and references are. All formulas are tried, ``at_once`` in an aggregation.
+    Formulas that a bounded sample refutes are dropped before the passes that verify the rest over all rows.
     """
-    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    forms = [(t, a, op, b) for t in numbers for a, b in combinations([c for c in numbers if c != t], 2) for op in "*+-"][:most]
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in skip]
+    forms = [(t, a, op, b) for t in numbers for a, b in combinations([c for c in numbers if c != t], 2) for op in "*+-"]
     value = lambda a, op, b: {"*": F.col(f"`{a}`") * F.col(f"`{b}`"), "+": F.col(f"`{a}`") + F.col(f"`{b}`"), "-": F.col(f"`{a}`") - F.col(f"`{b}`")}[op]
     off = lambda t, a, op, b: F.sum(F.when(F.abs(F.col(f"`{t}`") - value(a, op, b)) > tolerance * F.greatest(F.lit(1.0), F.abs(F.col(f"`{t}`"))), 1).otherwise(0))
     for rows in (df.limit(500), df):
-        if not forms:
-            return []
-        row = rows.agg(*[off(*f).alias(f"f{i}") for i, f in enumerate(forms)], F.count(F.lit(1)).alias("n")).first()
-        if not row["n"]:
-            return []
-        forms = [f for i, f in enumerate(forms) if not row[f"f{i}"]]
+        kept = []
+        for k in range(0, len(forms), at_once):
+            part = forms[k : k + at_once]
+            row = rows.agg(*[off(*f).alias(f"f{i}") for i, f in enumerate(part)], F.count(F.lit(1)).alias("n")).first()
+            if not row["n"]:
+                return []
+            kept += [f for i, f in enumerate(part) if not row[f"f{i}"]]
+        forms = kept
     return [f"{t} = {a} {op} {b}" for t, a, op, b in forms]
 
 

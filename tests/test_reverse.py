@@ -143,3 +143,9 @@ def test_rings_of_long_chains(spark):
     chain = [(i + 1, i) for i in range(70)]
     assert mine.ring(spark.createDataFrame(chain, "a int, b int").coalesce(1), "a", "b") == {"irreflexive": True, "acyclic": True}
     assert mine.ring(spark.createDataFrame([*chain, (0, 1)], "a int, b int"), "a", "b") == {"irreflexive": True, "acyclic": False}
+
+
+def test_computed_columns_of_wide_tables(spark):
+    wide = spark.range(1, 40).selectExpr("id as k", *[f"cast(hash(id, {i}) % 1000 as double) as m{i}" for i in range(7)]).selectExpr("*", "m5 + m6 as total")
+    assert "total = m5 + m6" in mine.computed(wide)
+    assert mine.computed(wide, skip=("k", "total")) == []
