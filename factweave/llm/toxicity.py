@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, ship, text_or_empty, unpacked
+from .common import materialise, packed, ship, text_or_empty, unpacked
 
 #: Labelled rows that fitting reads at most, for each label.
 SAMPLE = 3000
@@ -92,51 +92,51 @@ class Model:
         return _sigmoid(np.asarray(scores, float)[:, None] - np.array(self.thresholds)[None, :])
 
 
-def originals(texts: list[str], labels: list[int]) -> list[int]:
-    """Indexes of documents without their near copies of the same label.
+def marks(text: str) -> tuple[int, int]:
+    """The two least shingle hashes of a text."""
+    words = _WORD.findall(text.lower())
+    shingles = [" ".join(words[k : k + 5]).encode() for k in range(max(1, len(words) - 4))]
+    return min(crc32(s, 1) for s in shingles), min(crc32(s, 2) for s in shingles)
+
+
+def originals(rows: Iterable[tuple[int, int, int, int]]) -> list[int]:
+    """Ids of documents without their near copies of the same label. rows: (id, label, mark, mark).
 
     Copies would pass chance words off as common ones. Two documents are copies
-    if one of their two least shingle hashes agrees.
+    if one of their two marks agrees.
     """
     seen: set[tuple[int, int, int]] = set()
     kept = []
-    for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
-        words = _WORD.findall(text.lower())
-        shingles = [" ".join(words[k : k + 5]).encode() for k in range(max(1, len(words) - 4))]
-        marks = [(label, salt, min(crc32(s, salt) for s in shingles)) for salt in (1, 2)]
-        if not any(m in seen for m in marks):
-            kept.append(i)
-        seen.update(marks)
+    for own, label, *found in rows:
+        own_marks = [(label, salt, m) for salt, m in enumerate(found)]
+        if not any(m in seen for m in own_marks):
+            kept.append(own)
+        seen.update(own_marks)
     return kept
 
 
-def select(texts: list[str], toxic: list[int]) -> dict[str, float]:
-    """Features that occur in toxic documents far more often than in others, with the root of their G statistic (6 at most)."""
-    bad, good = Counter(), Counter()
-    for text, t in zip(texts, toxic, strict=True):
-        if t:
-            bad.update(features(text))
-    for f in [f for f, n in bad.items() if n < 3]:
-        del bad[f]
-    for text, t in zip(texts, toxic, strict=True):
-        if not t:
-            good.update(f for f in features(text) if f in bad)
-    n_bad, n_good = sum(toxic), len(toxic) - sum(toxic)
-    kept = {}
-    for f, a in bad.items():
-        b = good[f]
-        share = (a + b) / (n_bad + n_good)
-        if a / n_bad <= 2 * share:
-            continue
-        g = sum(2 * n * np.log(n / (size * p)) for n, size, p in ((a, n_bad, share), (b, n_good, share), (n_bad - a, n_bad, 1 - share), (n_good - b, n_good, 1 - share)) if n)
-        if g > SURE**2:
-            kept[f] = float(min(6.0, np.sqrt(g)))
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:FEATURES])
-
-
-def grade(texts: list[str], toxic: list[int], chosen: dict[str, float], grades: int = GRADES) -> np.ndarray:
+def select(counts: DataFrame, n_bad: int, n_good: int) -> dict[str, float]:
+    """Features that toxic documents have at over twice the rate of others, with the root of their G statistic (6 at most).
+
+    counts: (feature, a, b), the documents of either label that have it. Rates
+    are taken within each label, so the sample's mix of labels plays no part in
+    the choice.
+    """
+
+    def g(n: Column, size: int, p: Column) -> Column:
+        return F.when(n > 0, 2 * n * F.log(n / (F.lit(float(size)) * p))).otherwise(0.0)
+
+    a, b = F.col("a"), F.col("b")
+    share = (a + b) / float(n_bad + n_good)
+    total = g(a, n_bad, share) + g(b, n_good, share) + g(n_bad - a, n_bad, 1 - share) + g(n_good - b, n_good, 1 - share)
+    often = (a >= 3) & (a / float(n_bad) > 2 * (b + 0.5) / float(n_good + 1))
+    rows = counts.where(often).select("feature", F.least(F.lit(6.0), F.sqrt(total)).alias("sure")).where(F.col("sure") > SURE)
+    return {r.feature: r.sure for r in rows.orderBy(F.col("sure").desc(), "feature").limit(FEATURES).collect()}
+
+
+def grade(found: list[list[str]], toxic: list[int], chosen: dict[str, float], grades: int = GRADES) -> np.ndarray:
     """Severity grades from a binary label: toxic documents fall into equal parts by their chosen features."""
-    dose = np.array([sum(chosen.get(f, 0.0) for f in features(t)) for t in texts])
+    dose = np.array([sum(chosen[f] for f in sorted(own)) for own in found])
     out = np.array(toxic, dtype=int)
     bad = np.flatnonzero(out)
     if len(bad):
@@ -145,8 +145,8 @@ def grade(texts: list[str], toxic: list[int], chosen: dict[str, float], grades:
     return out
 
 
-def fit_grades(texts: list[str], grades: np.ndarray, chosen: dict[str, float], top: int = GRADES, rounds: int = 400, decay: float = 3e-3) -> Model:
-    """Maximum likelihood with a small quadratic penalty, by Adam from a fixed start.
+def fit_grades(found: list[list[str]], grades: np.ndarray, chosen: dict[str, float], top: int = GRADES, rounds: int = 400, decay: float = 3e-3) -> Model:
+    """Maximum likelihood with a small quadratic penalty, by Adam from a fixed start. found: each document's chosen features.
 
     Features count the more, and are penalised the less, the surer their link is.
     Toxic and clean documents weigh the same in all, so the sample's share of
@@ -156,11 +156,10 @@ def fit_grades(texts: list[str], grades: np.ndarray, chosen: dict[str, float], t
     scale = np.array([(chosen[f] / 4) ** 2 for f in names])
     at = {f: i for i, f in enumerate(names)}
     rows, cols = [], []
-    for r, t in enumerate(texts):
-        own = [at[f] for f in features(t) if f in at]
+    for r, own in enumerate(found):
         rows += [r] * len(own)
-        cols += own
-    rows, cols, n = np.array(rows, int), np.array(cols, int), len(texts)
+        cols += [at[f] for f in own]
+    rows, cols, n = np.array(rows, int), np.array(cols, int), len(found)
     w, t = np.full(len(names), 0.5), np.arange(1.0, top + 1)
     order = np.arange(1, top + 1)
     seen = (grades[:, None] == np.arange(top + 1)[None, :]).astype(float)
@@ -188,24 +187,48 @@ def fit_grades(texts: list[str], grades: np.ndarray, chosen: dict[str, float], t
     return Model({f: float(x) for f, x in zip(names, p[: len(names)] * scale, strict=True)}, [float(x) for x in p[len(names) :]])
 
 
+def _sparse(text: Column) -> Column:
+    """The marks and features of whole texts."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch]
+            parts = [pa.array([marks(t) for t in texts], pa.list_(pa.int64())), pa.array([sorted(features(t)) for t in texts], pa.list_(pa.string()))]
+            yield pa.StructArray.from_arrays(parts, ["marks", "features"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf("marks array<bigint>, features array<string>")(run)(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``sample`` labelled documents of each label, chosen by a hash of the id.
 
-    Rows with a null id or label are passed over; repeated ids count once.
-    Without a toxic example nothing is rejected.
+    Rows with a null id or label are passed over; of rows with one id, the least
+    text counts. Without a toxic and a clean example nothing is rejected. No
+    text reaches the driver: it takes two marks for each sampled document, at
+    most FEATURES features, and which of these each document has.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("own_id")).agg(F.max(label_col).alias("toxic"))
+    spark = docs.sparkSession
+    ship(spark)
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("own_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("own_id"), "own_id").limit(sample) for t in (0, 1)]
-    chosen = F.broadcast(parts[0].union(parts[1]))
-    rows = docs.select(F.col(id_col).alias("own_id"), text_or_empty(text_col).alias("content")).join(chosen, "own_id").select("own_id", "content", "toxic")
-    got = sorted({r.own_id: (r.own_id, r.content, int(r.toxic)) for r in rows.toLocalIterator()}.values())
-    texts, toxic = [r[1] for r in got], [r[2] for r in got]
-    if not any(toxic):
+    rows = docs.select(F.col(id_col).cast("long").alias("own_id"), text_or_empty(text_col).alias("content")).join(F.broadcast(parts[0].union(parts[1])), "own_id")
+    rows = rows.groupBy("own_id", "toxic").agg(F.min("content").alias("content")).select("own_id", "toxic", _sparse(F.col("content")).alias("s"))
+    rows = materialise(rows.select("own_id", "toxic", F.col("s.marks").alias("marks"), F.col("s.features").alias("features")), "toxic-sample")
+    toxic = {r.own_id: (r.toxic, *r.marks) for r in rows.select("own_id", "toxic", "marks").collect()}
+    kept = originals((own, *toxic[own]) for own in sorted(toxic))
+    n_bad = sum(toxic[own][0] for own in kept)
+    n_good = len(kept) - n_bad
+    if not n_bad or not n_good:
         return Model({}, [20.0 + k for k in range(GRADES)])
-    kept = originals(texts, toxic)
-    texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
-    picked = select(texts, toxic)
-    return fit_grades(texts, grade(texts, toxic, picked), picked)
+    owners = F.broadcast(spark.createDataFrame([(own,) for own in kept], "own_id long"))
+    counts = rows.join(owners, "own_id").select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    chosen = select(counts, n_bad, n_good)
+    names = F.broadcast(spark.createDataFrame([(f,) for f in chosen], "feature string"))
+    held = rows.join(owners, "own_id").select("own_id", F.explode("features").alias("feature")).join(names, "feature").groupBy("own_id").agg(F.sort_array(F.collect_list("feature")).alias("own"))
+    own = {r.own_id: r.own for r in held.collect()}
+    found, is_toxic = [own.get(i, []) for i in kept], [toxic[i][0] for i in kept]
+    return fit_grades(found, grade(found, is_toxic, chosen), chosen)
 
 
 def severity(text: Column, model: Model) -> Column:

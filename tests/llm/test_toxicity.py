@@ -1,4 +1,8 @@
-"""Ordinal regression: held-out accuracy, and its parts."""
+"""Ordinal regression: held-out accuracy, its parts, and plain versions of them."""
+
+import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -38,7 +42,8 @@ def test_thresholds_are_ordered_and_share_weights(held_out):
 def test_grades_are_learnt():
     texts = [f"filler{i % 7} words" for i in range(60)] + ["badword here"] * 30 + ["badword awful here"] * 30 + ["badword awful vile here"] * 30
     grades = np.array([0] * 60 + [1] * 30 + [2] * 30 + [3] * 30)
-    model = toxicity.fit_grades(texts, grades, {"badword": 5.0, "awful": 5.0, "vile": 5.0})
+    chosen = {"badword": 5.0, "awful": 5.0, "vile": 5.0}
+    model = toxicity.fit_grades([sorted(set(t.split()) & set(chosen)) for t in texts], grades, chosen)
     score = model.scorer()
     expected = model.at_least(np.array([score(t) for t in ("filler1", "badword", "badword awful", "badword awful vile")])).sum(axis=1)
     assert (np.diff(expected) > 0.4).all()
@@ -60,3 +65,81 @@ def test_without_toxic_labels_nothing_is_rejected(spark):
     model = toxicity.fit(docs, labels)
     assert not any(r.rejected for r in toxicity.score(docs, model).collect())
     assert toxicity.fit(docs.limit(0), labels.limit(0)).weights == {}
+
+
+def plain_features(text):
+    words = set(re.findall(r"\w+", text.lower()))
+    found = set(words)
+    for n in (4, 5, 6, 7):
+        for stem in {w[:n] for w in words if len(w) >= n}:
+            alike = sum(w.startswith(stem) for w in words)
+            found |= {f"{stem}*{k}" for k in (1, 2, 3) if alike >= k}
+    return found
+
+
+def test_scores_are_those_of_the_plain_formula(spark, held_out, sf_dir):
+    model, _ = held_out
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for d in docs.collect():
+        own = plain_features(d.text or "")
+        x = sum(w for f, w in model.weights.items() if f in own)
+        above = [1 / (1 + math.exp(t - x)) for t in model.thresholds]
+        r = got[d.doc_id]
+        assert abs(r.expected_severity - sum(above)) < 1e-9 and abs(r.p_toxic - above[0]) < 1e-9 and r.rejected == (above[0] >= 0.5)
+
+
+def plain_loss(found, grades, chosen, weights, thresholds, decay=3e-3):
+    """The penalised negative log-likelihood, document by document."""
+    sick = max(1, sum(g > 0 for g in grades))
+    n, loss = len(grades), 0.0
+    for own, g in zip(found, grades):
+        x = sum(weights[f] for f in own)
+        above = [1.0, *(1 / (1 + math.exp(t - x)) for t in thresholds), 0.0]
+        loss -= math.log(max(above[g] - above[g + 1], 1e-9)) * (n / 2 / sick if g else n / 2 / max(1, n - sick)) / n
+    return loss + decay / 2 * sum((weights[f] / (chosen[f] / 4) ** 2) ** 2 for f in weights)
+
+
+def test_the_fit_is_the_most_likely_one():
+    rng = random.Random(2)
+    chosen = {f"f{i}": 4.5 for i in range(4)}
+    found, grades = [], []
+    for _ in range(400):
+        own = [f for f in chosen if rng.random() < 0.4]
+        found.append(own)
+        grades.append(min(3, max(0, len(own) - 1 + (rng.random() < 0.2))))
+    model = toxicity.fit_grades(found, np.array(grades), chosen)
+    best = plain_loss(found, grades, chosen, model.weights, model.thresholds)
+    for f in chosen:
+        for step in (-0.2, 0.2):
+            assert plain_loss(found, grades, chosen, model.weights | {f: model.weights[f] + step}, model.thresholds) > best - 1e-3
+    for k in range(3):
+        for step in (-0.2, 0.2):
+            moved = [t + step * (i == k) for i, t in enumerate(model.thresholds)]
+            assert plain_loss(found, grades, chosen, model.weights, moved) > best - 1e-3
+
+
+@pytest.mark.parametrize("toxic, clean", [(3600, 3600), (3100, 5000), (4500, 3200), (300, 3500), (400, 390)])
+def test_any_mix_and_number_of_labels(spark, toxic, clean):
+    rng = random.Random(toxic + clean)
+    plain = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(4000)]
+    rude = [f"rude{c}" for c in "klmnopq"]
+    rows = []
+    for i in range(toxic + clean):
+        words = rng.choices(plain, k=60)
+        if i < toxic:
+            words[::15] = rng.choices(rude, k=4)
+        rows.append((i, " ".join(words), int(i < toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert {f"rude{c}" for c in "klmnopq"} <= set(model.weights)
+    got = toxicity.score(df.select("doc_id", "text"), model).join(df.select("doc_id", "toxic"), "doc_id").collect()
+    assert np.mean([r.rejected for r in got if r.toxic]) >= 0.99
+    assert np.mean([r.rejected for r in got if not r.toxic]) <= 0.01
+
+
+def test_repeated_labelled_ids_count_once(spark):
+    docs = spark.createDataFrame([(i % 20, f"word{i % 20} {'nasty' if i % 2 else 'kind'} thing{i % 20}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 3, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert sum(r.rejected for r in toxicity.score(docs.dropDuplicates(["doc_id"]), model).collect()) in (0, 10)
