@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -12,6 +13,19 @@ from pathlib import Path
 #: The pre-tokenizer's pattern of byte-level BPE files that split by regular expression.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space in a row from which a text may overrun the faster library's pattern search, whose stack grows with it.
+LONG_SPACE = 4096
+_LONG_SPACE = re.compile(r"(?<!\s)\s{%d}" % LONG_SPACE)
+
+
+def long_space(text: str) -> bool:
+    """Whether a text has LONG_SPACE characters of white space in a row."""
+    if len(text) < LONG_SPACE:
+        return False
+    words = text.split()
+    # white space beyond one character between words: only a text with much of it is searched
+    return len(text) - sum(map(len, words)) - len(words) + 1 >= LONG_SPACE - 1 and _LONG_SPACE.search(text) is not None
+
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -108,12 +122,16 @@ class Encoder:
         return self._fast is not None
 
     def encode(self, text: str) -> list[int]:
-        if self._fast is not None:
+        if self._fast is not None and not long_space(text):
             if any(s in text for s in self.special):
                 return self._fast.encode(text, allowed_special="all")
             return self._fast.encode_ordinary(text)
         if self.file.kind == "model":
             return self._library.encode(text)
+        if self.file.kind == "tiktoken":
+            import regex
+
+            return [i for piece in regex.findall(BYTE_LEVEL_PATTERN, text) for i in self._fast._core_bpe.encode_single_piece(piece.encode())]
         return self._library.encode(text, add_special_tokens=False).ids
 
     def count(self, text: str) -> int:

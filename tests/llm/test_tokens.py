@@ -38,6 +38,18 @@ def test_the_fast_encoder_gives_the_librarys_ids(library):
     assert [enc.encode(t) for t in groups] == [e.ids for e in library.encode_batch(groups, add_special_tokens=False)]
 
 
+def test_long_runs(spark, library):
+    texts = [" " * 2_000_000, "x" + "\n" * 2_000_000 + "y", "a" * 2_000_000, "1" * 2_000_000, "\u3000\x85" * 100_000 + "<|endoftext|>", " \t" * 4095 + "ab" * 3000]
+    ids = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    tik = encoder(TokenizerFile.read(default_path("byte_bpe_50k.tiktoken")))
+    assert all(tik.encode(t) == i for t, i in zip(texts, ids) if "<" not in t)
+    df, file = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TokenizerFile.read()
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, file).collect()} == {k: len(i) for k, i in enumerate(ids)}
+    for r in bpe.encode(df, file, ["doc_id"], digests=True).collect():
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids[r.doc_id])).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_words_encode_on_their_own(library, texts):
     enc = encoder(TokenizerFile.read())
     for t in filter(None, texts.values()):
