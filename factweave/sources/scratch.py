@@ -5,16 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    The cluster names it in spark.checkpoint.dir. Where that is unset, a local
+    session takes a temporary folder; a cluster has none that all can read.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="factweave-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder that spark.checkpoint.dir names, and read back; this cuts the lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factweave-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs a reread, not a recomputation,
+    and values that were computed once stay as they were.
+    """
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
