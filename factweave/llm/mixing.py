@@ -4,7 +4,7 @@ Each source has a mean repetition rate: its target rows over its rows. A
 document is repeated as often as a Poisson distribution with that mean says,
 inverted at a number in [0, 1) that a hash of the seed and the document gives.
 Copies are then dealt over all partitions and ordered by another hash: a global
-shuffle. The same seed gives the same mix, whatever the partitions.
+shuffle. The same seed gives the same rows, whatever the partitions.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, text_or_empty, unpacked
+from .common import dealt, materialise, packed, plan_bytes, text_or_empty, unpacked
 
 #: A larger mean is split into parts of at most this mean, whose counts add up.
 PART = 256.0
@@ -77,9 +77,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows_out: floa
     more = F.aggregate(F.sequence(F.lit(1), F.col("parts") - 1), F.lit(0), lambda acc, i: acc + draw(i))
     rows = rows.withColumn("times", F.when(F.col("parts") > 1, first + more).otherwise(first)).where("times > 0")
     copies = rows.select("row", "own_id", "own_text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
-    copies = copies.select("row", "copy", F.xxhash64(F.lit(seed), "own_id", "own_text", "copy").alias("order"))
-    dealt = copies.repartition("order").sortWithinPartitions("order")
-    return unpacked(dealt, F.col("copy").alias(replica_col)) if replica_col else unpacked(dealt)
+    # where a row was read spreads rows that are repeated as they are
+    copies = copies.select("row", "copy", F.xxhash64(F.lit(seed), "own_id", "own_text", "copy", F.spark_partition_id()).alias("order"))
+    mixed = dealt(copies, plan_bytes(docs), "order").sortWithinPartitions("order")
+    return unpacked(mixed, F.col("copy").alias(replica_col)) if replica_col else unpacked(mixed)
 
 
 #: Rows of ``mix(documents)`` with its defaults, for means up to PART.

@@ -9,16 +9,16 @@ from factweave.llm import chat, mixing
 
 def plain_chat(rows):
     convs = defaultdict(list)
-    for c, t, r, x in rows:
-        convs[c].append((t is not None, t or 0, r or "", x or ""))
+    for i, (c, t, r, x) in enumerate(rows):
+        convs[("row", i) if c is None else c].append((t is not None, t or 0, r or "", x or ""))
     turns = {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in convs.items()}
     out = {}
     for c, t in turns.items():
         if any(len(o) > len(t) and o[: len(t)] == t for o in turns.values()):
             continue
         same = [k for k, o in turns.items() if o == t]
-        known = [k for k in same if k is not None]
-        out[min(known) if known else None] = (len(t), len(same), "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in t))
+        known = [k for k in same if not isinstance(k, tuple)]
+        out[min(known) if known else ("none", *t)] = (len(t), len(same), "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in t))
     return out
 
 
@@ -26,7 +26,7 @@ def check_chat(df):
     want = plain_chat([(r.conv_id, r.turn, r.role, r.text) for r in df.collect()])
     got = chat.chat_format(df).collect()
     assert len(got) == len(want)
-    assert {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in got} == want
+    assert sorted((-1 if r.conv_id is None else r.conv_id, r.n_turns, r.n_copies, r.rendered) for r in got) == sorted((-1 if isinstance(c, tuple) else c, *v) for c, v in want.items())
 
 
 def test_conversations(spark, sf_dir):
@@ -40,7 +40,7 @@ def test_snapshots_copies_ties_and_nulls(spark):
     rows += [(4, 5, "u", "hi"), (4, 6, "a", "yo"), (4, 7, "u", "x" * 50_000)]
     rows += [(5, 0, "u", "hi"), (5, 1, "a", "no")]
     rows += [(6, 0, "u", "same"), (6, 0, "u", "same"), (7, 0, "u", "same")]
-    rows += [(8, None, None, None), (8, 1, "u", ""), (None, 0, "u", "lost"), (9, 0, "uh", "i"), (10, 0, "u", "same\0")]
+    rows += [(8, None, None, None), (8, 1, "u", ""), (None, 0, "u", "lost"), (None, 3, "u", "lost"), (None, 0, "u", "hi"), (None, None, "u", "same"), (11, 0, "u", "alone"), (None, 1, "u", "alone"), (9, 0, "uh", "i"), (10, 0, "u", "same\0")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, pos int, n_turns int")
     check_chat(df)
     assert chat.chat_format(df.limit(0)).count() == 0
@@ -99,3 +99,15 @@ def test_given_weights_and_large_means(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0 and mixing.mix(df, {}).count() == 0
+
+
+def test_long_conversations(spark):
+    rows = [(1, i, "u", f"t{i}") for i in range(3000)] + [(2, i, "u", f"t{i}") for i in range(2500)] + [(3, i, "u", f"t{i}") for i in range(2500)] + [(3, 2500, "a", "other")]
+    got = chat.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.n_turns, r.n_copies) for r in got) == [(1, 3000, 1), (3, 2501, 1)]
+
+
+def test_many_rows_without_a_conversation(spark):
+    df = spark.range(200_000).selectExpr("cast(null as long) as conv_id", "id as turn", "'u' as role", "if(id % 3 = 0, concat('t', id), 'same') as text")
+    got = chat.chat_format(df).groupBy("n_copies").count().collect()
+    assert {r.n_copies: r["count"] for r in got} == {1: 66667, 133333: 1}
