@@ -36,10 +36,12 @@ def divide(a: Column, b: Column) -> Column:
 
 
 def whole_divide(a: Column, b: Column) -> Column:
-    """Truncates towards zero; null where b is zero."""
+    """Truncates towards zero; null where b is zero. Whole numbers beyond 2^53 are divided as decimals, without loss."""
     x, y = a.try_cast("double"), b.try_cast("double")
     q = F.try_divide(x, y)
-    return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)).cast("long")
+    exact = F.try_divide(a.try_cast("decimal(19,0)"), b.try_cast("decimal(19,0)")).cast("long")
+    large = F.greatest(F.abs(x), F.abs(y)) >= 2.0**53
+    return F.when(large, exact).when(q < 0, F.ceil(q).cast("long")).otherwise(F.floor(q).cast("long"))
 
 
 def _only(ok: Column, value: Column) -> Column:

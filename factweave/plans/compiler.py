@@ -21,9 +21,9 @@ from ..functions.scalar import FUNCTIONS, number
 from ..language import syntax as S
 from ..language.parser import Parser, QueryError, parse
 from ..model import Entity, Fact, Model, Role, Value
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, scratch
 from . import determine
-from .frame import Calc, Context, Frame, Node, Pending, Source, Test, conjunction, flag, keep
+from .frame import Calc, Context, Edge, Frame, Node, Pending, Source, Test, conjunction, flag, keep
 
 COMPARE = {
     "=": lambda a, b: a == b,
@@ -184,7 +184,7 @@ class Compiler:
                 frame.df = frame.df.join(scan, known, "left_semi")
         if not entity and not optional:
             self.restrict(frame, reached)
-        frame.edges.append(determine.Edge(node, reached, fact, i, j))
+        frame.edges.append(Edge(node, reached, fact, i, j))
         if target and target in m.entities and target != dst.player and dst.player in m.supertypes(target)[1:]:
             self.narrow(frame, reached, target)
         return reached
@@ -633,18 +633,42 @@ class Compiler:
         carried = list(dict.fromkeys(b for _, b in [*lpairs, *rpairs]))
         names = {b: self.ctx.fresh("k") for b in carried}
 
+        def keys() -> DataFrame:
+            return frame.df.select(*[F.col(b).alias(names[b]) for b in carried]).distinct()
+
         def tied(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
             if {b for _, b in pairs} == set(carried) and len(pairs) == len(carried):
                 return df.select("*", *[F.col(a).alias(names[b]) for a, b in pairs])
-            base = frame.df.select(*[F.col(b).alias(names[b]) for b in carried]).distinct()
-            on = conjunction(F.col(a) == F.col(names[b]) for a, b in pairs)
-            return df.join(base, on) if on is not None else df.crossJoin(base)
+            return df.join(keys(), conjunction(F.col(a) == F.col(names[b]) for a, b in pairs))
+
+        def members(df: DataFrame, cols: list[str], pairs) -> DataFrame:
+            return df.select(*dict.fromkeys([*cols, *[x for x, _ in pairs]])).distinct()
+
+        def equal(acols: list[str], bcols: list[str]) -> list[Column]:
+            return [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(acols, bcols, strict=True)]
+
+        def lacking(a: DataFrame, acols: list[str], b: DataFrame, bcols: list[str], bpairs) -> Test:
+            """Outer keys whose set b lacks a member of a, which is one set for all of them.
+
+            Members are matched by value and counted for each key, so no key meets a member that it lacks.
+            """
+            wanted = members(a, acols, [])
+            size, met = self.ctx.fresh("size"), self.ctx.fresh("met")
+            matched = members(b, bcols, bpairs).join(wanted, conjunction(equal(acols, bcols)), "left_semi")
+            own = [F.col(x).alias(f"{met}_{i}") for i, (x, _) in enumerate(bpairs)]
+            counts = matched.groupBy(*own).agg(F.count(F.lit(1)).alias(met))
+            on = conjunction(F.col(f"{met}_{i}") == F.col(names[y]) for i, (_, y) in enumerate(bpairs))
+            full = keys().join(counts, on, "left").crossJoin(F.broadcast(wanted.agg(F.count(F.lit(1)).alias(size))))
+            return Test(full.where(F.coalesce(F.col(met), F.lit(0)) < F.col(size)), [(names[k], k) for k in carried])
 
         def apart(a: DataFrame, acols: list[str], apairs, b: DataFrame, bcols: list[str], bpairs, how: str) -> Test:
+            if carried and not apairs and how == "left_anti":
+                return lacking(a, acols, b, bcols, bpairs)
+            if carried and not apairs:
+                a, acols, apairs, b, bcols, bpairs = b, bcols, bpairs, a, acols, apairs
             wide = tied(a, apairs)
-            on = [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(acols, bcols, strict=True)] + [F.col(x) == F.col(names[y]) for x, y in bpairs]
-            b = b.select(*dict.fromkeys([*bcols, *[x for x, _ in bpairs]])).distinct()
-            return Test(wide.join(b, conjunction(on), how), [(names[k], k) for k in carried])
+            on = equal(acols, bcols) + [F.col(x) == F.col(names[y]) for x, y in bpairs]
+            return Test(wide.join(members(b, bcols, bpairs), conjunction(on), how), [(names[k], k) for k in carried])
 
         over = lambda: apart(left, lcols, lpairs, right, rcols, rpairs, "left_anti")  # noqa: E731  in left only
         under = lambda: apart(right, rcols, rpairs, left, lcols, lpairs, "left_anti")  # noqa: E731  in right only
@@ -855,7 +879,7 @@ class Compiler:
     def once(self, sub: Frame, value: Column, nodes: tuple[Node, ...], keys: list[str], a: S.Aggregate) -> None:
         """Make a bag's rows distinct by what owns the value, where the path repeats it."""
         sub.value_col = None
-        det = determine.once(sub, nodes)
+        det = determine.repeated(sub, nodes)
         if det is None:
             return
         self.identified(det)
@@ -1011,17 +1035,17 @@ class Compiler:
                 self.refuse_multiplied(frame, read, nodes, "a grouped count")
                 plain.append(self.fold(frame, a, value, False).alias(p.col))
                 continue
-            how, det = determine.grouped(frame, read, nodes)
-            if how == "constant" and a.function in ("sum", "avg", "median"):
+            det = determine.repeated(frame, read, nodes)
+            if a.function in ("sum", "avg", "median") and determine.constant(frame, read, nodes):
                 plain.append(F.min(value).alias(p.col))
-            elif how == "distinct":
+            elif det is not None and not determine.constant(frame, read, nodes):
                 self.identified(det)
                 name = frame.add(value, "v")
                 by = [c for n in (self.reads(frame, a.by) if a.by is not None else ()) for c in n.cols]
                 apart.append((p, [*[c for n in det for c in n.cols], *by, name], self.fold(frame, a, F.col(name), False).alias(p.col)))
             else:
                 plain.append(self.fold(frame, a, value, False).alias(p.col))
-        fixed, _ = determine.settled(frame, nodes)
+        fixed = determine.closure(frame, nodes)
         carried: dict[str, None] = {}
         for name, found in frame.names.items():
             if isinstance(found, Pending):
@@ -1286,7 +1310,7 @@ class Compiler:
         if frame.grouped:
             functional = set(frame.key_nodes) == {first} or bool(per)
         else:
-            fixed, _ = determine.settled(frame, [first])
+            fixed = determine.closure(frame, [first])
             functional = bool(per) or all((n in fixed) if isinstance(n, Node) else False for n in nodes[1:])
         for item, node, span in zip(items[1:], nodes[1:], spans[1:], strict=True):
             stem = re.sub(r"\W+", "", item.label)
@@ -1298,13 +1322,15 @@ class Compiler:
             keys = (frozenset((0,)),) if functional else (frozenset((0, 1)),)
             m.facts.append(Fact(f"{name}{stem}", name, (Role(first.type, spans[0]), Role(player, span, mandatory=False)), ((f"has {name}", 0, 1), (f"is {name} of", 1, 0)), keys))
 
-    def recursive(self, name: str, source: str, rounds: int = 200) -> DataFrame:
+    def recursive(self, name: str, source: str, rounds: int | None = None) -> DataFrame:
         """A derived fact that may name itself: its least fixpoint.
 
         source: queries joined by UNITED WITH; those that name the fact are
         repeated over the rows that the last round added (all rows so far, where
-        a query names the fact twice) until a round adds none. Every round's
-        rows are written to the shared folder, so that plans stay short.
+        a query names the fact twice) until a round adds none, or at most
+        ``rounds`` times if that is given. Every round's rows are a folder of
+        their own in the shared one, and all rows so far are one scan of these,
+        so that plans stay short however many rounds it takes.
         """
         names = re.compile(rf"\bhas {name}\b|\bis {name} of\b")
         q = self.split_union(source)
@@ -1313,29 +1339,36 @@ class Compiler:
         if not base:
             raise QueryError(f"{name} has no operand to start from that does not name {name} itself")
         frames = []
-        total = None
+        found = None
         for text in base:
             parsed = parse(self.model, text).query
             df, labels, frame = self.query(parsed, Frame(self.ctx))
             frames.append((labels, frame, parsed))
-            total = df if total is None else total.union(df.toDF(*total.columns))
-        total = materialise(total.distinct(), name)
+            found = df if found is None else found.union(df.toDF(*found.columns))
         labels, frame, parsed = frames[0]
-        self.register(name, total, labels, frame, parsed)
-        delta = total
+        folders: list[str] = []
+
+        def keep_round(df: DataFrame) -> DataFrame:
+            folders.append(scratch(self.ctx.spark, name))
+            df.write.parquet(folders[-1])
+            return self.ctx.spark.read.schema(df.schema).parquet(folders[-1])
+
+        delta = keep_round(found.distinct())
+        self.register(name, delta, labels, frame, parsed)
         columns = [f"c{i}" for i in range(len(labels))]
-        for _ in range(rounds):
-            if not steps or delta.isEmpty():
-                return total
+        while steps and not delta.isEmpty():
+            if rounds is not None and len(folders) > rounds:
+                raise QueryError(f"{name} still grows after {rounds} rounds")
+            total = self.ctx.spark.read.schema(delta.schema).parquet(*folders)
             found = None
             for text in steps:
                 self.ctx.derived[name] = (total if len(names.findall(text)) > 1 else delta).toDF(*columns)
                 df, _, _ = self.query(parse(self.model, text).query, Frame(self.ctx))
                 found = df.toDF(*labels) if found is None else found.union(df.toDF(*labels))
-            delta = materialise(found.distinct().subtract(total), name)
-            total = total.union(delta)
-            self.ctx.derived[name] = total.toDF(*columns)
-        raise QueryError(f"{name} still grows after {rounds} rounds")
+            delta = keep_round(found.subtract(total))
+        total = self.ctx.spark.read.schema(delta.schema).parquet(*folders)
+        self.ctx.derived[name] = total.toDF(*columns)
+        return total
 
     def split_union(self, source: str) -> list[str]:
         parts, depth, start = [], 0, 0
@@ -1386,12 +1419,13 @@ def cut_rows(df: DataFrame, order: list[tuple[Column, bool]], cut: S.Cut | None,
     keys = [c.desc_nulls_last() if descending else c.asc_nulls_first() for c, descending in order]
     if cut and cut.ties and (not keys or cut.after):
         raise QueryError("WITH TIES needs a sort key, and no AFTER")
-    if cut and (per or cut.ties):
-        by = Window.partitionBy(*per) if per else Window.partitionBy(F.lit(0))
-        by = by.orderBy(*(keys or [F.lit(0)]))
+    if cut and per:
+        by = Window.partitionBy(*per).orderBy(*(keys or [F.lit(0)]))
         place = (F.rank() if cut.ties else F.row_number()).over(by)
         df = df.withColumn("place", place).where((F.col("place") <= cut.first + cut.after) & (F.col("place") > cut.after))
         return df.orderBy(*keys) if keys else df
+    if cut and cut.ties:
+        return with_ties(df, order, cut.first).orderBy(*keys)
     if keys:
         df = df.orderBy(*keys)
     if cut:
@@ -1399,6 +1433,20 @@ def cut_rows(df: DataFrame, order: list[tuple[Column, bool]], cut: S.Cut | None,
     return df
 
 
+def with_ties(df: DataFrame, order: list[tuple[Column, bool]], first: int) -> DataFrame:
+    """The first rows of an order and all that tie with the last of them: rows up to the key of one row."""
+    named = df.select("*", *[c.alias(f"tie{i}") for i, (c, _) in enumerate(order)])
+    sort = lambda turn: [F.col(f"tie{i}").desc_nulls_last() if down != turn else F.col(f"tie{i}").asc_nulls_first() for i, (_, down) in enumerate(order)]
+    edge = named.orderBy(*sort(False)).limit(first).orderBy(*sort(True)).limit(1).select(*[F.col(f"tie{i}").alias(f"edge{i}") for i in range(len(order))])
+    inside = F.lit(True)
+    for i, (_, down) in reversed(list(enumerate(order))):
+        x, e = F.col(f"tie{i}"), F.col(f"edge{i}")
+        # nulls come first ascending, last descending
+        before = F.coalesce(x > e, x.isNotNull() & e.isNull()) if down else F.coalesce(x < e, x.isNull() & e.isNotNull())
+        inside = before | (x.eqNullSafe(e) & inside)
+    return named.crossJoin(F.broadcast(edge)).where(inside).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def run(spark: SparkSession, model: Model, source: Source, text: str, permissive: bool = False) -> DataFrame:
     """Compile a query to a DataFrame. Only recursive rules run jobs before an action."""
     ctx = Context(spark, model, source, permissive)

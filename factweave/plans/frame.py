@@ -54,7 +54,7 @@ class Pending:
     extra: dict[str, Any] = field(default_factory=dict)
 
 
-@dataclass
+@dataclass(eq=False)
 class Edge:
     src: Node
     dst: Node
@@ -190,9 +190,10 @@ def carry(frame: Frame, test: Test, far: list[tuple[str, str]], exists: bool) ->
     if not exists or test.theta:
         raise QueryError("a negated test refers to a name two levels out: bind it in between")
     near = [p for p in test.pairs if p not in far]
+    if not near:
+        raise QueryError("a test refers only to names further out: state it there")
     found = test.df.select(*dict.fromkeys(a for a, _ in test.pairs)).distinct()
-    on = conjunction(F.col(a) == F.col(b) for a, b in near)
-    frame.df = frame.df.join(found, on) if on is not None else frame.df.crossJoin(found)
+    frame.df = frame.df.join(found, conjunction(F.col(a) == F.col(b) for a, b in near))
     frame.pairs += far
 
 

@@ -64,29 +64,32 @@ def repeats(df: DataFrame, columns: tuple[str, ...]) -> bool:
     return not df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty()
 
 
-def unique_sets(df: DataFrame, known: dict[str, ColumnFacts], arity: int = 3, budget: int = 120) -> list[tuple[str, ...]]:
-    """K6: minimal unique column combinations of never-null columns.
+#: Rows that refute most combinations before any pass over the whole table.
+REFUTING = 2000
+
+
+def unique_sets(df: DataFrame, known: dict[str, ColumnFacts], arity: int = 3) -> list[tuple[str, ...]]:
+    """K6: minimal unique column combinations of never-null columns, of at most ``arity`` columns.
 
     A combination is looked at only if the product of its columns' distinct
-    counts reaches the number of rows and no part of it is unique already.
+    counts reaches the number of rows and no part of it is unique already. One
+    that repeats in REFUTING rows is not unique; all others are tried on all rows.
     """
     rows = next(iter(known.values())).rows if known else 0
     if not rows:
         return []
     columns = [c for c, k in known.items() if k.never_null and k.distinct > 1]
     found = [(c,) for c in columns if known[c].distinct == rows]
-    looked = 0
+    rest = [c for c in columns if (c,) not in found]
+    some = df.select(*[F.col(f"`{c}`") for c in rest]).limit(REFUTING).collect() if len(rest) > 1 else []
     for size in range(2, arity + 1):
-        for combo in combinations([c for c in columns if (c,) not in found], size):
+        for combo in combinations(rest, size):
             reach = 1
             for c in combo:
                 reach *= known[c].distinct
             if reach < rows or any(set(u) <= set(combo) for u in found):
                 continue
-            looked += 1
-            if looked > budget:
-                return found
-            if not repeats(df, combo):
+            if len({tuple(r[c] for c in combo) for r in some}) == len(some) and not repeats(df, combo):
                 found.append(combo)
     return found
 

@@ -84,6 +84,15 @@ class Service:
                 print(json.dumps(self.answer(line), default=str), file=out, flush=True)
 
 
+def shown(spark: SparkSession, df: DataFrame, limit: int) -> str:
+    """The first rows as a table, and how many there are; the query runs once."""
+    rows = df.limit(limit + 1).collect()
+    if not rows:
+        return NOTICE
+    table = spark.createDataFrame(rows[:limit], df.schema)._show_string(limit, False)
+    return f"{table}{f'more than {limit}' if len(rows) > limit else len(rows)} rows"
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="factweave", description="Ask a conceptual model.")
     p.add_argument("model", help="a model's JSON file")
@@ -134,7 +143,5 @@ def main(argv: list[str] | None = None) -> int:
         except QueryError as why:
             print(why, file=sys.stderr)
             return 1
-        df.show(a.limit, truncate=False)
-        if df.isEmpty():
-            print(NOTICE)
+        print(shown(spark, df, a.limit))
     return 0

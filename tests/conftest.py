@@ -1,5 +1,9 @@
+"""Ferries, their ports, sailings and cargo: one small world for the tests of the language."""
+
 import tempfile
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -7,6 +11,21 @@ from factweave.model import Model
 from factweave.plans.compiler import run
 from factweave.sources.tables import frames
 
+ROWS = {
+    "port": ("port_id int, port_name string, depth double", [(1, "Arnis", 4.5), (2, "Kappeln", 6.0), (3, "Maasholm", 3.0), (4, "Hallig", 2.5)]),
+    "ferry": (
+        "hull int, ferry_name string, seats int, fuel string, built string, home int, relief int",
+        [(11, "Albatros", 200, "diesel", "1998-04-02", 1, None), (12, "Brise", 80, "electric", "2019-06-30", 1, 11), (13, "Condor", 350, "diesel", "1987/09/12", 2, 11), (14, "Dorsch", 40, "steam", "2/5/1931", 3, 12), (15, "Elster", 120, "electric", "2022-02-28", None, 13)],
+    ),
+    "icebreaker": ("hull int, thickness int", [(13, 60), (14, 25)]),
+    "sailing": (
+        "sailing_nr int, hull int, start_port int, goal_port int, day string, fare double, riders int",
+        [(1, 11, 1, 2, "2024-05-01", 12.5, 150), (2, 11, 2, 1, "2024-05-01", 12.5, 90), (3, 12, 1, 3, "2024-05-02", 8.0, 75), (4, 13, 2, 4, "2024-05-02", 30.0, None), (5, 13, 4, 2, "2024-05-03", 30.0, 300), (6, 14, 3, 1, "2024-05-04", 20.0, 38), (7, 12, 3, 1, "2024-05-04", 8.0, 10)],
+    ),
+    "goods": ("goods_code string, goods_name string, hazard int", [("FI", "Fish", 1), ("OI", "Oil", 3), ("SA", "Salt", 1), ("WO", "Wool", 2)]),
+    "cargo": ("sailing_nr int, goods_code string, tonnes int", [(1, "FI", 5), (1, "SA", 2), (3, "FI", 1), (4, "OI", 40), (5, "SA", 10), (5, "FI", 3), (6, "WO", 7)]),
+}
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,41 +41,47 @@ def spark():
     return session
 
 
-def company_model() -> Model:
-    m = Model("company")
-    m.entity("Department", "department", "dept_code").entity("Employee", "employee", "emp_nr").entity("Manager", "manager", "emp_nr", supertype="Employee")
-    m.entity("Project", "project", "proj_code").entity("Assignment", "assignment", "emp_nr", "proj_code")
-    m.attribute("Department", "DepartmentCode", "dept_code").attribute("Department", "DepartmentName", "dept_name", unique=True).attribute("Department", "DepartmentBudget", "budget", "double")
-    for value, column, kind in (("EmployeeNr", "emp_nr", "int"), ("EmployeeName", "emp_name", "string"), ("EmployeeSalary", "salary", "double"), ("EmployeeGender", "gender", "string"), ("EmployeeHired", "hired", "date")):
-        m.attribute("Employee", value, column, kind)
-    m.attribute("Manager", "CarSpace", "car_space", "int").attribute("Project", "ProjectName", "proj_name").attribute("Project", "ProjectPriority", "priority", "int").attribute("Project", "ProjectCode", "proj_code")
-    m.attribute("Assignment", "AssignmentHours", "hours", "int")
-    m.reference("Employee", "Department", ("dept_code",), "has", "is of")
-    m.reference("Employee", "Employee", ("manager_nr",), "has manager", "is manager of", role="Boss")
-    m.reference("Assignment", "Employee", ("emp_nr",), "is of", "has")
-    m.reference("Assignment", "Project", ("proj_code",), "has", "is of")
-    m.macros["wellpaid"] = (("s",), "s > 100000")
+def ferry_model() -> Model:
+    m = Model("ferries")
+    m.entity("Port", "port", "port_id").entity("Ferry", "ferry", "hull").entity("Icebreaker", "icebreaker", "hull", supertype="Ferry")
+    m.entity("Sailing", "sailing", "sailing_nr").entity("Goods", "goods", "goods_code").entity("Cargo", "cargo", "sailing_nr", "goods_code")
+    m.attribute("Port", "PortName", "port_name", unique=True, mandatory=True).attribute("Port", "Depth", "depth", "double", mandatory=True)
+    for value, column, kind in (("HullNr", "hull", "int"), ("FerryName", "ferry_name", "string"), ("Seats", "seats", "int"), ("Fuel", "fuel", "string"), ("Built", "built", "string")):
+        m.attribute("Ferry", value, column, kind)
+    m.attribute("Icebreaker", "Thickness", "thickness", "int")
+    for value, column, kind in (("SailingNr", "sailing_nr", "int"), ("Day", "day", "string"), ("Fare", "fare", "double"), ("Riders", "riders", "int")):
+        m.attribute("Sailing", value, column, kind)
+    m.attribute("Goods", "GoodsCode", "goods_code").attribute("Goods", "GoodsName", "goods_name").attribute("Goods", "Hazard", "hazard", "int", low=1, high=3)
+    m.attribute("Cargo", "Tonnes", "tonnes", "int")
+    m.reference("Ferry", "Port", ("home",), "lies in", "shelters")
+    m.reference("Ferry", "Ferry", ("relief",), "has relief", "is relief of", role="Reliever")
+    m.reference("Sailing", "Ferry", ("hull",), "is run by", "runs", mandatory=True)
+    m.reference("Sailing", "Port", ("start_port",), "starts in", "is start of", mandatory=True)
+    m.reference("Sailing", "Port", ("goal_port",), "goes to", "is goal of", mandatory=True)
+    m.reference("Cargo", "Sailing", ("sailing_nr",), "is on", "carries", mandatory=True)
+    m.reference("Cargo", "Goods", ("goods_code",), "is of", "travels as", mandatory=True)
+    m.macros["dear"] = (("x",), "x >= 20")
     return m
 
 
 @pytest.fixture(scope="session")
-def company(spark):
-    tables = {
-        "department": spark.createDataFrame([("SALES", "Sales", 900000.0), ("ENG", "Engineering", 2400000.0), ("HR", "People", 300000.0)], "dept_code string, dept_name string, budget double"),
-        "employee": spark.createDataFrame(
-            [(1, "Ann", 150000.0, "F", "2015-03-01", "ENG", None), (2, "Bob", 90000.0, "M", "2016-05-10", "SALES", 1), (3, "Cat", 120000.0, "F", "2017-07-20", "ENG", 1), (4, "Dan", 110000.0, "M", "2014-01-15", "SALES", 1), (5, "Eve", 105000.0, "F", "2018-11-02", "ENG", 4), (6, "Fay", None, "F", "2020-02-29", "HR", 4)],
-            "emp_nr int, emp_name string, salary double, gender string, hired string, dept_code string, manager_nr int",
-        ),
-        "manager": spark.createDataFrame([(1, 7), (4, 9)], "emp_nr int, car_space int"),
-        "project": spark.createDataFrame([("P1", "Mercury", 1), ("P2", "Venus", 3), ("P3", "Mars", 5)], "proj_code string, proj_name string, priority int"),
-        "assignment": spark.createDataFrame([(1, "P1", 10), (1, "P2", 20), (2, "P1", 30), (3, "P2", 5), (3, "P3", 15), (4, "P1", 8), (5, "P3", 40)], "emp_nr int, proj_code string, hours int"),
-    }
+def duck():
+    con = duckdb.connect()
+    for name, (schema, rows) in ROWS.items():
+        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).convert_dtypes()
+        con.register(f"{name}_rows", frame)
+        con.execute(f"create table {name} as select * from {name}_rows")
+    return con
+
+
+@pytest.fixture(scope="session")
+def ferries(spark):
+    tables = {name: spark.createDataFrame(rows, schema) for name, (schema, rows) in ROWS.items()}
     source = frames(**tables)
-    model = company_model()
+    model = ferry_model()
 
     def ask(text, **more):
         return [tuple(r) for r in run(spark, more.pop("model", model), source, text, **more).collect()]
 
     ask.model, ask.source, ask.tables = model, source, tables
     return ask
-

@@ -10,15 +10,15 @@ from factweave.language.parser import QueryError, parse
 from factweave.model import Model, ModelError
 from factweave.plans import tpch
 from factweave.plans.catalogue import PATHS
-from factweave.service import Service
+from factweave.service import Service, shown
 from factweave.sqlguard import check
 
 
-def test_normal_form_is_a_fixed_point_and_means_the_same(company):
-    for text in ["LIST n FROM Employee [has EmployeeGender: 'F'] has EmployeeName n AND ALSO has EmployeeSalary s WHERE s > 100000 ORDERED WITH s DESCENDING THE FIRST 2", "LIST d, c FROM Employee e has Department has DepartmentCode d AND ALSO THE COUNT OF e GROUPED BY d AS c WHERE c > 1", "THE SUM OF b IN Employee has Department has DepartmentBudget b"]:
-        once = normal.query(parse(company.model, text).query)
-        assert normal.query(parse(company.model, once).query) == once
-        assert sorted(company(once)) == sorted(company(text))
+def test_normal_form_is_a_fixed_point_and_means_the_same(ferries):
+    for text in ["LIST n FROM Ferry [lies in Port: 1] has FerryName n AND ALSO has Seats s WHERE s > 50 ORDERED WITH s THE FIRST 2", "LIST p, c FROM Sailing x goes to Port p AND ALSO THE COUNT OF x GROUPED BY p AS c WHERE c > 1", "THE SUM OF s IN Sailing is run by Ferry has Seats s"]:
+        once = normal.query(parse(ferries.model, text).query)
+        assert normal.query(parse(ferries.model, once).query) == once
+        assert sorted(ferries(once)) == sorted(ferries(text))
 
 
 @pytest.mark.parametrize("key", [k for k, (t, _) in PATHS.items() if "DEFINE" not in t])
@@ -28,31 +28,31 @@ def test_every_registered_query_has_a_normal_form(key):
     assert normal.query(parse(m, once).query) == once
 
 
-def test_explain_names_what_is_dropped_and_what_is_chance(company):
-    r = explain.explain(company.model, "LIST n FROM Employee has EmployeeName n AND ALSO has EmployeeSalary s THE FIRST 2")
-    assert r.risks == 1 and any("EmployeeSalary" in x for x in r.requires)
+def test_explain_names_what_is_dropped_and_what_is_chance(ferries):
+    r = explain.explain(ferries.model, "LIST n FROM Sailing has SailingNr n AND ALSO has Riders r THE FIRST 2")
+    assert r.risks == 1 and any("Riders" in x for x in r.requires)
     assert "Normalised" in r.text() and json.dumps(r.as_dict())
-    assert explain.explain(company.model, "LIST n FROM Employee has EmployeeName n AND ALSO has EmployeeSalary s ORDERED WITH s THE FIRST 2").risks == 0
+    assert explain.explain(ferries.model, "LIST n FROM Sailing has SailingNr n AND ALSO has Riders r ORDERED WITH r THE FIRST 2").risks == 0
 
 
-def test_listing_and_linking(company):
-    listing = explain.schema(company.model, relational=True)
-    assert "Employee has Department" in listing and "employee.dept_code" in listing
-    found = explain.link(company.model, "What is the average salary for each department?")
-    assert {"EmployeeSalary", "Department", "Employee"} <= found and "ProjectPriority" not in found
+def test_listing_and_linking(ferries):
+    listing = explain.schema(ferries.model, relational=True)
+    assert "Ferry lies in Port" in listing and "ferry.home" in listing
+    found = explain.link(ferries.model, "How many seats do ferries in each port have?")
+    assert {"Seats", "Ferry", "Port"} <= found and "Tonnes" not in found
 
 
-def test_rules_and_abstraction(company):
-    said = explain.rules(company.model)
-    assert "Each Employee has at most one Department." in said and "Each Manager is a Employee." in said
-    ladder = explain.abstraction(company.model)
-    assert ladder[0][0] == "Employee" and ladder[-1] == ["Employee"]
-    assert "create table employee" in explain.annotated_ddl(company.model)
+def test_rules_and_abstraction(ferries):
+    said = explain.rules(ferries.model)
+    assert "Each Ferry lies in at most one Port." in said and "Each Icebreaker is a Ferry." in said
+    ladder = explain.abstraction(ferries.model)
+    assert ladder[-1] == ["Ferry"] and len(ladder[0]) == 6
+    assert "create table sailing" in explain.annotated_ddl(ferries.model)
 
 
-def test_model_round_trip_and_problems(company):
-    assert Model.from_json(company.model.to_json()).to_json() == company.model.to_json()
-    assert company.model.problems() == [] and tpch.model().problems() == []
+def test_model_round_trip_and_problems(ferries):
+    assert Model.from_json(ferries.model.to_json()).to_json() == ferries.model.to_json()
+    assert ferries.model.problems() == [] and tpch.model().problems() == []
     bad = Model("x").entity("A", "a", "id", supertype="B")
     bad.entity("C", "c")
     assert len(bad.problems()) == 2
@@ -60,34 +60,38 @@ def test_model_round_trip_and_problems(company):
         Model("y").entity("A", "a", "i", supertype="B").entity("B", "b", "i", supertype="A").supertypes("A")
 
 
-def test_exports(company):
-    xml = export.orm_xml(company.model)
+def test_exports(ferries):
+    xml = export.orm_xml(ferries.model)
     assert export.check_xml(xml) == [] and "UniquenessConstraint" in xml
-    assert export.check_xml(xml.replace('id="_Employee"', 'id="_Other"', 1))
-    page = export.html(company.model)
-    assert page == export.html(company.model) and "Employee" in page
+    assert export.check_xml(xml.replace('id="_Ferry"', 'id="_Boat"', 1))
+    page = export.html(ferries.model)
+    assert page == export.html(ferries.model) and "Ferry" in page
 
 
-def test_guard_finds_traps_that_change_the_answer(spark, company):
-    t = company.tables
-    for name, df in t.items():
+def test_guard_finds_traps_that_change_the_answer(spark, ferries):
+    for name, df in ferries.tables.items():
         df.createOrReplaceTempView(name)
-    columns = {n: df.columns for n, df in t.items()}
-    kinds = lambda sql: {g.kind for g in check(spark.sql(sql), company.model, columns)}
-    assert "fan trap" in kinds("select sum(budget) from department d join employee e on e.dept_code = d.dept_code")
-    assert kinds("select sum(salary) from department d join employee e on e.dept_code = d.dept_code") == set()
-    assert "cross product" in kinds("select count(*) from department cross join project")
-    assert "sum of distinct" in kinds("select sum(distinct salary) from employee")
+    columns = {n: df.columns for n, df in ferries.tables.items()}
+    kinds = lambda sql: {g.kind for g in check(spark.sql(sql), ferries.model, columns)}
+    assert "fan trap" in kinds("select sum(seats) from ferry f join sailing s on s.hull = f.hull")
+    assert kinds("select sum(fare) from ferry f join sailing s on s.hull = f.hull") == set()
+    assert "cross product" in kinds("select count(*) from port cross join goods")
+    assert "sum of distinct" in kinds("select sum(distinct fare) from sailing")
 
 
-def test_service_answers_and_restricts(spark, company):
-    s = Service(spark, company.model, company.source)
+def test_service_answers_and_restricts(spark, ferries):
+    s = Service(spark, ferries.model, ferries.source)
     ask = lambda **a: s.answer(json.dumps(a))
-    assert len(ask(tool="query", arguments={"query": "LIST n FROM Employee has EmployeeName n"})["result"]["rows"]) == 6
-    assert ask(tool="query", arguments={"query": "LIST n FROM Employee: 99 has EmployeeName n"})["result"]["notice"]
-    assert "error" in ask(tool="nothing") and "error" in ask(tool="sql", arguments={"sql": "drop table employee"})
-    assert ask(tool="sql", arguments={"sql": "select sum(budget) as s from department d join employee e on e.dept_code = d.dept_code"})["result"]["findings"]
-    assert "refused" in ask(tool="query", arguments={"query": "LIST n FROM Employee has EmployeeName n THE FIRST 1", "strict": True})["result"]
-    narrow = Service(spark, company.model, company.source, {"Employee", "EmployeeName"})
+    assert len(ask(tool="query", arguments={"query": "LIST n FROM Ferry has FerryName n"})["result"]["rows"]) == 5
+    assert ask(tool="query", arguments={"query": "LIST n FROM Ferry: 99 has FerryName n"})["result"]["notice"]
+    assert "error" in ask(tool="nothing") and "error" in ask(tool="sql", arguments={"sql": "drop table ferry"})
+    assert ask(tool="sql", arguments={"sql": "select sum(seats) as s from ferry f join sailing x on x.hull = f.hull"})["result"]["findings"]
+    assert "refused" in ask(tool="query", arguments={"query": "LIST n FROM Ferry has FerryName n THE FIRST 1", "strict": True})["result"]
+    narrow = Service(spark, ferries.model, ferries.source, {"Ferry", "FerryName"})
     with pytest.raises(QueryError):
-        narrow.tool_query("LIST s FROM Employee has EmployeeSalary s")
+        narrow.tool_query("LIST s FROM Ferry has Seats s")
+
+
+def test_shown_rows_are_counted_by_one_run(spark):
+    assert shown(spark, spark.range(3), 5).endswith("3 rows") and shown(spark, spark.range(9), 5).endswith("more than 5 rows")
+    assert shown(spark, spark.range(0), 5).startswith("no rows")

@@ -1,11 +1,14 @@
 """Recursive rules, constraints, streams, plan shapes."""
 
+import re
+
 import pytest
 
 from factweave.language.parser import QueryError
 from factweave.model import Constraint, Model, Rule
 from factweave.plans import tpch
-from factweave.plans.compiler import run, violations
+from factweave.plans.catalogue import PATHS
+from factweave.plans.compiler import Compiler, Context, run, violations
 from factweave.sources.tables import files, frames
 from factweave.streaming import continuous
 
@@ -32,11 +35,33 @@ def test_closure_of_a_cycle_and_of_a_chain(spark, source):
     assert len(run(spark, chain(source), line, "LIST a, b FROM Step a has Reach Step b").collect()) == 21
 
 
-def test_constraints_report_counter_examples(spark, company):
-    m = company.model.copy()
-    m.constraints = [Constraint("paid", "Employee BUT NOT has EmployeeSalary"), Constraint("named", "Employee BUT NOT has EmployeeName")]
-    found = violations(spark, m, company.source)
-    assert [r[0] for r in found["paid"]] == [6] and found["named"] == []
+def test_a_chain_of_many_rounds(spark):
+    line = frames(steps=spark.createDataFrame([(i, i + 1) for i in range(24)], "step int, next_step int"))
+    assert len(run(spark, chain(LINEAR), line, "LIST a, b FROM Step a has Reach Step b").collect()) == 300
+    with pytest.raises(QueryError, match="still grows"):
+        compiler = Compiler(Context(spark, chain(LINEAR), line))
+        compiler.recursive("Reach", LINEAR, rounds=5)
+
+
+def test_constraints_report_counter_examples(spark, ferries):
+    m = ferries.model.copy()
+    m.constraints = [Constraint("counted", "Sailing BUT NOT has Riders"), Constraint("named", "Ferry BUT NOT has FerryName")]
+    found = violations(spark, m, ferries.source)
+    assert [r[0] for r in found["counted"]] == [4] and found["named"] == []
+
+
+def test_sets_are_compared_without_products(spark):
+    """D10 to D16 by hash joins alone, whatever may be broadcast; only one-row counts are joined without keys."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for key in ("D10_subset", "D11_superset", "D12_equal", "D13_not_equal", "D14_proper_subset", "D15_disjoint", "D16_bag_cut"):
+            plan = run(spark, tpch.model(), files(spark, SF), PATHS[key][0])._jdf.queryExecution().optimizedPlan().toString()
+            assert "CartesianProduct" not in plan
+            for line in plan.splitlines():
+                if re.search(r"Join Inner\s*$|Join Cross|Join Inner, rightHint", line):
+                    assert "broadcast" in line, (key, line)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_references_to_another_unique_column(spark):
