@@ -3,7 +3,7 @@
 A query's score is a sum over components, so each component is a list of
 candidates sorted by what they add: from its upper end for queries with a
 positive component there, from its lower end for the others. Lists are read in
-step, for a batch of queries at a time. A candidate's lower bound counts the
+step, in doubling depths, for a batch of queries at a time. A candidate's lower bound counts the
 least that each unread list could add, its upper bound the last value read
 there. A query stops when the k-th best lower bound exceeds the upper bound of
 all but a few candidates, unseen ones included; these few are resolved to their
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .vectors import best, search, usable
 
-#: Depths, as shares of the lists, after which bounds are compared.
-DEPTHS = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
+#: Share of the lists after which bounds are compared first; each later depth is twice as far.
+FIRST = 1 / 8
+#: If the bounds leave more than this share of candidates open, the next depth is the lists' end.
+HOPELESS = 0.5
 #: Queries that are read for together: bounds of one batch and block are held at a time.
 BATCH = 512
 
@@ -45,10 +47,11 @@ class SortedLists:
         above, below = np.broadcast_to(self.low, self.real.shape).copy(), np.broadcast_to(self.high, self.real.shape).copy()
         seen_above, seen_below = np.zeros(above.shape, bool), np.zeros(above.shape, bool)
         read = 0
-        for depth in DEPTHS:
-            upto = n if depth == 1 else int(depth * n)
-            if upto <= min(k, n - 1):
-                continue
+        upto = max(int(FIRST * n), min(k + 1, n))
+        while True:
+            if upto >= n:
+                yield from self._all(queries, active, own, ids, k)
+                return
             for order, known, seen in ((self.rising[::-1], above, seen_above), (self.rising, below, seen_below)):
                 new = order[read:upto]
                 np.put_along_axis(known, new, np.take_along_axis(self.real, new, axis=0), axis=0)
@@ -64,7 +67,8 @@ class SortedLists:
             floor = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(active), -np.inf, kind)
             open_ = upper + slack[active] >= floor - slack[active]
             open_ &= ~same
-            few = (open_.sum(axis=0) <= max(8 * k, n // 64)) | (upto == n)
+            left = open_.sum(axis=0)
+            few = left <= max(8 * k, n // 64)
             for i in np.flatnonzero(few):
                 contenders = np.flatnonzero(open_[:, i])
                 scores = self.vectors[contenders] @ queries[active[i]]
@@ -73,6 +77,20 @@ class SortedLists:
             active = active[~few]
             if not len(active):
                 return
+            upto = n if np.median(left[~few]) > HOPELESS * n else 2 * upto
+
+    def _all(self, queries: np.ndarray, active: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
+        """At the lists' end both bounds are the score, but for rounding."""
+        n = len(ids)
+        scores = self.real @ queries[active].T.astype(self.real.dtype)
+        slack = 1e-4 * (np.abs(queries[active]).astype(scores.dtype) @ np.maximum(np.abs(self.low), np.abs(self.high)) + 1)
+        for i, a in enumerate(active):
+            score = np.where(ids == own[a], -np.inf, scores[:, i])
+            floor = np.partition(score, n - k)[n - k] if n > k else -np.inf
+            contenders = np.flatnonzero((score >= floor - 2 * slack[i]) & (ids != own[a]))
+            exact = self.vectors[contenders] @ queries[a]
+            pick = best(exact, ids[contenders], k)
+            yield a, contenders[pick], exact[pick]
 
 
 def _run(k: int):

@@ -13,23 +13,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ship
+from .common import materialise, ship
 
 BLOCK = 16384
-GROUP = 4096
+GROUP = 16384
 
 #: (queries, their ids, candidates, their ids) -> rows (query, candidate index, score)
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec) of rows with an id and a vector of finite numbers."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    """(vec_id, vec) of rows with an id and a vector of finite numbers; floats stay floats, all else is double."""
+    own = df.schema[vec_col].dataType
+    kind = "array<float>" if isinstance(own, T.ArrayType) and isinstance(own.elementType, T.FloatType) else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite)
 
 
+def enough(rows: DataFrame, k: int) -> DataFrame:
+    """At most k of each set of equal rows: no query can have more of them among its k best."""
+    copies = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return copies.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("copies"), F.lit(k))))).drop("copies")
+
+
 def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     flat = column.combine_chunks()
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
@@ -43,7 +52,7 @@ def search(rows: DataFrame, every: int, k: int, run: Search, score_type: str) ->
     all rows with another id and as many components. Ties go to the smaller id.
     """
     ship(rows.sparkSession)
-    rows = rows.withColumn("dim", F.size("vec"))
+    rows = materialise(enough(rows, k).withColumn("dim", F.size("vec")), "vectors")
     n = rows.count()
     blocks, groups = max(12, -(-n // BLOCK)), max(2, -(-(n // every) // GROUP))
     candidates = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(blocks)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
