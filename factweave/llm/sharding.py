@@ -14,8 +14,10 @@ from .common import materialise, text_or_empty
 
 #: Virtual slots: fixed for good, as records' slots must not change.
 SLOTS = 16384
-#: Cells that a slot is dealt into while rows are numbered, so that no key is hot.
-CELLS = 64
+#: Different records of a cell to aim at: a slot is dealt into as many cells by its texts, so that no window is large.
+CELL_ROWS = 100_000
+#: Copies of one record that are unrolled together.
+RUN = 100_000
 #: Bytes that a record takes besides its text.
 OVERHEAD = 16
 
@@ -87,25 +89,33 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     Returns id, size, text_crc32, law, shard, slot (the place within the shard,
     gapless from 0, by virtual slot and id), grown_shard, vslot, slot_bytes and
     map_version. Places come from counts of cells: a slot's rows are dealt into
-    CELLS cells by text, so no id's rows meet in one task; only row numbers
-    within a cell are sorted, never a whole shard.
+    cells of some CELL_ROWS by text, so no id's rows meet in one task; only rows
+    of a cell are sorted, never a whole shard. Repeated rows are one row with a
+    count until they get their places.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
     size = (F.octet_length(text) + OVERHEAD).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("digest"))
-    rows = rows.withColumn("vslot", slot_of(F.col("doc_id"))).withColumn("cell", F.pmod("digest", F.lit(CELLS)).cast("int"))
-    cells = rows.groupBy("vslot", "cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size"))
-    cells = materialise(cells, "cells")
-    load = cells.groupBy("vslot").agg(F.sum("size").alias("slot_bytes"), F.sum("rows").alias("slot_rows"))
+    # equal rows travel as one with a count
+    rows = rows.groupBy("doc_id", "size", "text_crc32", "digest").agg(F.count(F.lit(1)).alias("copies")).withColumn("vslot", slot_of(F.col("doc_id")))
+    rows = materialise(rows, "records")
+    load = materialise(rows.groupBy("vslot").agg(F.sum(F.col("size") * F.col("copies")).alias("slot_bytes"), F.sum("copies").alias("slot_rows"), F.count(F.lit(1)).alias("records")), "load")
+    wide = load.select("vslot", F.greatest(F.lit(1), F.ceil(F.col("records") / CELL_ROWS)).alias("cells"))
+    celled = rows.join(F.broadcast(wide), "vslot").withColumn("cell", F.pmod("digest", F.col("cells")).cast("int")).drop("cells")
+    cells = materialise(celled.groupBy("vslot", "cell").agg(F.sum("copies").alias("rows")), "cells")
     first = slot_map(spark, shards)
     stored = first.union(grow(first, shards)).join(load, "vslot", "left")
     stored = materialise(stored.select("version", "vslot", "shard", F.coalesce("slot_bytes", F.lit(0)).alias("slot_bytes"), F.coalesce("slot_rows", F.lit(0)).alias("slot_rows")), "slot-map")
     both = stored.groupBy("vslot").agg(F.max(F.when(F.col("version") == 1, F.col("shard"))).alias("shard"), F.max(F.when(F.col("version") == 2, F.col("shard"))).alias("grown_shard"), F.max("slot_bytes").alias("slot_bytes"))
     by_shard = Window.partitionBy("shard").orderBy("vslot", "cell")
     offsets = cells.join(F.broadcast(both), "vslot").select("vslot", "cell", "shard", "grown_shard", "slot_bytes", (F.sum("rows").over(by_shard) - F.col("rows")).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("vslot", "cell").orderBy("doc_id", "digest", "size"))
-    numbered = rows.withColumn("place", place - 1)
-    return numbered.join(offsets, ["vslot", "cell"]).select(
-        F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("place")).cast("long").alias("slot"), "grown_shard", "vslot", "slot_bytes", F.lit(1).alias("map_version")
+    before = F.sum("copies").over(Window.partitionBy("vslot", "cell").orderBy("doc_id", "digest", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = celled.withColumn("place", F.coalesce(before, F.lit(0))).join(offsets, ["vslot", "cell"])
+    # copies of a row take the places after its first, in runs that are unrolled apart
+    runs = numbered.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN))))
+    last = F.least(F.col("copies"), (F.col("run") + 1) * RUN) - 1
+    each = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN, last)))
+    return each.select(
+        F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("place") + F.col("copy")).cast("long").alias("slot"), "grown_shard", "vslot", "slot_bytes", F.lit(1).alias("map_version")
     )

@@ -49,3 +49,13 @@ def test_nulls_repeats_and_clashing_names(spark):
     assert sorted(r.size for r in got) == [16, 16, 18, 18]
     assert len({(r.shard, r.slot) for r in got}) == 4
     assert sharding.assign(df.limit(0)).count() == 0
+
+
+def test_hot_rows_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 50)
+    monkeypatch.setattr(sharding, "RUN", 1000)
+    rows = spark.range(30_000).selectExpr("if(id < 10000, 5, if(id < 20000, null, id)) as doc_id", "if(id < 10000, 'same', concat('t', id % 3000)) as text")
+    got = sharding.assign(rows).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("places")).collect()
+    assert sum(r.n for r in got) == 30_000
+    assert all(r.low == 0 and r.high == r.n - 1 == r.places - 1 for r in got)
+    assert sharding.assign(rows).where("doc_id = 5").select("shard").distinct().count() == 1
