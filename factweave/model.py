@@ -121,6 +121,22 @@ class Model:
         self.facts.append(Fact(name, table, (Role(*left), Role(*right)), ((verb, 0, 1), (inverse, 1, 0)), unique))
         return self
 
+    def fact(self, name: str, table: str, roles: tuple[Role, ...], readings: tuple[tuple[str, int, int], ...], unique: tuple[frozenset[int], ...] = ()) -> Model:
+        """A fact type of any number of roles; readings name the verb from one role to another."""
+        self.facts.append(Fact(name, table, roles, readings, unique or (frozenset(range(len(roles))),)))
+        return self
+
+    def objectified(self, name: str, table: str, roles: tuple[tuple[str, tuple[str, ...], str, str], ...]) -> Model:
+        """A fact between entities that is an entity too, identified by all its players.
+
+        roles: (player, columns, verb from the fact to the player, verb back). A path
+        may stop on it, start from it, or leave it by another of its roles.
+        """
+        self.entity(name, table, *(c for _, columns, _, _ in roles for c in columns))
+        for player, columns, verb, back in roles:
+            self.reference(name, player, columns, verb, back, mandatory=True)
+        return self
+
     # -- derived schema functions -------------------------------------------------
 
     def supertypes(self, name: str) -> list[str]:

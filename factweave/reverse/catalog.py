@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,24 +100,27 @@ def repair_crossed(catalog: Catalog) -> Catalog:
     return catalog
 
 
-def orphans(child: DataFrame, columns: tuple[str, ...], parent: DataFrame, references: tuple[str, ...]) -> DataFrame:
-    """Distinct non-null child values that the parent lacks."""
-    names = [f"k{i}" for i in range(len(columns))]
-    left = child.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)]).dropna().distinct()
-    right = parent.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(references, names, strict=True)])
-    return left.join(right, names, "left_anti")
+def verify(catalog: Catalog, source: Callable[[str], DataFrame]) -> list[str]:
+    """Mark declared references that the rows keep, drop those that no row keeps, and say so.
 
+    A composite reference that fails as declared is tried with its columns paired in every other order.
+    """
+    from .mine import missing
 
-def verify(catalog: Catalog, source: Callable[[str], DataFrame]) -> list[str]:
-    """Mark declared references that the rows keep, drop those that no row keeps, and say so."""
     said = []
     for t in catalog.values():
         for f in list(t.foreign):
             child, parent = source(t.name), source(f.table)
-            bad = orphans(child, f.columns, parent, f.references).count()
+            for references in [f.references, *([p for p in permutations(f.references) if p != f.references] if len(f.references) > 1 else [])]:
+                bad = missing(child, f.columns, parent, references).count()
+                if not bad:
+                    break
             if not bad:
-                f.enforced = True
+                if references != f.references:
+                    said.append(f"{t.name}({', '.join(f.columns)}): paired with {', '.join(references)}")
+                f.references, f.enforced = references, True
                 continue
+            bad = missing(child, f.columns, parent, f.references).count()
             total = child.select(*[F.col(f"`{c}`") for c in f.columns]).dropna().distinct().count()
             if bad == total:
                 t.foreign.remove(f)

@@ -13,12 +13,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..model import Constraint, Model, Role
 from . import mine
-from .catalog import Catalog, ForeignKey, Table, from_frames
+from .catalog import Catalog, ForeignKey, Table, from_frames, verify
 
+# Fixed vocabularies: usual short forms, unit suffixes, and words that say whether sums make sense.
 ABBREVIATIONS = {"nr": "Number", "no": "Number", "num": "Number", "qty": "Quantity", "amt": "Amount", "dt": "Date", "desc": "Description", "addr": "Address", "cust": "Customer", "acct": "Account", "bal": "Balance", "pct": "Percent", "cd": "Code", "nm": "Name"}
 UNITS = {"celsius": "°C", "tempc": "°C", "degc": "°C", "fahrenheit": "°F", "tempf": "°F", "km": "km", "kg": "kg", "usd": "USD", "eur": "EUR", "pct": "%", "percent": "%", "ms": "ms", "sec": "s", "seconds": "s", "minutes": "min", "hours": "h", "cm": "cm", "mm": "mm"}
 ADDITIVE = ("quantity", "amount", "cost", "revenue", "sales", "count", "total", "hours", "units", "price")
@@ -92,15 +93,35 @@ def additivity(column: str, dated: bool) -> str:
     return "additive" if any(x in w for x in ADDITIVE) else "unknown"
 
 
-def parse_check(check: str) -> tuple[str, tuple, float | None, float | None] | None:
-    """K3: (column, values, low, high) of ``c in (...)`` or ``c between a and b``; others give none."""
-    if re.search(r"\bnot\s+in\b", check, re.I):
+def parse_check(spark: SparkSession, check: str) -> tuple[str, tuple, float | None, float | None] | None:
+    """K3: (column, values, low, high) of a check on one column: a list of values, or a range; others give none.
+
+    Spark's parser reads the expression, so quoting, parentheses and escapes are
+    those of SQL; double-quoted and bracketed names become its own quoting.
+    """
+    text = re.sub(r'"(\w+)"|\[(\w+)\]', lambda m: f"`{m[1] or m[2]}`", check)
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
+    except Exception as why:
+        if "PARSE" in str(why):
+            return None
+        raise
+    parts = [tree.children().apply(i) for i in range(tree.children().size())]
+    kind = tree.getClass().getSimpleName()
+    kinds = [p.getClass().getSimpleName() for p in parts]
+    if kinds[:1] != ["UnresolvedAttribute"] or set(kinds[1:]) != {"Literal"}:
         return None
-    if m := re.match(r"\s*\(?\s*[\"`\[]?(\w+)[\"`\]]?\s+in\s*\((.*?)\)", check, re.I | re.S):
-        values = re.findall(r"'((?:[^']|'')*)'|(-?\d+(?:\.\d+)?)", m[2])
-        return m[1], tuple(a.replace("''", "'") if a or not b else float(b) if "." in b else int(b) for a, b in values), None, None
-    if m := re.match(r"\s*\(?\s*[\"`\[]?(\w+)[\"`\]]?\s+between\s+(-?[\d.]+)\s+and\s+(-?[\d.]+)", check, re.I):
-        return m[1], (), float(m[2]), float(m[3])
+    column = parts[0].name().strip("`")
+
+    def value(x):
+        raw, stated = x.toString(), x.dataType().typeName()
+        return raw if stated == "string" else float(raw) if "." in raw else int(raw)
+
+    values = [value(x) for x in parts[1:]]
+    if kind == "In":
+        return column, tuple(values), None, None
+    if kind == "UnresolvedFunction" and tree.toString().startswith("'between(") and len(values) == 2:
+        return column, (), float(values[0]), float(values[1])
     return None
 
 
@@ -171,7 +192,7 @@ def derive(name: str, catalog: Catalog, known: dict[str, dict[str, mine.ColumnFa
         t = catalog[n]
         prefix = common_prefix(t)
         dated = any(re.search(r"date|time", c.type) for c in t.columns)
-        checks = {c[0]: c for c in map(parse_check, t.checks) if c}
+        checks = {c[0]: c for c in (parse_check(SparkSession.active(), x) for x in t.checks) if c}
         for f in t.foreign:
             if f.table not in types or n in parents and set(f.columns) == set(t.key):
                 continue
@@ -203,6 +224,7 @@ def derive(name: str, catalog: Catalog, known: dict[str, dict[str, mine.ColumnFa
         for u in t.uniques:
             say("unique", n, f"{', '.join(u)} is unique too", f"select {', '.join(u)} from {n} group by all having count(*) > 1")
     draft.findings += shapes(catalog, known or {})
+    draft.findings += one_unit(m)
     draft.findings += shared_domains(m)
     return draft
 
@@ -227,17 +249,11 @@ def shapes(catalog: Catalog, known: dict[str, dict[str, mine.ColumnFacts]]) -> l
             out.append(Finding("surrogate association", n, f"{n} may be a fact between {', '.join(f.table for f in t.foreign)} with a key of its own", applied=False))
         if len(t.key) > 1 and any(set(f.columns) < set(t.key) for f in t.foreign) and classify(t) == "entity":
             out.append(Finding("mixed key", n, f"part of ({', '.join(t.key)}) is a reference", applied=False))
-        if n in known and t.key and mine_junk(known[n], t.key):
+        if n in known and t.key and mine.junk_dimension(known[n], t.key):
             out.append(Finding("junk dimension", n, "lists combinations of a few flags", applied=False))
     return out
 
 
-def mine_junk(known: dict[str, mine.ColumnFacts], key: tuple[str, ...]) -> bool:
-    flags = [c for c in known if c not in key]
-    rows = next(iter(known.values())).rows if known else 0
-    return 3 <= len(flags) <= 12 and 0 < rows <= 1000 and all(known[c].distinct <= 12 for c in flags)
-
-
 def shared_domains(m: Model) -> list[Finding]:
     """Value types that may be one: the same last words and type."""
     groups: dict[tuple[str, str], list[str]] = {}
@@ -248,22 +264,55 @@ def shared_domains(m: Model) -> list[Finding]:
     return [Finding("shared domain", ", ".join(sorted(g)), f"may be one value type, {k[0]}", applied=False) for k, g in sorted(groups.items()) if len(g) > 1]
 
 
+def one_unit(m: Model) -> list[Finding]:
+    """Value types of one unit and type that may be merged into one."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for f in m.facts:
+        for r in f.roles:
+            if r.player in m.values and len(r.columns) == 1 and (u := unit_of(r.columns[0])):
+                groups.setdefault((u, m.values[r.player].datatype), []).append(r.player)
+    return [Finding("one unit", ", ".join(sorted(set(g))), f"all measured in {k[0]}", applied=False) for k, g in sorted(groups.items()) if len(set(g)) > 1]
+
+
 def deontic(draft: Draft) -> list[Constraint]:
-    """Mined claims as rules that rows ought to keep, each with its refuting query in the path language where it has one."""
+    """Mined claims as rules that rows ought to keep, each with its refuting query in the path language where it has one.
+
+    Mandatory values, and orders between two values of a row that no row breaks.
+    """
     out = []
-    for n, t in draft.catalog.items():
-        owner = next((e for e in draft.model.entities.values() if e.table == n), None)
-        for c in t.columns:
-            if owner and not c.nullable and c.name not in t.key:
-                fact = next((f for f in draft.model.facts if f.table == n and f.roles[1].columns == (c.name,) and not f.roles[1].path), None)
-                if fact and fact.readings[0][0] == "has":
-                    out.append(Constraint(f"{owner.name} has {fact.roles[1].player}", f"{owner.name} BUT NOT has {fact.roles[1].player}"))
+    named = {}
+    for f in draft.model.facts:
+        if f.roles[0].player in draft.model.entities and f.roles[1].player in draft.model.values and f.readings[0][0] == "has" and len(f.roles[1].columns) == 1 and not f.roles[1].path:
+            named[f.table, f.roles[1].columns[0]] = f
+    for (n, column), fact in named.items():
+        t = draft.catalog[n]
+        owner, value = fact.roles[0].player, fact.roles[1].player
+        if not t.column(column).nullable and column not in t.key:
+            out.append(Constraint(f"{owner} has {value}", f"{owner} BUT NOT has {value}"))
+    for x in draft.findings:
+        if x.kind == "order of values" and x.applied:
+            n, _, pair = x.subject.partition(".")
+            low, high = (named.get((n, c)) for c in pair.split(" <= "))
+            if low and high:
+                out.append(Constraint(f"{x.subject}", f"LIST x, y FROM {low.roles[0].player} has {low.roles[1].player} x AND ALSO has {high.roles[1].player} y WHERE x > y"))
     return out
 
 
-def recover(name: str, tables: dict[str, DataFrame], keyless: bool = True) -> Draft:
-    """The whole way from rows to a draft: keys, references, domains, documents, model."""
-    catalog, known, findings = mine_keys(tables)
+def recover(name: str, tables: dict[str, DataFrame], keyless: bool = True, declared: Catalog | None = None) -> Draft:
+    """The whole way from rows to a draft: keys, references, domains, documents, model, and every pass over the rows.
+
+    declared: a catalogue whose keys and references are checked against the rows
+    and completed by mining. Claims that no row refutes become constraints.
+    """
+    from . import passes
+
+    if declared:
+        passes.prefer_referenced_keys(declared, tables)
+        said = verify(declared, tables.__getitem__)
+    else:
+        said = []
+    catalog, known, findings = mine_keys(tables, declared)
+    findings += [Finding("declared reference", x.split(":")[0], x, applied=False, severity="caution") for x in said]
     domains: dict[tuple[str, str], list[str]] = {}
     documents: dict[tuple[str, str], dict[str, str]] = {}
     for n, df in tables.items():
@@ -276,6 +325,9 @@ def recover(name: str, tables: dict[str, DataFrame], keyless: bool = True) -> Dr
                     documents[n, c.name] = leaves
     draft = derive(name, catalog, known, domains, keyless, documents)
     draft.findings = findings + draft.findings
+    for run in passes.PASSES:
+        draft.findings += run(passes.Data(tables, catalog, known, documents))
+    draft.model.constraints += deontic(draft)
     return draft
 
 

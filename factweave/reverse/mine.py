@@ -300,7 +300,26 @@ def computed(df: DataFrame, tolerance: float = 1e-9, skip: tuple[str, ...] = (),
                 return []
             kept += [f for i, f in enumerate(part) if not row[f"f{i}"]]
         forms = kept
-    return [f"{t} = {a} {op} {b}" for t, a, op, b in forms]
+    return [f"{t} = {a} {op} {b}" for t, a, op, b in forms] + joined_texts(df, skip, at_once)
+
+
+#: What joined texts usually stand between.
+SEPARATORS = ("", " ", "-", "_", "/", ", ", ":")
+
+
+def joined_texts(df: DataFrame, skip: tuple[str, ...] = (), at_once: int = 120) -> list[str]:
+    """Text columns that are two others with a separator between them, in every row."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in skip]
+    forms = [(t, a, sep, b) for t in texts for a in texts for b in texts if len({t, a, b}) == 3 for sep in SEPARATORS]
+    off = lambda t, a, sep, b: F.sum(F.when(F.col(f"`{t}`").eqNullSafe(F.concat(F.col(f"`{a}`"), F.lit(sep), F.col(f"`{b}`"))), 0).otherwise(1))
+    for rows in (df.limit(500), df):
+        kept = []
+        for k in range(0, len(forms), at_once):
+            part = forms[k : k + at_once]
+            row = rows.agg(*[off(*f).alias(f"f{i}") for i, f in enumerate(part)], F.count(F.lit(1)).alias("n")).first()
+            kept += [f for i, f in enumerate(part) if row["n"] and not row[f"f{i}"]]
+        forms = kept
+    return [f"{t} = {a} || '{sep}' || {b}" for t, a, sep, b in forms]
 
 
 def stored_aggregates(parent: DataFrame, key: str, child: DataFrame, reference: str, tolerance: float = 1e-6) -> list[str]:
@@ -342,7 +361,7 @@ def coded(df: DataFrame, known: dict[str, ColumnFacts]) -> list[str]:
     return [c for i, c in enumerate(texts) if row[f"a{i}"] == row[f"b{i}"] and not row[f"x{i}"]]
 
 
-def junk_dimension(df: DataFrame, known: dict[str, ColumnFacts], key: tuple[str, ...]) -> bool:
+def junk_dimension(known: dict[str, ColumnFacts], key: tuple[str, ...]) -> bool:
     """A small table that only lists combinations of flags."""
     flags = [c for c in known if c not in key]
     rows = next(iter(known.values())).rows if known else 0
@@ -371,8 +390,34 @@ def quality(df: DataFrame) -> DataFrame:
     direct = values.select("column", F.explode(found).alias("finding"), "n").groupBy("column", "finding").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"))
     folded = values.groupBy("column", F.lower(F.regexp_replace(F.trim(v), r"[\s._-]+", " ")).alias("k")).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).where("m > 1")
     variants = folded.groupBy("column").agg(F.sum("m").alias("values"), F.sum("n").alias("rows")).select("column", F.lit("variants in case or spacing").alias("finding"), "values", "rows")
-    constant = values.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).where("values = 1 and rows > 1").select("column", F.lit("constant").alias("finding"), "values", "rows")
-    return direct.union(variants).union(constant)
+    sized = values.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"))
+    constant = sized.where("values = 1 and rows > 1").select("column", F.lit("constant").alias("finding"), "values", "rows")
+    shapes = values.select("column", "n", F.when(v.rlike("^[0-9]{4}-"), "year first").when(v.rlike("^[0-9]{4}/"), "year first, slashes").when(v.rlike("^[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}"), "year last").alias("shape")).where("shape is not null")
+    mixed = shapes.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"), F.count_distinct("shape").alias("k")).where("k > 1").select("column", F.lit("dates in several formats").alias("finding"), "values", "rows")
+    whole = df.agg(F.count(F.lit(1)).alias("whole"))
+    sparse = sized.crossJoin(F.broadcast(whole)).where(F.col("rows") < SPARSE * F.col("whole")).select("column", F.lit("sparse").alias("finding"), "values", "rows")
+    rare = spellings(values)
+    return direct.union(variants).union(constant).union(mixed).union(sparse).union(rare)
+
+
+#: A column is sparse if it is filled in fewer rows; a rare value is a misspelling of a common one that is so many times as frequent.
+SPARSE = 0.05
+COMMON = 20
+
+
+def spellings(values: DataFrame) -> DataFrame:
+    """Rare values that differ from a common one of the same column in one letter, as one finding a column.
+
+    Values meet by what is left of them without one letter or none, so that no
+    pair is made but of values that are as near.
+    """
+    short = values.where(F.length("value").between(4, LONGEST)).select("column", "value", "n")
+    cut = F.transform(F.sequence(F.lit(0), F.length("value")), lambda i: F.concat(F.left("value", i - 1), F.substr(F.col("value"), i + 1, F.length("value"))))
+    places = short.select("column", "value", "n", F.explode(F.array_distinct(cut)).alias("left"))
+    best = places.groupBy("column", "left").agg(F.max("n").alias("most"), F.max_by("value", "n").alias("common"))
+    near = places.join(best, ["column", "left"]).where((F.col("value") != F.col("common")) & (F.col("most") >= COMMON * F.col("n")) & ~F.col("value").rlike("[0-9]"))
+    once = near.groupBy("column", "value").agg(F.min("n").alias("n"))
+    return once.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows")).select("column", F.lit("near a common value").alias("finding"), "values", "rows")
 
 
 def storage_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
@@ -445,6 +490,42 @@ def structure(child: DataFrame, reference: str, parent: DataFrame, key: str) ->
     return joined.agg(F.count(F.lit(1)).alias("parents"), F.count("n").alias("covered"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
 
 
+def joint_nulls(df: DataFrame, known: dict[str, ColumnFacts]) -> list[tuple[tuple[str, ...], int]]:
+    """Groups of columns, two at least, that are null in exactly the same rows."""
+    columns = [c for c, k in known.items() if 0 < k.nulls < k.rows]
+    by_count: dict[int, list[str]] = {}
+    for c in columns:
+        by_count.setdefault(known[c].nulls, []).append(c)
+    out = []
+    for nulls, group in by_count.items():
+        if len(group) < 2:
+            continue
+        same = {(r["left"], r["right"]) for r in null_patterns(df, group).collect() if not r["one"]}
+        left = list(group)
+        while left:
+            own = tuple([left[0], *[c for c in left[1:] if (left[0], c) in same]])
+            left = [c for c in left if c not in own]
+            if len(own) > 1:
+                out.append((own, nulls))
+    return out
+
+
+def marked_rows(df: DataFrame, known: dict[str, ColumnFacts]) -> list[tuple[str, str]]:
+    """(flag, group): two-valued columns of which one value occurs once in every group of another column, and groups have other rows too."""
+    flags = [c for c, k in known.items() if k.distinct == 2 and not k.nulls]
+    groups = [c for c, k in known.items() if c not in flags and k.never_null and 1 < k.distinct and 2 * k.distinct <= k.rows]
+    found = []
+    for flag in flags:
+        shares = {r["value"]: r["n"] for r in census(df, [flag]).collect()}
+        rare = min(sorted(shares), key=shares.__getitem__)
+        for group in groups:
+            if shares[rare] == known[group].distinct:
+                once = df.where(F.col(f"`{flag}`").cast("string") == rare).groupBy(f"`{group}`").agg(F.count(F.lit(1)).alias("n"))
+                if once.where("n > 1").limit(1).isEmpty():
+                    found.append((flag, group))
+    return found
+
+
 def partition_or_subtype(child: DataFrame, parent: DataFrame, share: float = 0.995) -> str:
     """A one-to-one table with almost all of the parent's rows is the rest of it; else a subtype."""
     return "partition" if child.count() >= share * parent.count() else "subtype"
