@@ -23,7 +23,7 @@ from ..reverse import catalog as declared
 from ..reverse import derive, mine, passes, review
 from ..service import Service, shown
 from ..sources.surrogate import with_row_id
-from ..sources.tables import files, frames
+from ..sources.tables import files, frames, jdbc_options, unbound
 from ..sqlguard import check
 from . import tpch
 from .compiler import run
@@ -486,6 +486,38 @@ def _restricted(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, out, "query string, n long")
 
 
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    m = Model("m").entity("Part", "part", "p_partkey").entity("Doc", "docs", "doc_id")
+    m.attribute("Part", "PartSize", "p_size", "int", low=5, high=45).attribute("Part", "Brand", "p_brand", allowed=("Brand#11", "Brand#12"), unique=True).attribute("Part", "PartName", "p_name", mandatory=True)
+    m.attribute("Doc", "Quality", "quality", "int", mandatory=True)
+    both = _labelled(spark, d)
+    return _rows(spark, review.measured(m, lambda t: files(spark, d)("part") if t == "part" else both(t)), "severity string, finding string, subject string, rows long")
+
+
+def _bound(spark: SparkSession, d: str) -> DataFrame:
+    m = tpch.model()
+    m.attribute("Nation", "Anthem", "n_anthem").entity("Planet", "planet", "name")
+    return _rows(spark, [("as it is", x) for x in unbound(tpch.model(), files(spark, d))] + [("with more", x) for x in unbound(m, files(spark, d))], "model string, lacks string")
+
+
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    """What is asked of a database's session."""
+    rows = []
+    for url in ("jdbc:postgresql://host/db", "jdbc:sqlite:file.db"):
+        o = jdbc_options(url, 60)
+        rows.append((url, o["queryTimeout"], o.get("sessionInitStatement", o.get("open_mode"))))
+    return _rows(spark, rows, "url string, seconds string, guard string")
+
+
+def _restricted_sql(spark: SparkSession, d: str) -> DataFrame:
+    s = Service(spark, tpch.model(), files(spark, d), {"Nation", "NationName"})
+    ask = lambda q: "error" in s.answer(json.dumps({"tool": "sql", "arguments": {"sql": q}}))
+    asked = {"allowed": "select n_name from nation", "column": "select n_regionkey from nation", "file": f"select * from parquet.`{d}/customer.parquet`", "write": "drop view nation"}
+    out = _rows(spark, [(k, ask(q)) for k, q in asked.items()], "asked string, refused boolean")
+    spark.catalog.dropTempView("nation")
+    return out
+
+
 FRAMES: dict[str, tuple[Query, str | None]] = {
     # -- language over models of their own
     "C3_asserted": (_ask(_documents(), "LIST d, q FROM Doc has DocNr d AND ALSO has Quality q", _labelled), "select doc_id as d, quality as q from labels where quality is not null"),
@@ -503,6 +535,8 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "J13_permissive": (_ask(tpch.model(), "LIST n, c FROM Customer k is from Nation has NationName n AND ALSO placed Order o AND ALSO THE COUNT OF k GROUPED BY n AS c", files, permissive=True), "select n_name as n, count(*) as c from customer join nation on n_nationkey = c_nationkey join orders on o_custkey = c_custkey group by 1"),
     **{f"{k}_refused": (_refused(k), stated("query, refused", *[(i, True) for i in range(len(v))])) for k, v in REFUSALS.items()},
     # -- sources and sinks
+    "A5_bound": (_bound, stated("model, lacks", ("with more", "nation has no column n_anthem"), ("with more", "there is no table planet"))),
+    "A6_sessions": (_sessions, stated("url, seconds, guard", ("jdbc:postgresql://host/db", "60", "set session characteristics as transaction read only"), ("jdbc:sqlite:file.db", "60", "1"))),
     "A8_declared_keys": (_keys, stated("name, key, refs", ("orders", "o_orderkey", 2), ("customer", "c_custkey", 0), ("nation", "n_nationkey", 0))),
     "A9_catalogue": (_listed, "select table_name, column_name from information_schema.columns where table_name in ('nation', 'supplier')"),
     "A10_declared_json": (lambda spark, d: _rows(spark, [(n, c.name, c.type) for n, t in declared.from_json(DECLARED).items() for c in t.columns], "name string, field string, type string"), stated("name, field, type", ("orders", "o_orderkey", "long"), ("orders", "o_custkey", "long"), ("customer", "c_custkey", "long"), ("nation", "n_nationkey", "int"))),
@@ -547,6 +581,10 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "K33_shapes": (lambda spark, d: _rows(spark, [(f.kind, f.subject) for f in derive.shapes(declared.from_frames({"events": files(spark, d)("events"), "visit": files(spark, d)("nation").select(F.lit(1).alias("phone1"), F.lit(2).alias("phone2"), F.lit("x").alias("kind_type"))}), {})], "kind string, subject string"), stated("kind, subject", ("polymorphic", "events"), ("repeating group", "visit"), ("discriminator", "visit"))),
     "K34_review": (_reviewed, "select 'claims that rows refute' as what, 'domain: reviewed_nation.n_name' as said, count(*) as n from nation where n_name <> 'NATION_1' union all select 'decision kept', 'reject', 1 union all select 'open claims after verdicts', '[]', 0"),
     "K35_judged": (lambda spark, d: _rows(spark, [(c["id"], c["said"]) for c in json.loads(review.candidates(_draft(spark, d))) if c["id"].startswith("shared")], "id string, said string"), stated("id, said", ("shared domain: CustomerName, NationName", "may be one value type, Name"))),
+    "K36_measured": (
+        _measured,
+        "select 'error' as severity, 'absent value' as finding, 'Doc has Quality' as subject, count(*) as rows from documents where doc_id not in (select doc_id from labels) union all select 'error', 'repeated value', 'Part has Brand', count(*) from part where p_brand in (select p_brand from part group by 1 having count(*) > 1) union all select 'error', 'value not allowed', 'Part has Brand', count(*) from part where p_brand not in ('Brand#11', 'Brand#12') union all select 'error', 'value out of range', 'Part has PartSize', count(*) from part where p_size not between 5 and 45",
+    ),
     "K36_lint": (_linted, stated("severity, check, said", ("warning", "isolated type", "Lonely plays no role"), ("note", "unused value type", "Unused"), ("note", "unused value type", "Narrow"), ("error", "empty range", "Narrow")).replace("check,", '"check",')),
     # -- a model says
     "L1_explained": (_model_says(lambda m: _said(explain.explain(m, "LIST n FROM Customer [placed Order] has CustomerName n AND ALSO has Balance b WHERE b > 0").text(), "Customer placed Order: OrderIsPlacedByCustomer", "Customer must have a Balance: rows without one are dropped", "List n for each Customer"), "line string, said boolean"), stated("line, said", ("Customer placed Order: OrderIsPlacedByCustomer", True), ("Customer must have a Balance: rows without one are dropped", True), ("List n for each Customer", True))),
@@ -562,6 +600,7 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "L11_xml": (_model_says(lambda m: [("as written", len(export.check_xml(export.orm_xml(m))) == 0), ("with a role of nobody", len(export.check_xml(export.orm_xml(m).replace('id="_Order"', 'id="_Gone"', 1))) == 0)], "what string, sound boolean"), stated("what, sound", ("as written", True), ("with a role of nobody", False))),
     "L12_ddl": (_model_says(lambda m: [(b, len(explain.annotated_ddl(m, b)) <= b + 40) for b in (500, 2000, 8000)], "budget long, within boolean"), stated("budget, within", (500, True), (2000, True), (8000, True))),
     "L13_service": (_served, "select 'rows' as what, count(*) as n from nation union all select 'refused when strict', 1 union all select 'tools', 7 union all select 'unknown tool', 1"),
+    "L14_restricted_sql": (_restricted_sql, stated("asked, refused", ("allowed", False), ("column", True), ("file", True), ("write", True))),
     "L14_restricted": (_restricted, "select 'LIST n FROM Nation has NationName n' as query, count(*) as n from nation union all select 'LIST n FROM Customer has CustomerName n', -1"),
 }
 

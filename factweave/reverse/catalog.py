@@ -81,7 +81,9 @@ def from_json(text: str) -> Catalog:
 
 def from_jdbc(spark: SparkSession, url: str, schema: str = "public", **options) -> Catalog:
     """Columns and keys by a database's information schema."""
-    read = lambda q: spark.read.format("jdbc").options(url=url, query=q, **options).load().collect()
+    from ..sources.tables import jdbc_options
+
+    read = lambda q: spark.read.format("jdbc").options(query=q, **jdbc_options(url, **options)).load().collect()
     out: Catalog = {}
     for r in read(f"select table_name, column_name, data_type, is_nullable from information_schema.columns where table_schema = '{schema}' order by table_name, ordinal_position"):
         out.setdefault(r[0], Table(r[0], [])).columns.append(Column(r[1], r[2], r[3] == "YES"))

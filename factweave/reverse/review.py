@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import Model
 from .derive import Draft, Finding
@@ -58,6 +60,37 @@ def verdicts(draft: Draft, text: str) -> None:
             f.applied = bool(said[claim_id(f)])
 
 
+def measured(m: Model, source: Callable[[str], DataFrame]) -> list[tuple[str, str, str, int]]:
+    """What a model claims and rows break: (severity, check, what, rows), of claims that some row breaks.
+
+    Mandatory values, allowed values and ranges are counted in one pass over each
+    table; values that must be unique in one aggregation each.
+    """
+    claims: dict[str, list[tuple[str, str, str, Column]]] = {}
+    out = []
+    for f in m.facts:
+        owner, value = f.roles[0], f.roles[-1]
+        if len(f.roles) != 2 or len(value.columns) != 1 or value.path or value.player not in m.values:
+            continue
+        c, v, subject = F.col(f"`{value.columns[0]}`"), m.values[value.player], f"{owner.player} {f.readings[0][0]} {value.player}"
+        own = claims.setdefault(f.table, [])
+        if owner.mandatory:
+            own.append(("error", "absent value", subject, c.isNull()))
+        if v.allowed:
+            own.append(("error", "value not allowed", subject, c.isNotNull() & ~c.isin(*v.allowed)))
+        if v.low is not None or v.high is not None:
+            own.append(("error", "value out of range", subject, (c < v.low if v.low is not None else F.lit(False)) | (c > v.high if v.high is not None else F.lit(False))))
+        if frozenset((1,)) in f.unique:
+            repeated = source(f.table).where(c.isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.sum("n")).first()[0]
+            if repeated:
+                out.append(("error", "repeated value", subject, repeated))
+    for table, own in claims.items():
+        if own:
+            row = source(table).agg(*[F.sum(F.when(broken, 1).otherwise(0)).alias(f"n{i}") for i, (_, _, _, broken) in enumerate(own)]).first()
+            out += [(severity, kind, subject, row[f"n{i}"]) for i, (severity, kind, subject, _) in enumerate(own) if row[f"n{i}"]]
+    return sorted(out)
+
+
 def lint(m: Model) -> list[tuple[str, str, str]]:
     """(severity, check, what) of weak spots in a model."""
     out: list[tuple[str, str, str]] = [("error", "structure", p) for p in m.problems()]

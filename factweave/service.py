@@ -8,6 +8,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from . import explain, export
@@ -26,6 +27,7 @@ class Service:
     def __init__(self, spark: SparkSession, model: Model, source: Callable[[str], DataFrame], allowed: set[str] | None = None):
         self.spark = spark
         self.model = explain.restricted(model, allowed) if allowed else model
+        self.narrow = allowed is not None
         self.tables = {e.table for e in self.model.entities.values()} | {f.table for f in self.model.facts}
         self.source = source
 
@@ -46,14 +48,28 @@ class Service:
     def tool_sql(self, sql: str, limit: int = 100) -> dict:
         from .sqlguard import check
 
-        for t in self.tables:
-            self.source(t).createOrReplaceTempView(t)
         if sql.strip().split(None, 1)[0].lower() not in ("select", "with"):
             raise QueryError("only reading is allowed")
+        # views hold the columns that the model names, and statements may read no other files
+        columns, known = {}, set()
+        for t in sorted(self.tables):
+            view = self.source(t)
+            if self.narrow:
+                view = view.select(*[f"`{c}`" for c in view.columns if c in self.named(t)])
+            view.createOrReplaceTempView(t)
+            columns[t] = view.columns
+            known |= set(view.inputFiles())
         df = self.spark.sql(sql)
-        found = check(df, self.model, {t: self.source(t).columns for t in self.tables})
+        if set(df.inputFiles()) - known:
+            raise QueryError("the statement reads what may not be read")
+        found = check(df, self.model, columns)
         return {"findings": [g.__dict__ for g in found], "rows": [r.asDict(recursive=True) for r in df.limit(limit).collect()]}
 
+    def named(self, table: str) -> set[str]:
+        """The columns of a table that the model names."""
+        own = {c for e in self.model.entities.values() if e.table == table for c in e.key}
+        return own | {c for f in self.model.facts if f.table == table for r in f.roles for c in r.columns}
+
     def tool_rules(self) -> list[str]:
         return explain.rules(self.model)
 
@@ -75,7 +91,7 @@ class Service:
             if tool is None:
                 return {"error": f"there is no tool {asked['tool']}"}
             return {"result": tool(**asked.get("arguments", {}))}
-        except (QueryError, ValueError, TypeError, KeyError) as why:
+        except (QueryError, AnalysisException, ValueError, TypeError, KeyError) as why:
             return {"error": str(why)}
 
     def serve(self, lines=sys.stdin, out=sys.stdout) -> None:
