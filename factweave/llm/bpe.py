@@ -4,9 +4,9 @@ Byte-level BPE never merges across a space that is followed by a visible
 character, so a text falls into *words* at such spaces and the ids of a text
 are those of its words in order. Encoding runs in four steps:
 
-1. Texts are dealt into blocks of bounded size by a hash (the one shuffle of
-   texts; both later readers use the same exchange). What a scan task has for a
-   block travels as one compressed chunk.
+1. Texts are dealt into blocks of bounded size by a hash, copies of a row apart
+   (the one shuffle of texts; both later readers use the same exchange). What a
+   scan task has for a block travels as one compressed chunk.
 2. Each block lists its distinct words, dealt into buckets by a hash of the
    word. The lists travel sorted and compressed: one row for each block and
    bucket.
@@ -32,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ship, text_or_empty
+from .common import dealt, ship, text_or_empty
 from .tokenizers_io import Encoder, TokenizerFile, encoder
 
 #: A space before a visible character. '<' may open a special string, whose
@@ -59,15 +60,27 @@ def words_of(text: str) -> list[str]:
     return _WORD_START.split(text)
 
 
-def _pack(row_type: pa.DataType):
+def _pack(row_type: pa.DataType, n_blocks: int):
+    """Deal a scan task's rows into blocks, by the row's hash, the task's number and how often the task has met the row.
+
+    Copies of a row are alike, so it plays no part which of them was met first:
+    a task that runs again deals the same rows, whatever their order.
+    """
     schema = pa.schema([("block", pa.int64()), ("chunk", pa.binary())])
     inner = pa.schema([("row", row_type), ("content", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        met: dict[int, int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            blocks = batch.column("block").to_numpy()
+            rows = batch.column("hash").to_numpy()
+            times = np.zeros(len(rows), np.uint64)
+            for k, h in enumerate(rows.tolist()):
+                times[k] = met[h] = met.get(h, -1) + 1
+            spread = (rows.view(np.uint64) ^ (np.uint64(task) << np.uint64(32)) ^ times) * np.uint64(0x9E3779B97F4A7C15)
+            blocks = ((spread ^ (spread >> np.uint64(29))) % np.uint64(n_blocks)).astype(np.int64)
             order = np.argsort(blocks, kind="stable")
             names, starts = np.unique(blocks[order], return_index=True)
             sorted_rows = pa.record_batch([batch.column("row").cast(row_type), batch.column("content").cast(pa.string())], schema=inner).take(pa.array(order))
@@ -237,14 +250,14 @@ def encode(docs: DataFrame, file: TokenizerFile, keep: list[str], text_col: str
     shares = -(-n_blocks // BUCKET_BLOCKS)
     row_type = rows.schema["row"].dataType
     arrow_row = to_arrow_type(row_type)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row", "content"), F.lit(n_blocks)))
-    dealt = dealt.mapInArrow(_pack(arrow_row), "block long, chunk binary").repartition("block")
-    lists = dealt.groupBy("block").applyInArrow(_list_words(n_buckets, shares), "block long, bucket long, words binary")
+    packed = rows.withColumn("hash", F.xxhash64("row", "content")).mapInArrow(_pack(arrow_row, n_blocks), "block long, chunk binary")
+    blocks = dealt(packed, n_bytes, "block")
+    lists = blocks.groupBy("block").applyInArrow(_list_words(n_buckets, shares), "block long, bucket long, words binary")
     answers = lists.groupBy("bucket").applyInArrow(_answer(file), "block long, bucket long, check long, ids binary")
     out = T.StructType([T.StructField("row", row_type), T.StructField("n_tokens", T.LongType())])
     out = out.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else out.add("ids", T.ArrayType(T.IntegerType()))
     arrow_out = pa.schema([("row", arrow_row), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32()))])])
-    back = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_back(file, n_buckets, shares, digests, arrow_out), out)
+    back = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_back(file, n_buckets, shares, digests, arrow_out), out)
     return back.select("row.*", *out.names[1:])
 
 

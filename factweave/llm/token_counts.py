@@ -37,7 +37,7 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
     kept = spark.read.schema(CACHE).parquet(path) if there else spark.createDataFrame([], CACHE)
-    return kept.where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
+    return kept.where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def _encode_misses(file: TokenizerFile):
@@ -62,8 +62,8 @@ def token_counts(docs: DataFrame, file: TokenizerFile, cache_path: str | None =
     are never cut, whatever their length.
 
     cache_path: a folder that holds counts from earlier calls and takes the new
-    ones; a fresh folder in the shared directory if not given. One writer at a
-    time may append to it.
+    ones; a fresh folder in the shared directory if not given. Several calls may
+    append to it at once: of repeated digests one counts.
 
     Returns id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``
     tokens) and content_digest. Running it writes the cache before it returns.

@@ -107,3 +107,28 @@ def test_empty_tables(spark, rows):
     none, file = rows.limit(0), TokenizerFile.read()
     assert bpe.encode(none, file, ["doc_id"], digests=True).count() == 0
     assert token_counts.token_counts(none, file).count() == 0
+
+
+def test_copies_of_a_row_are_dealt_apart():
+    import pyarrow as pa
+
+    row = pa.struct([("doc_id", pa.int64())])
+    batch = pa.record_batch([pa.array([{"doc_id": 1}] * 10_000, row), pa.array(["same text"] * 10_000), pa.array([77] * 10_000)], ["row", "content", "hash"])
+    sizes = {}
+    bpe.TaskContext, real = type("Task", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": staticmethod(lambda: 3)}))}), bpe.TaskContext
+    try:
+        for part in bpe._pack(row, 20)(iter([batch.slice(0, 4000), batch.slice(4000)])):
+            for block, chunk in zip(part.column("block").to_pylist(), part.column("chunk").to_pylist()):
+                sizes[block] = sizes.get(block, 0) + pa.ipc.open_stream(chunk).read_all().num_rows
+    finally:
+        bpe.TaskContext = real
+    assert sum(sizes.values()) == 10_000 and len(sizes) == 20 and max(sizes.values()) < 800
+
+
+def test_two_writers_of_one_cache(spark, tmp_path):
+    file, path = TokenizerFile.read(), str(tmp_path / "cache")
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    token_counts.token_counts(docs, file, path).count()
+    spark.read.parquet(path).write.mode("append").parquet(path + "2")
+    spark.read.parquet(path).write.mode("append").parquet(path + "2")
+    assert token_counts.token_counts(docs, file, path + "2").count() == 2
