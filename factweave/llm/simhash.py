@@ -299,13 +299,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def signature(text: str, shingle: int = 5, seed: int = 42) -> tuple[list[int], list[int], int]:
-    """(keys, marks, identity) of a text's different shingles: keys of ROWS min-hashes, a bit of each min-hash, and a hash of them all."""
+def signature(text: str, shingle: int = 5, seed: int = 42) -> tuple[list[int], list[int], int, int]:
+    """(keys, marks, identity, witness) of a text's different shingles: keys of ROWS min-hashes, a bit of each min-hash, and two hashes of them all."""
     from xxhash import xxh64_intdigest
 
     found = digests(text, shingle, seed)
     if not len(found):
-        return [0] * TRIES, [0] * (HASHES // 64), 0
+        return [0] * TRIES, [0] * (HASHES // 64), 0, 0
     least = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
     for k in range(0, len(found), 1 << 10):
         least = np.minimum(least, (found[k : k + (1 << 10), None] * _ODD + _ADD).min(axis=0))
@@ -314,17 +314,18 @@ def signature(text: str, shingle: int = 5, seed: int = 42) -> tuple[list[int], l
     for part in least[: TRIES * ROWS].reshape(TRIES, ROWS).T:
         keys = _mixed((keys ^ part) * _ODD[0] + _ADD[0])
     marks = np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64)
-    return keys.view(np.int64).tolist(), marks.tolist(), int(np.uint64(xxh64_intdigest(found.tobytes(), seed)).view(np.int64))
+    whole = found.tobytes()
+    return keys.view(np.int64).tolist(), marks.tolist(), *(int(np.uint64(xxh64_intdigest(whole, s)).view(np.int64)) for s in (seed, seed + 1))
 
 
 def signatures(text: Column, shingle: int = 5) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = [signature(t.as_py() or "", shingle) for t in batch]
-            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()))], ["keys", "marks", "fp"])
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()))], ["keys", "marks", "fp", "witness"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf("keys array<bigint>, marks array<bigint>, fp bigint")(run)(text)
+    return F.arrow_udf("keys array<bigint>, marks array<bigint>, fp bigint, witness bigint")(run)(text)
 
 
 def bits_for(similarity: float) -> int:
@@ -404,7 +405,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ship(docs.sparkSession)
     rows = packed(docs, doc_id=F.col(id_col).cast("long"), s=signatures(text_or_empty(text_col), shingle))
-    rows = materialise(rows.select("row", "doc_id", F.col("s.fp").alias("fp"), F.col("s.keys").alias("keys"), F.col("s.marks").alias("marks")), "simhash")
+    rows = materialise(rows.select("row", "doc_id", F.col("s.fp").alias("fp"), F.col("s.witness").alias("witness"), F.col("s.keys").alias("keys"), F.col("s.marks").alias("marks")), "simhash")
     least = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks")), "signatures")
     near = components(links(least.select("fp", "keys", "marks"), KEY_BUDGET, bits_for(similarity), 8 * SUBTREE))
     texts = rows.groupBy("fp").agg(F.any_value(F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))).alias("text"))
@@ -412,5 +413,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _classes(least.select("fp", "least"), similar(materialise(texts, "texts"), similarity, shingle))
     heads = found.where("fp = component_fp").select("fp")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("row"))
-    first = rows.groupBy("fp").agg(F.min_by("row", order).alias("row"))
+    # other shingles whose hash happens to be the same have another witness, and stay
+    first = rows.groupBy("fp", "witness").agg(F.min_by("row", order).alias("row"))
     return unpacked(first.join(heads, "fp", "left_semi"))

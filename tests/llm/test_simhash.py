@@ -53,23 +53,26 @@ def test_documents_against_all_pairs(spark, sf_dir):
 
 
 def plain_kept(rows):
-    """Ids that stay, of (id, text): the least of each class, over all pairs of signatures."""
-    marks = {d: simhash.signature(t or "") for d, t in rows}
-    ids = sorted(marks)
-    keys, sigs = (np.array([marks[d][i] for d in ids], dtype=np.int64).view(np.uint64) for i in (0, 1))
-    root = list(range(len(ids)))
+    """Ids that stay, of (id, text): the least of each class of texts whose five-word shingles agree by 0.8, over all pairs."""
+    sets = {}
+    for d, t in rows:
+        words = (t or "").encode().lower().split()
+        sets[d] = frozenset(b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+    ids = sorted(sets)
+    root = {d: d for d in ids}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(ids)):
-        near = (np.bitwise_count(keys[i + 1 :] ^ keys[i]) <= simhash.KEY_BUDGET).any(axis=1) & (np.bitwise_count(sigs[i + 1 :] ^ sigs[i]).sum(axis=1) <= simhash.bits_for(0.8))
-        for j in np.flatnonzero(near):
-            a, b = find(i), find(i + 1 + j)
-            root[max(a, b)] = min(a, b)
-    return sorted({ids[find(i)] for i in range(len(ids))})
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (x == y or len(x & y) >= 0.8 * len(x | y)):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return sorted({find(d) for d in ids})
 
 
 def test_one_of_each_class_stays(spark, sf_dir):
