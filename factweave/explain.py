@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from .language import normal
 from .language import syntax as S
 from .language.parser import QueryError, parse
-from .model import Fact, Model
+from .model import Entity, Fact, Model
 
 STOP = {"the", "of", "a", "an", "has", "have", "is", "are", "and", "for", "in", "with", "what", "which", "how", "many", "each", "all", "list"}
 SEVERITY = {"risk": "!", "caution": "?", "note": "-"}
@@ -155,8 +156,11 @@ def explain(model: Model, text: str) -> Reading:
     return r.out
 
 
-def schema(model: Model, relevant: set[str] | None = None, relational: bool = False) -> str:
-    """Types, how they are identified, their domains, and every reading."""
+def schema(model: Model, relevant: set[str] | None = None, relational: bool = False, knowledge: list | None = None) -> str:
+    """Types, how they are identified, their domains, and every reading.
+
+    knowledge: findings of a draft; those about listed tables are listed too.
+    """
     out = [f"Model {model.name}", "", "Entity types:"]
     for e in model.entities.values():
         if relevant is None or e.name in relevant:
@@ -177,6 +181,10 @@ def schema(model: Model, relevant: set[str] | None = None, relational: bool = Fa
         out += ["", "Macros:", *[f"  {k}({', '.join(p)}) = {b}" for k, (p, b) in model.macros.items()]]
     if model.rules:
         out += ["", "Defined terms:", *[f"  {r.name} ::= {r.source}" for r in model.rules]]
+    if knowledge:
+        tables = {e.table for e in model.entities.values() if relevant is None or e.name in relevant}
+        said = [f"  {f.subject}: {f.said} ({f.kind})" for f in knowledge if re.split(r"[.(]", f.subject)[0] in tables]
+        out += ["", "Known of the rows:", *said]
     return "\n".join(out)
 
 
@@ -264,23 +272,34 @@ def rules(model: Model) -> list[str]:
     return out
 
 
-def abstraction(model: Model, keep: float = 0.5) -> list[list[str]]:
-    """Entity types by weight, heaviest first, as a ladder of smaller and smaller views.
+def _parts(m: Model, name: str) -> list[tuple[Fact, int]]:
+    return [(f, i) for f in m.facts for i, r in enumerate(f.roles) if r.player == name]
 
-    A type weighs more for facts it takes part in, for mandatory and functional
-    roles, for subtypes, and for values of its own.
-    """
-    weight = {}
-    for e in model.entities.values():
-        w = 0.0
-        for f in model.facts:
-            for i, r in enumerate(f.roles):
-                if r.player == e.name:
-                    others = [x.player for k, x in enumerate(f.roles) if k != i]
-                    w += 2.0 if any(o in model.entities for o in others) else 0.5
-                    w += 0.5 * r.mandatory + 0.25 * f.functional(i)
-        w += sum(x.supertype == e.name for x in model.entities.values())
-        weight[e.name] = w * (0.5 if e.supertype else 1.0) * (0.75 if e.keyless else 1.0)
+
+def _meets_entity(m: Model, f: Fact, i: int) -> bool:
+    return any(r.player in m.entities for k, r in enumerate(f.roles) if k != i)
+
+
+#: What makes an entity type weigh: a rule's name, its weight, and how often it holds of the type.
+WEIGHTS: tuple[tuple[str, float, Callable[[Model, Entity], float]], ...] = (
+    ("facts with other entity types", 2.0, lambda m, e: sum(_meets_entity(m, f, i) for f, i in _parts(m, e.name))),
+    ("facts with values", 0.5, lambda m, e: sum(not _meets_entity(m, f, i) for f, i in _parts(m, e.name))),
+    ("mandatory roles", 0.5, lambda m, e: sum(f.roles[i].mandatory for f, i in _parts(m, e.name))),
+    ("roles that fix the rest", 0.25, lambda m, e: sum(f.functional(i) for f, i in _parts(m, e.name))),
+    ("others that refer to it", 0.5, lambda m, e: len({f.table for f, i in _parts(m, e.name) if f.table != e.table})),
+    ("subtypes", 1.0, lambda m, e: sum(x.supertype == e.name for x in m.entities.values())),
+    ("facts of three roles and more", 0.5, lambda m, e: sum(len(f.roles) > 2 for f, _ in _parts(m, e.name))),
+    ("references to itself", 0.5, lambda m, e: len({f.name for f, _ in _parts(m, e.name) if sum(r.player == e.name for r in f.roles) > 1})),
+    ("values of a stated domain", 0.25, lambda m, e: sum(bool((v := m.values.get(r.player)) and (v.allowed or v.low is not None)) for f, _ in _parts(m, e.name) for r in f.roles)),
+    ("rules and constraints that name it", 1.0, lambda m, e: sum(bool(re.search(rf"\b{e.name}\b", t)) for t in [*(r.source for r in m.rules), *(c.violation for c in m.constraints)])),
+    ("being a subtype", -1.0, lambda m, e: bool(e.supertype)),
+    ("having no identity", -1.0, lambda m, e: e.keyless),
+)
+
+
+def abstraction(model: Model, keep: float = 0.5) -> list[list[str]]:
+    """Entity types by the sum of WEIGHTS, heaviest first, as a ladder of smaller and smaller views."""
+    weight = {e.name: sum(w * rule(model, e) for _, w, rule in WEIGHTS) for e in model.entities.values()}
     ranked = sorted(weight, key=lambda n: (-weight[n], n))
     out = []
     while ranked:

@@ -6,6 +6,7 @@ no table holds (a refusal, a finding, a sentence) is compared with stated rows.
 
 from __future__ import annotations
 
+import io
 import json
 import tempfile
 from collections.abc import Callable
@@ -21,7 +22,7 @@ from ..language.parser import QueryError, parse
 from ..model import Model, Role, Rule
 from ..reverse import catalog as declared
 from ..reverse import derive, mine, passes, review
-from ..service import Service, shown
+from ..service import Service, loop, shown
 from ..sources.surrogate import with_row_id
 from ..sources.tables import files, frames, jdbc_options, unbound
 from ..sqlguard import check
@@ -486,6 +487,26 @@ def _restricted(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, out, "query string, n long")
 
 
+def _looped(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a session, each with the last line of its answer."""
+    asked = [":normalise list n from Nation has NationName n", "LIST n FROM Region \\", " has RegionName n", "LIST n FROM Nation has Nothing n", ":quit", "LIST n FROM Nation has NationName n"]
+    out = io.StringIO()
+    loop(spark, tpch.model(), files(spark, d), asked, out)
+    lines = [x for x in out.getvalue().splitlines() if x]
+    return _rows(spark, [("normal", lines[0]), ("rows", next(x for x in lines if x.endswith(" rows"))), ("refusals", str(sum("expected" in x for x in lines)))], "asked string, said string")
+
+
+def _reported(spark: SparkSession, d: str) -> DataFrame:
+    text = export.report(_draft(spark, d))
+    return _rows(spark, _said(text, "# drafted", "3 entity types", "## Shared domain", "* customer.c_acctbal: unknown"), "line string, said boolean")
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    draft = _draft(spark, d)
+    text = explain.schema(draft.model, {"Order"}, knowledge=draft.findings)
+    return _rows(spark, _said(text, "  orders.o_totalprice: additive (additivity)", "  customer.c_acctbal: unknown (additivity)"), "line string, said boolean")
+
+
 def _measured(spark: SparkSession, d: str) -> DataFrame:
     m = Model("m").entity("Part", "part", "p_partkey").entity("Doc", "docs", "doc_id")
     m.attribute("Part", "PartSize", "p_size", "int", low=5, high=45).attribute("Part", "Brand", "p_brand", allowed=("Brand#11", "Brand#12"), unique=True).attribute("Part", "PartName", "p_name", mandatory=True)
@@ -544,6 +565,7 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "A13_row_ids": (_row_ids, "select count(*) as ids, count(*) as rows from lineitem"),
     "A14_terminal": (_terminal, "select 'some' as asked, count(*) || ' rows' as said from region union all select 'many', 'more than 10 rows' from nation having count(*) > 10 union all select 'none', 'no rows' from nation where n_nationkey = 99 having count(*) = 0"),
     "A15_export": (_exported, stated("what, n", ("json keeps the model", 1), ("faults of the xml", 0), ("entity types drawn", 13))),
+    "A15_report": (_reported, stated("line, said", ("# drafted", True), ("3 entity types", True), ("## Shared domain", True), ("* customer.c_acctbal: unknown", True))),
     "A16_diagram": (_model_says(lambda m: [(e, f">{e}<" in export.html(m)) for e in ("Order", "Customer", "LabelledDocument")] + [("the same twice", export.html(m) == export.html(m))], "what string, drawn boolean"), stated("what, drawn", ("Order", True), ("Customer", True), ("LabelledDocument", True), ("the same twice", True))),
     # -- rows say
     "K2_derived": (_drafted("LIST n, c FROM Order o has Customer has Nation has NationName n AND ALSO THE COUNT OF o GROUPED BY n AS c"), "select n_name as n, count(*) as c from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1"),
@@ -592,6 +614,7 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "L3_strict": (lambda spark, d: _rows(spark, [(k, "refused" in Service(spark, tpch.model(), files(spark, d)).tool_query(t, strict=True)) for k, t in RISKY.items()], "query string, refused boolean"), stated("query, refused", ("any two", True), ("two by name", False), ("all", False))),
     "L4_normal": (_same_rows, "select n_name as n, count(*) as c from customer join nation on c_nationkey = n_nationkey group by 1 having count(*) > 50"),
     "L5_schema": (_model_says(lambda m: _said(explain.schema(m, relational=True), "  Turn, identified by conv_id, turn", "  LabelledDocument (a Document), identified by doc_id", "  LineItem, identified by , without identity"), "line string, said boolean"), stated("line, said", ("  Turn, identified by conv_id, turn", True), ("  LabelledDocument (a Document), identified by doc_id", True), ("  LineItem, identified by , without identity", True))),
+    "L5_knowledge": (_known, stated("line, said", ("  orders.o_totalprice: additive (additivity)", True), ("  customer.c_acctbal: unknown (additivity)", False))),
     "L6_linked": (_model_says(lambda m: [(t,) for t in ("Customer", "Balance", "Nation", "Page", "EventType") if t in explain.link(m, "What is the balance of customers from each nation?")], "type string"), stated("type", ("Customer",), ("Balance",), ("Nation",))),
     "L7_guard": (_guarded, stated("query, found", ("fan", "fan trap"), ("plain", ""), ("product", "cross product"), ("distinct", "sum of distinct"))),
     "L8_rules": (_model_says(lambda m: [(x,) for x in explain.rules(m) if x.startswith("Each Nation")], "rule string"), stated("rule", ("Each Nation is identified by its n_nationkey.",), ("Each Nation has exactly one NationKey.",), ("Each Nation has at most one NationName.",), ("Each Nation is in exactly one Region.",), ("Each NationKey is of at most one Nation.",), ("Each NationName is of at most one Nation.",))),
@@ -600,6 +623,7 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "L11_xml": (_model_says(lambda m: [("as written", len(export.check_xml(export.orm_xml(m))) == 0), ("with a role of nobody", len(export.check_xml(export.orm_xml(m).replace('id="_Order"', 'id="_Gone"', 1))) == 0)], "what string, sound boolean"), stated("what, sound", ("as written", True), ("with a role of nobody", False))),
     "L12_ddl": (_model_says(lambda m: [(b, len(explain.annotated_ddl(m, b)) <= b + 40) for b in (500, 2000, 8000)], "budget long, within boolean"), stated("budget, within", (500, True), (2000, True), (8000, True))),
     "L13_service": (_served, "select 'rows' as what, count(*) as n from nation union all select 'refused when strict', 1 union all select 'tools', 7 union all select 'unknown tool', 1"),
+    "L15_session": (_looped, "select 'normal' as asked, 'LIST n FROM Nation has NationName n' as said union all select 'rows', count(*) || ' rows' from region union all select 'refusals', '1'"),
     "L14_restricted_sql": (_restricted_sql, stated("asked, refused", ("allowed", False), ("column", True), ("file", True), ("write", True))),
     "L14_restricted": (_restricted, "select 'LIST n FROM Nation has NationName n' as query, count(*) as n from nation union all select 'LIST n FROM Customer has CustomerName n', -1"),
 }

@@ -100,6 +100,40 @@ class Service:
                 print(json.dumps(self.answer(line), default=str), file=out, flush=True)
 
 
+#: One line for each thing that the language says.
+PRIMER = """\
+LIST a, b FROM Type a verb Type b ...   rows along a path; a name after a type binds it
+... [verb Type: value]                  only filters; AND ALSO continues from the head
+... BUT NOT verb Type                   absence; OPTIONALLY verb Type keeps what has none
+... WHERE a > 1 AND NOT b = 'x'         conditions; a path among them asks whether it exists
+THE COUNT OF | SUM OF | AVERAGE | MINIMUM | MAXIMUM | MEDIAN | LIST OF ... GROUPED BY a | WITHIN a AS n
+ORDERED WITH a DESCENDING THE FIRST 3 [AFTER 2] [PER b] [WITH TIES]
+(...) UNITED WITH | INTERSECTED WITH | MINUS (...)
+DEFINE Name ::= LIST ...                names a result, which is then walked as has Name
+verb Type AS x EACH Type                side paths, gathered for each"""
+
+
+def loop(spark: SparkSession, model: Model, source: Callable[[str], DataFrame], lines, out, limit: int = 50) -> None:
+    """A query a line; a line that ends in a backslash goes on. :explain and :normalise read the query after them back, :primer and :schema list."""
+    held = ""
+    for line in lines:
+        held += line.rstrip("\n")
+        if held.endswith("\\"):
+            held = held[:-1] + "\n"
+            continue
+        text, held = held.strip(), ""
+        word, _, rest = text.partition(" ")
+        try:
+            if word == ":quit":
+                return
+            if not text:
+                continue
+            said = {":primer": lambda: PRIMER, ":schema": lambda: explain.schema(model), ":explain": lambda: explain.explain(model, rest).text(), ":normalise": lambda: explain.explain(model, rest).normal}
+            print(said[word]() if word in said else shown(spark, run(spark, model, source, text), limit), file=out, flush=True)
+        except QueryError as why:
+            print(why, file=out, flush=True)
+
+
 def shown(spark: SparkSession, df: DataFrame, limit: int) -> str:
     """The first rows as a table, and how many there are; the query runs once."""
     rows = df.limit(limit + 1).collect()
@@ -116,7 +150,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--data", help="the folder of the tables")
     p.add_argument("--format", default="parquet")
     p.add_argument("--limit", type=int, default=50)
-    for flag in ("explain", "check", "strict", "json", "schema", "relational", "normalise", "rules", "lint", "constraints", "permissive", "serve"):
+    for flag in ("explain", "check", "strict", "json", "schema", "relational", "normalise", "rules", "lint", "constraints", "permissive", "serve", "interactive", "primer"):
         p.add_argument(f"--{flag}", action="store_true")
     p.add_argument("--for", dest="question")
     p.add_argument("--orm", help="write the model as XML")
@@ -129,13 +163,15 @@ def main(argv: list[str] | None = None) -> int:
         Path(a.html).write_text(export.html(model))
     if a.schema:
         print(explain.schema(model, explain.link(model, a.question) if a.question else None, a.relational))
+    if a.primer:
+        print(PRIMER)
     if a.rules:
         print("\n".join(explain.rules(model)))
     if a.lint:
         print("\n".join(": ".join(x) for x in lint(model)))
-    if a.schema or a.rules or a.lint or (a.orm or a.html) and not a.query:
+    if a.schema or a.rules or a.lint or a.primer or (a.orm or a.html) and not a.query:
         return 0
-    texts = [" ".join(a.query)] if a.query else [] if a.serve or a.constraints else [x for x in sys.stdin.read().split(";") if x.strip()]
+    texts = [" ".join(a.query)] if a.query else [] if a.serve or a.constraints or a.interactive else [x for x in sys.stdin.read().split(";") if x.strip()]
     if a.explain or a.normalise:
         for t in texts:
             r = explain.explain(model, t)
@@ -143,6 +179,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.appName("factweave").getOrCreate()
     source = files(spark, a.data, a.format)
+    if a.interactive:
+        loop(spark, model, source, sys.stdin, sys.stdout, a.limit)
     if a.serve:
         Service(spark, model, source).serve()
     if a.constraints:
