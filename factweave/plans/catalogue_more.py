@@ -429,7 +429,7 @@ def _linted(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [x for x in found if x[2] in ("Unused", "Narrow") or "Lonely" in x[2]], "severity string, check string, said string")
 
 
-GUARDED = {"fan": "select sum(c_acctbal) from customer join orders on o_custkey = c_custkey", "plain": "select sum(o_totalprice) from customer join orders on o_custkey = c_custkey", "product": "select count(*) from region cross join nation", "distinct": "select sum(distinct o_totalprice) from orders"}
+GUARDED = {"fan": "select sum(c_acctbal) from customer join orders on o_custkey = c_custkey", "plain": "select sum(o_totalprice) from customer join orders on o_custkey = c_custkey", "product": "select count(*) from region cross join nation", "distinct": "select sum(distinct o_totalprice) from orders", "key": "select count(*) from customer join nation on c_custkey = n_nationkey", "through another": "select count(*) from customer c join nation n on c_nationkey = n_nationkey join region r on r_regionkey = n_regionkey"}
 
 
 def _guarded(spark: SparkSession, d: str) -> DataFrame:
@@ -616,7 +616,7 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "L5_schema": (_model_says(lambda m: _said(explain.schema(m, relational=True), "  Turn, identified by conv_id, turn", "  LabelledDocument (a Document), identified by doc_id", "  LineItem, identified by , without identity"), "line string, said boolean"), stated("line, said", ("  Turn, identified by conv_id, turn", True), ("  LabelledDocument (a Document), identified by doc_id", True), ("  LineItem, identified by , without identity", True))),
     "L5_knowledge": (_known, stated("line, said", ("  orders.o_totalprice: additive (additivity)", True), ("  customer.c_acctbal: unknown (additivity)", False))),
     "L6_linked": (_model_says(lambda m: [(t,) for t in ("Customer", "Balance", "Nation", "Page", "EventType") if t in explain.link(m, "What is the balance of customers from each nation?")], "type string"), stated("type", ("Customer",), ("Balance",), ("Nation",))),
-    "L7_guard": (_guarded, stated("query, found", ("fan", "fan trap"), ("plain", ""), ("product", "cross product"), ("distinct", "sum of distinct"))),
+    "L7_guard": (_guarded, stated("query, found", ("fan", "fan trap"), ("plain", ""), ("product", "cross product"), ("distinct", "sum of distinct"), ("key", "join key"), ("through another", ""))),
     "L8_rules": (_model_says(lambda m: [(x,) for x in explain.rules(m) if x.startswith("Each Nation")], "rule string"), stated("rule", ("Each Nation is identified by its n_nationkey.",), ("Each Nation has exactly one NationKey.",), ("Each Nation has at most one NationName.",), ("Each Nation is in exactly one Region.",), ("Each NationKey is of at most one Nation.",), ("Each NationName is of at most one Nation.",))),
     "L9_ladder": (_model_says(lambda m: [(i, len(x)) for i, x in enumerate(explain.abstraction(m))], "level long, types long"), stated("level, types", (0, 13), (1, 6), (2, 3), (3, 1))),
     "L10_problems": (lambda spark, d: _rows(spark, [(x,) for x in Model("x").entity("A", "a", "id", supertype="B").entity("C", "c").problems()], "problem string"), stated("problem", ("A is a subtype of B, which the model lacks",), ("C has no identifying columns",))),
