@@ -19,7 +19,7 @@ from .. import explain, export
 from ..functions import aggregates, scalar
 from ..language import normal
 from ..language.parser import QueryError, parse
-from ..model import Model, Role, Rule
+from ..model import Constraint, Model, Role, Rule
 from ..reverse import catalog as declared
 from ..reverse import derive, mine, passes, review
 from ..service import Service, loop, shown
@@ -27,7 +27,7 @@ from ..sources.surrogate import with_row_id
 from ..sources.tables import files, frames, jdbc_options, unbound
 from ..sqlguard import check
 from . import tpch
-from .compiler import run
+from .compiler import run, violations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -507,6 +507,17 @@ def _known(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, _said(text, "  orders.o_totalprice: additive (additivity)", "  customer.c_acctbal: unknown (additivity)"), "line string, said boolean")
 
 
+def _violations(spark: SparkSession, d: str) -> DataFrame:
+    m = tpch.model()
+    m.constraints = [Constraint("every order has a line", "Order BUT NOT has LineItem"), Constraint("prices are positive", "LIST k FROM Order has OrderKey k AND ALSO has TotalPrice t WHERE t <= 0"), Constraint("nobody is in debt", "Customer has Balance b WHERE b < 0")]
+    return _rows(spark, [(k, len(v)) for k, v in violations(spark, m, files(spark, d), 20).items()], "rule string, shown long")
+
+
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    read = files(spark, d)
+    return mine.comparisons(read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_shipdate", "o_orderdate"))
+
+
 def _measured(spark: SparkSession, d: str) -> DataFrame:
     m = Model("m").entity("Part", "part", "p_partkey").entity("Doc", "docs", "doc_id")
     m.attribute("Part", "PartSize", "p_size", "int", low=5, high=45).attribute("Part", "Brand", "p_brand", allowed=("Brand#11", "Brand#12"), unique=True).attribute("Part", "PartName", "p_name", mandatory=True)
@@ -551,6 +562,7 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
     "D7_unknown": (_ask(_documents(), "LIST d FROM Doc has DocNr d AND ALSO OPTIONALLY has Quality q AND ALSO OPTIONALLY has Toxic t WHERE NOT (q = 1 AND t = 0)", _labelled), f"select doc_id as d from ({LABELLED}) where not (quality = 1 and toxic = 0)"),
     "G3_nulls": (_ask(_documents(), "LIST d, q FROM Doc has DocNr d AND ALSO OPTIONALLY has Quality q ORDERED WITH q DESCENDING, d THE FIRST 300", _labelled), f"select doc_id as d, quality as q from ({LABELLED}) order by quality desc nulls last, doc_id limit 300"),
     "J5_rules": (_ask(_ruled(), "LIST n, v FROM Debtor has CustomerName n AND ALSO has Volume VolumeN v", files), "select c_name as n, count(*) as v from customer join orders on o_custkey = c_custkey where c_acctbal < 0 group by c_custkey, c_name"),
+    "J8_constraints": (_violations, "select 'every order has a line' as rule, least(20, count(*)) as shown from orders where o_orderkey not in (select l_orderkey from lineitem) union all select 'prices are positive', least(20, count(*)) from orders where o_totalprice <= 0 union all select 'nobody is in debt', least(20, count(*)) from customer where c_acctbal < 0"),
     "J9_own_function": (_own_function, "select c_custkey as k, upper(left(c_mktsegment, 1)) as i from customer"),
     "J10_own_aggregate": (_own_aggregate, "select c_mktsegment as s, round(max(c_acctbal) - min(c_acctbal), 2) as r from customer group by 1"),
     "J13_permissive": (_ask(tpch.model(), "LIST n, c FROM Customer k is from Nation has NationName n AND ALSO placed Order o AND ALSO THE COUNT OF k GROUPED BY n AS c", files, permissive=True), "select n_name as n, count(*) as c from customer join nation on n_nationkey = c_nationkey join orders on o_custkey = c_custkey group by 1"),
@@ -579,6 +591,17 @@ FRAMES: dict[str, tuple[Query, str | None]] = {
         _pass(passes.shared_pairs, _pairs, {}),
         "select 'shared pair' as kind, 'answers(conv_id, turn)' as subject, 'finds a row of turns' as said from (select count(*) as n, count(distinct (conv_id, turn)) as m from conversations) where n = m",
     ),
+    "K13_all_columns": (
+        lambda spark, d: mine.domains(files(spark, d)("customer")),
+        " union all ".join(
+            f"select '{c}' as \"column\", cast({c} as varchar) as value, count(*) as n from customer where (select count(distinct {c}) between 2 and 25 and count({c}) >= 4 * count(distinct {c}) from customer) group by 2" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+        ),
+    ),
+    "K16_dates": (_ordered, " union all ".join(f"select '{a}' as low, '{b}' as high, count(*) as rows, cast(sum(case when {a} > {b} then 1 else 0 end) as bigint) as broken from lineitem join orders on l_orderkey = o_orderkey" for a, b in (("l_shipdate", "o_orderdate"), ("o_orderdate", "l_shipdate")))),
+    "K19_all_pairs": (
+        lambda spark, d: mine.dependencies(files(spark, d)("nation")),
+        " union all ".join(f"select '{a}' as determinant, '{b}' as dependent, count(*) as groups, cast(sum(case when n > 1 then 1 else 0 end) as bigint) as broken from (select {a}, count(distinct {b}) as n from nation group by 1)" for a in ("n_nationkey", "n_name", "n_regionkey") for b in ("n_nationkey", "n_name", "n_regionkey") if a != b),
+    ),
     "K14_types": (_pass(passes.storage_types, _casts, {}), stated("kind, subject, said", ("storage type", "o.nr", "every value is a bigint"), ("storage type", "o.price", "every value is a double"), ("storage type", "o.day", "every value is a date"))),
     "K15_null_table": (
         lambda spark, d: mine.null_patterns(_null_table(spark, d), ["quality", "toxic", "unlabelled"]),

@@ -589,9 +589,9 @@ class Compiler:
             a = number(a)
         elif isinstance(kb, T.StringType) and numeric(ka):
             b = number(b)
-        elif isinstance(ka, T.StringType) and isinstance(kb, (T.DateType, T.TimestampType)):
+        elif isinstance(ka, T.StringType) and isinstance(kb, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             a = a.try_cast(kb)
-        elif isinstance(kb, T.StringType) and isinstance(ka, (T.DateType, T.TimestampType)):
+        elif isinstance(kb, T.StringType) and isinstance(ka, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             b = b.try_cast(ka)
         return COMPARE[op](a, b)
 

@@ -217,7 +217,7 @@ def choose_key(table: str, df: DataFrame, sets: list[tuple[str, ...]], others: d
                 score += 1
             if isinstance(df.schema[u[0]].dataType, (T.IntegerType, T.LongType, T.ShortType)):
                 score += 1
-            if isinstance(df.schema[u[0]].dataType, (T.DoubleType, T.FloatType, T.TimestampType)):
+            if isinstance(df.schema[u[0]].dataType, (T.DoubleType, T.FloatType, T.TimestampType, T.TimestampNTZType)):
                 score -= 4
             if any(u[0] == k and t != table for t, ks in others.items() for k in ks):
                 score -= 3
@@ -269,7 +269,7 @@ def comparisons(df: DataFrame, pairs: list[tuple[str, str]] | None = None) -> Da
     """(low, high, rows, broken): pairs of columns of which the first never exceeds the second."""
     if pairs is None:
         kinds = {f.name: f.dataType for f in df.schema}
-        times = [c for c, k in kinds.items() if isinstance(k, (T.DateType, T.TimestampType))]
+        times = [c for c, k in kinds.items() if isinstance(k, (T.DateType, T.TimestampType, T.TimestampNTZType))]
         ends = [c for c, k in kinds.items() if isinstance(k, T.NumericType) and re.search(r"min|low|from|start", c, re.I)]
         pairs = [(a, b) for a in times for b in times if a != b] + [(a, b) for a in ends for b in kinds if a != b and isinstance(kinds[b], T.NumericType) and re.search(r"max|high|to$|end", b, re.I)]
     if not pairs:
