@@ -50,8 +50,8 @@ _WORD_START = re.compile(" (?=[!-;=-~¡-ᙿᚁ-᠍᠏-῿⁰-⿿、-﻾＀-\U001
 BLOCK_BYTES = 16 << 20
 BUCKET_WORDS = 200_000
 #: Blocks that meet in a bucket at most, so that a word that all blocks list does
-#: not gather them all in one task. Beyond it (a terabyte of text) a word is
-#: encoded once for each so many blocks.
+#: not gather them all in one task. Beyond it (a terabyte of text) shares of so
+#: many blocks make one list first, and these lists meet.
 BUCKET_BLOCKS = 65_536
 
 
@@ -161,6 +161,49 @@ def _answer(file: TokenizerFile):
     return run
 
 
+def _union(shares: int):
+    """All words that the blocks of a share list in a bucket, as one list."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        bucket = table.column("bucket")[0].as_py()
+        words = zstandard.ZstdCompressor(level=3).compress(b"\0".join(_listed(table)))
+        return pa.table([pa.array([bucket % shares], pa.int64()), pa.array([bucket // shares], pa.int64()), pa.array([words], pa.binary())], schema=schema)
+
+    return run
+
+
+def _listed(table: pa.Table) -> list[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    words: set[bytes] = set()
+    for data in table.column("words"):
+        words.update(unpack(data.as_py()).split(b"\0"))
+    return sorted(words)
+
+
+def _hand_down(key: tuple, lists: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answer to a share's one list, handed to each of its blocks in the order of the block's own list."""
+    import zstandard
+
+    pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+    words, checks, out, kept = _listed(lists), [], [], []
+    known: dict[bytes, bytes] = {}
+    for check, ids in zip(answers.column("check"), answers.column("ids"), strict=True):
+        if check.as_py() == zlib.crc32(b"\0".join(words)):
+            known = dict(zip(words, unpack(ids.as_py()).split(b"\n"), strict=True))
+    for k, data in enumerate(lists.column("words") if known else ()):
+        joined = unpack(data.as_py())
+        checks.append(zlib.crc32(joined))
+        out.append(pack(b"\n".join([known[w] for w in joined.split(b"\0")])))
+        kept.append(k)
+    own = lists.take(pa.array(kept, pa.int64()))
+    return pa.table({"block": own.column("block"), "bucket": own.column("bucket"), "check": pa.array(checks, pa.int64()), "ids": pa.array(out, pa.binary())})
+
+
 class _Block:
     """One block's words and the ids they join to, by their places in its lists."""
 
@@ -253,7 +296,15 @@ def encode(docs: DataFrame, file: TokenizerFile, keep: list[str], text_col: str
     packed = rows.withColumn("hash", F.xxhash64("row", "content")).mapInArrow(_pack(arrow_row, n_blocks), "block long, chunk binary")
     blocks = dealt(packed, n_bytes, "block")
     lists = blocks.groupBy("block").applyInArrow(_list_words(n_buckets, shares), "block long, bucket long, words binary")
-    answers = lists.groupBy("bucket").applyInArrow(_answer(file), "block long, bucket long, check long, ids binary")
+    answered = "block long, bucket long, check long, ids binary"
+    if shares == 1:
+        answers = lists.groupBy("bucket").applyInArrow(_answer(file), answered)
+    else:
+        # so many blocks that their lists don't fit a task: shares of them make one list each, and these meet
+        unions = lists.groupBy("bucket").applyInArrow(_union(shares), "block long, bucket long, words binary")
+        met = unions.groupBy("bucket").applyInArrow(_answer(file), answered)
+        met = met.select((F.col("bucket") * shares + F.col("block")).alias("bucket"), "check", "ids")
+        answers = lists.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(_hand_down, answered)
     out = T.StructType([T.StructField("row", row_type), T.StructField("n_tokens", T.LongType())])
     out = out.add("ids_sha256", "string").add("decoded_sha256", "string") if digests else out.add("ids", T.ArrayType(T.IntegerType()))
     arrow_out = pa.schema([("row", arrow_row), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32()))])])

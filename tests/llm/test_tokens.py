@@ -132,3 +132,38 @@ def test_two_writers_of_one_cache(spark, tmp_path):
     spark.read.parquet(path).write.mode("append").parquet(path + "2")
     spark.read.parquet(path).write.mode("append").parquet(path + "2")
     assert token_counts.token_counts(docs, file, path + "2").count() == 2
+
+
+def test_shares_of_blocks(spark, library, monkeypatch):
+    """More blocks than may meet in a bucket: same ids, and each distinct word is encoded once."""
+    monkeypatch.setattr(bpe, "BUCKET_BLOCKS", 3)
+    docs = {i: f"the word {i % 50} is word{i % 7}\0 of <|endoftext|> {'long ' * (i % 5)}" for i in range(200)}
+    df, file = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), TokenizerFile.read()
+    got = {r.doc_id: r.ids for r in bpe.encode(df, file, ["doc_id"]).collect()}
+    assert got == {i: library.encode(t, add_special_tokens=False).ids for i, t in docs.items()}
+    lists = [(b, k * 4 + b % 4, bpe._joined(sorted({f" w{k}{j}".encode() for j in range(b, b + 5)}))) for b in range(12) for k in range(2)]
+    import pyarrow as pa
+    import zstandard
+
+    pack = zstandard.ZstdCompressor().compress
+    by = {}
+    for block, bucket, words in lists:
+        by.setdefault(bucket, []).append((block, bucket, pack(words)))
+    table = lambda rows, names: pa.table([pa.array(c) for c in zip(*rows)], names=names)
+    own = {b: table(r, ["block", "bucket", "words"]) for b, r in by.items()}
+    unions = {}
+    for t in own.values():
+        u = bpe._union(4)(t)
+        unions.setdefault(u.column("bucket")[0].as_py(), []).append(u)
+    seen = []
+    monkeypatch.setattr(encoder(file), "encode", lambda w: seen.append(w) or [len(seen)])
+    met = {k: bpe._answer(file)(pa.concat_tables(v)) for k, v in unions.items()}
+    assert len(seen) == len(set(seen))
+    for bucket, t in own.items():
+        answer = met[bucket // 4]
+        mine = answer.filter(pa.array([b == bucket % 4 for b in answer.column("block").to_pylist()]))
+        down = bpe._hand_down((), t, mine)
+        assert down.num_rows == t.num_rows
+        for words, ids in zip(t.column("words").to_pylist(), down.column("ids").to_pylist()):
+            plain = zstandard.ZstdDecompressor().decompress(words).decode().split("\0")
+            assert [seen[int(i) - 1] for i in zstandard.ZstdDecompressor().decompress(ids).decode().split("\n")] == plain
