@@ -829,6 +829,8 @@ class Compiler:
         """An aggregate over a bag of its own: one value, or one for each outer row that it refers to."""
         if a.body is None:
             raise QueryError("the aggregate reads the query's own rows and is not known yet here")
+        if (known := frame.folded.get(repr(a))) and frame.df is not None and known in frame.df.columns:
+            return F.col(known)
         if isinstance(a.body, S.Query):
             df, labels, sub = self.query(a.body, Frame(self.ctx, frame))
             sub = Frame(self.ctx, frame)
@@ -861,13 +863,27 @@ class Compiler:
         folded = self.fold(sub, a, value, distinct).alias(out)
         frame.one_row()
         if not pairs:
-            frame.df = frame.df.crossJoin(F.broadcast(sub.df.agg(folded)))
+            mates = [] if sub.distinct or getattr(sub, "value_col", None) else self.mates(frame, sub, a)
+            frame.folded |= {repr(m): name for m, name, _ in mates} | {repr(a): out}
+            frame.df = frame.df.crossJoin(F.broadcast(sub.df.agg(folded, *[c for _, _, c in mates])))
             return F.col(out)
         keys = {c: self.ctx.fresh("g") for c, _ in pairs}
         found = sub.df.groupBy(*[F.col(c).alias(keys[c]) for c in keys]).agg(folded)
         frame.df = frame.df.join(found, conjunction(F.col(keys[c]) == F.col(b) for c, b in pairs), "left")
         return self.absent(frame, a, F.col(out))
 
+    def mates(self, frame: Frame, sub: Frame, a: S.Aggregate) -> list[tuple[S.Aggregate, str, Column]]:
+        """Other aggregates that the query lists over the same bag, as it is: one scan folds them all."""
+        out = []
+        for m in frame.listed:
+            if repr(m.body) != repr(a.body) or repr(m) == repr(a) or repr(m) in frame.folded or any(repr(m) == repr(x) for x, _, _ in out):
+                continue
+            value, nodes = self.operand(sub, m)
+            if m.function in (*EXEMPT, "count") or m.distinct or sub.grouped or determine.repeated(sub, nodes) is None:
+                name = self.ctx.fresh("agg")
+                out.append((m, name, self.fold(sub, m, value, m.distinct).alias(name)))
+        return out
+
     def absent(self, frame: Frame, a: S.Aggregate, c: Column) -> Column:
         """A count of nothing is 0, a list of nothing is empty."""
         if a.function == "count":
@@ -1139,6 +1155,7 @@ class Compiler:
             self.describe(frame, q.body)
         for item in [*(q.items or []), *[S.Item(k.value, "") for k in q.order]]:
             self.announce(frame, item.value)
+            frame.listed += [x for x in bags(item.value) if not x.keys]
         extra = [self.element(frame, e) for e in q.elements]
         self.settle(frame)
         columns = self.projection(frame, q.items) + extra
@@ -1410,6 +1427,13 @@ def children(tree: Any) -> list[Any]:
     return []
 
 
+def bags(tree: Any) -> list[S.Aggregate]:
+    """The aggregates in an expression that have a bag of their own."""
+    if isinstance(tree, S.Aggregate):
+        return [tree] if tree.body is not None and not isinstance(tree.body, S.Query) else []
+    return [x for c in children(tree) for x in bags(c)]
+
+
 def has_outer(tree: Any) -> bool:
     return isinstance(tree, S.Outer) or any(has_outer(c) for c in children(tree))
 

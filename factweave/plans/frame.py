@@ -113,6 +113,9 @@ class Frame:
         self.late: list[Any] = []
         self.grouped = False
         self.key_nodes: tuple[Node, ...] = ()
+        #: Aggregates over bags of their own that the query lists, and the columns of those that are known.
+        self.listed: list[Any] = []
+        self.folded: dict[str, str] = {}
 
     # -- rows ---------------------------------------------------------------------
 

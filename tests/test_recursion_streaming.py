@@ -90,6 +90,11 @@ def test_facts_in_a_row_in_hand_cost_no_join(spark):
     assert "LeftAnti" in plan("LIST k FROM Order has OrderKey k BUT NOT has LineItem")
 
 
+def test_aggregates_of_one_bag_share_a_scan(spark):
+    df = run(spark, tpch.model(), files(spark, SF), PATHS["E3_basic"][0])
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
 def test_scans_read_only_what_is_asked(spark):
     plan = run(spark, tpch.model(), files(spark, SF), "LIST n FROM Customer has CustomerName n AND ALSO has Balance b WHERE b > 100")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull" in plan and "c_mktsegment" not in plan
