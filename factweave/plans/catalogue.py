@@ -67,7 +67,10 @@ PATHS: dict[str, tuple[str, str]] = {
     "D12_equal": ("LIST k FROM Customer has CustomerKey k AND ALSO placed Order has Priority MATCHING ALL Customer: 1 placed Order has Priority", "select c_custkey as k from customer where not exists (select o_orderpriority from orders where o_custkey = 1 except select o_orderpriority from orders where o_custkey = c_custkey) and not exists (select o_orderpriority from orders where o_custkey = c_custkey except select o_orderpriority from orders where o_custkey = 1)"),
     "D13_not_equal": ("LIST k FROM Customer has CustomerKey k WHERE placed Order has Priority DOES NOT EQUAL Customer: 1 placed Order has Priority", "select c_custkey as k from customer where exists (select o_orderpriority from orders where o_custkey = 1 except select o_orderpriority from orders where o_custkey = c_custkey) or exists (select o_orderpriority from orders where o_custkey = c_custkey except select o_orderpriority from orders where o_custkey = 1)"),
     "D14_proper_subset": ("LIST k FROM Customer has CustomerKey k WHERE placed Order has Priority IS A PROPER SUBSET OF Customer: 1 placed Order has Priority", "select c_custkey as k from customer where exists (select o_orderpriority from orders where o_custkey = 1 except select o_orderpriority from orders where o_custkey = c_custkey) and not exists (select o_orderpriority from orders where o_custkey = c_custkey except select o_orderpriority from orders where o_custkey = 1)"),
-    "D15_disjoint": ("LIST k FROM Customer has CustomerKey k WHERE placed Order has Priority IS DISJOINT FROM Customer: 1 placed Order has Priority", "select c_custkey as k from customer where not exists (select o_orderpriority from orders where o_custkey = c_custkey intersect select o_orderpriority from orders where o_custkey = 1)"),
+    "D15_disjoint": (
+        "LIST k FROM Order has OrderKey k WHERE has LineItem has ReturnFlag IS DISJOINT FROM Order: 1 has LineItem [has LineNumber: 1] has ReturnFlag",
+        "select o_orderkey as k from orders where not exists (select l_returnflag from lineitem where l_orderkey = o_orderkey intersect select l_returnflag from lineitem where l_orderkey = 1 and l_linenumber = 1)",
+    ),
     "D16_bag_cut": ("LIST n FROM Nation has NationName n WHERE is home of Customer has Segment IS A SUPERSET OF (LIST s FROM Customer has Segment s AND ALSO has CustomerKey k ORDERED WITH k THE FIRST 3)", "select n_name as n from nation where not exists (select s from (select c_mktsegment as s from customer order by c_custkey limit 3) except select c_mktsegment from customer where c_nationkey = n_nationkey)"),
     "D17_restrict": ("LIST k, s FROM Part has PartKey k AND ALSO has medium MediumSize s", "select p_partkey as k, p_size as s from part where p_size between 10 and 20"),
     "D17_enumerated": ("LIST n, s FROM Customer has CustomerName n AND ALSO has big BigSegment s", "select c_name as n, c_mktsegment as s from customer where c_mktsegment in ('BUILDING', 'AUTOMOBILE')"),
@@ -112,7 +115,7 @@ PATHS: dict[str, tuple[str, str]] = {
     # -- set operations -------------------------------------------------------------
     "H1_union": ("(LIST n FROM Customer is from Nation has NationName n) UNITED WITH (LIST n FROM Supplier is based in Nation has NationName n)", "select n_name as n from customer join nation on c_nationkey = n_nationkey union select n_name from supplier join nation on s_nationkey = n_nationkey"),
     "H2_intersect": ("(LIST n FROM Customer [has Segment: 'BUILDING'] is from Nation has NationName n) INTERSECTED WITH (LIST n FROM Supplier is based in Nation has NationName n)", "select n_name as n from customer join nation on c_nationkey = n_nationkey where c_mktsegment = 'BUILDING' intersect select n_name from supplier join nation on s_nationkey = n_nationkey"),
-    "H3_minus": ("(LIST n FROM Nation has NationName n) MINUS (LIST n FROM Supplier is based in Nation has NationName n)", "select n_name as n from nation except select n_name from supplier join nation on s_nationkey = n_nationkey"),
+    "H3_minus": ("(LIST k FROM Order has OrderKey k) MINUS (LIST k FROM Order [has LineItem] has OrderKey k)", "select o_orderkey as k from orders except select l_orderkey from lineitem"),
     "H4_chain": ("(LIST k FROM Part has PartKey k AND ALSO has PartSize s WHERE s < 10) UNITED WITH (LIST k FROM Part has PartKey k AND ALSO has Brand: 'Brand#11') MINUS (LIST k FROM LineItem [has Quantity q] is for Part has PartKey k WHERE q > 45) ORDERED WITH k", "(select p_partkey as k from part where p_size < 10 union select p_partkey from part where p_brand = 'Brand#11') except select l_partkey from lineitem where l_quantity > 45"),
     # -- functions ------------------------------------------------------------------
     "I1_arithmetic": ("LIST k, -s + 3 * 2 - 1 AS a, round(s / 7, 6) AS d, div(s, 7) AS q, s ^ 2 AS p FROM Part has PartKey k AND ALSO has PartSize s", "select p_partkey as k, -p_size + 5 as a, round(p_size / 7.0, 6) as d, cast(p_size // 7 as bigint) as q, cast(pow(p_size, 2) as double) as p from part"),
@@ -130,7 +133,6 @@ PATHS: dict[str, tuple[str, str]] = {
     "J1_subtype": ("DEFINE Busy ::= LIST c FROM Customer c placed Order o AND ALSO THE COUNT OF o GROUPED BY c AS n WHERE n > 15\nLIST s, k FROM Busy b has Segment s AND ALSO THE COUNT OF b GROUPED BY s AS k", "select c_mktsegment as s, count(*) as k from customer where c_custkey in (select o_custkey from orders group by 1 having count(*) > 15) group by 1"),
     "J2_fact": ("DEFINE Spent ::= LIST c, t FROM Customer c placed Order has TotalPrice p AND ALSO THE SUM OF p GROUPED BY c AS t\nLIST n, round(t, 2) AS spent FROM Customer has CustomerName n AND ALSO has Spent SpentT t", "select c_name as n, round(sum(o_totalprice), 2) as spent from customer join orders on o_custkey = c_custkey group by c_custkey, c_name"),
     "J4_chain": ("DEFINE Spent ::= LIST c, t FROM Customer c placed Order has TotalPrice p AND ALSO THE SUM OF p GROUPED BY c AS t\nDEFINE Big ::= LIST c FROM Customer c has Spent SpentT t WHERE t > 2000000\nLIST n, k FROM Big b is from Nation has NationName n AND ALSO THE COUNT OF b GROUPED BY n AS k", "with s as (select o_custkey, sum(o_totalprice) as t from orders group by 1) select n_name as n, count(*) as k from s join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where t > 2000000 group by 1"),
-    "J8_violation": ("LIST k FROM Order has OrderKey k AND ALSO has TotalPrice t WHERE t <= 1000", "select o_orderkey as k from orders where o_totalprice <= 1000"),
     # -- well-known reports -----------------------------------------------------------
     "report_pricing": ("LIST f, s, round(q, 2) AS sum_qty, round(p, 2) AS sum_price, round(v, 2) AS sum_disc, round(m, 6) AS avg_disc, c FROM LineItem l has ReturnFlag f AND ALSO has LineStatus s AND ALSO has Quantity x AND ALSO has ExtendedPrice y AND ALSO has Discount d AND ALSO has ShipDate h AND ALSO THE SUM OF x GROUPED BY f, s AS q AND ALSO THE SUM OF y GROUPED BY f, s AS p AND ALSO THE SUM OF revenue(y, d) GROUPED BY f, s AS v AND ALSO THE AVERAGE d GROUPED BY f, s AS m AND ALSO THE COUNT OF l GROUPED BY f, s AS c WHERE days_between(h, '1998-09-02') <= 0", "select l_returnflag as f, l_linestatus as s, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_price, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc, round(avg(l_discount), 6) as avg_disc, count(*) as c from lineitem where cast(l_shipdate as date) <= date '1998-09-02' group by 1, 2"),
     "report_local_suppliers": ("LIST n, round(r, 2) AS revenue FROM LineItem is of Order is placed by Customer is from Nation n1 AND ALSO is supplied by Supplier is based in Nation n1 AND ALSO n1 has NationName n AND ALSO has ExtendedPrice p AND ALSO has Discount d AND ALSO THE SUM OF revenue(p, d) GROUPED BY n AS r", "select n_name as n, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey and s_nationkey = c_nationkey join nation on n_nationkey = c_nationkey group by 1"),
@@ -222,7 +224,6 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "K15_null_patterns": (_mined("supplier", lambda df: mine.null_patterns(df, ["s_name", "s_acctbal"])), "select 's_name' as \"left\", 's_acctbal' as \"right\", count(*) as rows, cast(sum(case when s_name is not null and s_acctbal is not null then 1 else 0 end) as bigint) as both, cast(sum(case when s_name is null and s_acctbal is null then 1 else 0 end) as bigint) as neither, cast(sum(case when (s_name is null) <> (s_acctbal is null) then 1 else 0 end) as bigint) as one from supplier"),
     "K16_comparisons": (_mined("lineitem", lambda df: mine.comparisons(df, [("l_discount", "l_quantity"), ("l_quantity", "l_tax")])), " union all ".join(f"select '{a}' as low, '{b}' as high, count(*) as rows, cast(sum(case when {a} > {b} then 1 else 0 end) as bigint) as broken from lineitem" for a, b in (("l_discount", "l_quantity"), ("l_quantity", "l_tax")))),
     "K19_dependencies": (_mined("part", lambda df: mine.dependencies(df, [("p_partkey", "p_brand"), ("p_brand", "p_type"), ("p_size", "p_type")])), " union all ".join(f"select '{a}' as determinant, '{b}' as dependent, count(*) as groups, cast(sum(case when n > 1 then 1 else 0 end) as bigint) as broken from (select {a}, count(distinct {b}) as n from part group by 1)" for a, b in (("p_partkey", "p_brand"), ("p_brand", "p_type"), ("p_size", "p_type")))),
-    "K23_quality": (_mined("nation", mine.quality), "select '' as \"column\", '' as finding, cast(0 as bigint) as \"values\", cast(0 as bigint) as rows where false"),
     "K25_routes": (routes, "with a as (select o_orderkey as k, [c_nationkey] as x from orders join customer on o_custkey = c_custkey), b as (select l_orderkey as k, list_sort(list(distinct s_nationkey)) as y from lineitem join supplier on l_suppkey = s_suppkey group by 1) select cast(sum(case when x = y then 1 else 0 end) as bigint) as agree, cast(sum(case when x <> y then 1 else 0 end) as bigint) as differ, cast(sum(case when y is null then 1 else 0 end) as bigint) as only_first, cast(0 as bigint) as only_second from a left join b using (k)"),
     "K26_structure": (lambda spark, d: mine.structure(spark.read.parquet(f"{d}/orders.parquet"), "o_custkey", spark.read.parquet(f"{d}/customer.parquet"), "c_custkey"), "select count(*) as parents, count(n) as covered, cast(coalesce(sum(n), 0) as bigint) as rows, coalesce(max(n), 0) as most from customer left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey"),
     "K29_json_shape": (json_leaves, "select 'record' as shape, '$.k' as path, 'bigint' as kind"),
