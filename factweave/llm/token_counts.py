@@ -1,7 +1,10 @@
 """Token counts through a digest cache.
 
 A count depends only on the content and on the tokenizer's version, so counts
-are kept by the digests of both. Documents are joined to the cache; only
+are kept by the digests of both. A content's normal form is its text with null
+as empty: byte-level files have no normaliser of their own, and what another
+file's library would change besides may give one count two digests, never one
+digest two counts. Documents are joined to the cache; only
 distinct contents that it lacks are encoded, and their counts are appended.
 
 Work per content is done once, however many copies there are: copies are

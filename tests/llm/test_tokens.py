@@ -167,3 +167,13 @@ def test_shares_of_blocks(spark, library, monkeypatch):
         for words, ids in zip(t.column("words").to_pylist(), down.column("ids").to_pylist()):
             plain = zstandard.ZstdDecompressor().decompress(words).decode().split("\0")
             assert [seen[int(i) - 1] for i in zstandard.ZstdDecompressor().decompress(ids).decode().split("\n")] == plain
+
+
+def test_partitions_follow_the_bytes(spark):
+    from factweave.llm import common
+
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(100)
+    assert common.dealt(df, 0, "id").rdd.getNumPartitions() <= own
+    assert common.dealt(df, 50 * common.PARTITION_BYTES, "id").rdd.getNumPartitions() == 50
+    assert common.plan_bytes(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")) > 10_000

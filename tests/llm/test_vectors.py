@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factweave.llm import ann, topk
@@ -79,15 +80,53 @@ def test_approximate_on_embeddings_has_the_recall(spark, sf_dir):
         assert abs(r.score - cosine(by[r.query_id], by[r.vec_id])) < 1e-12
 
 
-def test_error_bounds_hold():
+@pytest.mark.parametrize("dim", [3, 64, 300])
+def test_error_bounds_hold(dim):
     rng = np.random.default_rng(1)
-    v, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
+    v, q = rng.standard_normal((2000, dim)), rng.standard_normal((20, dim))
+    turn = ann.rotation(dim)
+    assert turn.shape == (dim, ann.width(dim)) and np.allclose(turn @ turn.T, np.eye(dim))
+    bits, scalar, error = ann.codes(v, turn)
+    words, ones = np.ascontiguousarray(bits.T), np.bitwise_count(bits).sum(axis=1, dtype=np.int32)
+    signs = np.where(np.unpackbits(bits.view(np.uint8), axis=1) > 0, 1.0, -1.0) / np.sqrt(ann.width(dim))
+    within, exact = [], []
+    for x in q:
+        query = ann.Query(ann.turned(x[None, :], turn)[0])
+        estimate = query.estimate(words, ones, scalar)
+        plain = signs @ ann.turned(x[None, :], turn)[0] / scalar
+        true = v @ x / (np.linalg.norm(v, axis=1) * np.linalg.norm(x))
+        exact.append(np.abs(estimate - plain).max() <= 2 * query.rounding)
+        within.append((np.abs(estimate - true) <= ann.BOUND * error + query.rounding).mean())
+    assert all(exact) and np.mean(within) > 0.85
+
+
+def test_codes_choose_few_vectors(spark):
+    """Most candidates fall by their codes alone, and the recall holds."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((6000, 64)).astype(np.float32)
     turn = ann.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    codes = ann.Codes(v, turn)
-    estimate = codes.estimate(q / np.linalg.norm(q, axis=1, keepdims=True) @ turn)
-    true = np.array([ann.cosines(v, x) for x in q])
-    assert (np.abs(estimate - true) <= ann.BOUND * codes.error).mean() > 0.99
+    bits, scalar, error = ann.codes(v.astype(float), turn)
+    table = pa.table({"cand_id": np.arange(6000), "cand_version": np.zeros(6000, np.int64), "code": [r.tobytes() for r in bits], "scalar": scalar, "error": error})
+    queries = pa.table({"vec_id": np.arange(0, 6000, 50), "version": np.zeros(120, np.int64), "vec": pa.array(v[::50].astype(float).tolist())})
+    left = ann._survivors(5, ann.BOUND, ann.SEED)((pa.scalar(64), None, None), queries, table)
+    assert left.num_rows < 0.05 * 120 * 6000
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df).collect()}
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 6000, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        want |= {(q, int(j)) for j in np.argsort(-score)[:5]}
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_repeated_rows(spark):
+    rows = [(0, [1.0, 0.5])] * 3000 + [(1, [1.0, 0.5])] * 3000 + [(50, [0.5, 1.0]), (2, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    few = rows[:6] + rows[3000:3006] + rows[-2:]
+    assert sorted(tuple(r) for r in topk.exact_top_k(df).collect()) == brute(few, integer)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df).collect()) == [x[:3] for x in brute(few, cosine)]
 
 
 def test_odd_vectors_take_no_part(spark, odd):
