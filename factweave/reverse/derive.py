@@ -11,7 +11,7 @@ file lets a person accept or reject.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +50,20 @@ class Draft:
         return [f for f in self.findings if f.severity == "blocker"]
 
 
+#: Words of one's own, by their short forms; ``glossary`` sets them.
+GLOSSARY: dict[str, str] = {}
+
+
+def glossary(terms: dict[str, str]) -> None:
+    """K4: what short forms stand for in one's own tables, before the usual ones. An empty text leaves a word out."""
+    GLOSSARY.clear()
+    GLOSSARY.update({k.lower(): v for k, v in terms.items()})
+
+
 def words(name: str) -> list[str]:
     parts = [p for p in re.split(r"[_\W]+", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)) if p]
-    return [ABBREVIATIONS.get(p.lower(), p[:1].upper() + p[1:].lower()) for p in parts]
+    known = ABBREVIATIONS | GLOSSARY
+    return [w for p in parts if (w := known.get(p.lower(), p[:1].upper() + p[1:].lower()))]
 
 
 def singular(word: str) -> str:
@@ -224,7 +235,7 @@ def derive(name: str, catalog: Catalog, known: dict[str, dict[str, mine.ColumnFa
         for u in t.uniques:
             say("unique", n, f"{', '.join(u)} is unique too", f"select {', '.join(u)} from {n} group by all having count(*) > 1")
     draft.findings += shapes(catalog, known or {})
-    draft.findings += one_unit(m)
+    draft.findings += one_unit(m) + distinct_readings(m)
     draft.findings += shared_domains(m)
     return draft
 
@@ -264,6 +275,25 @@ def shared_domains(m: Model) -> list[Finding]:
     return [Finding("shared domain", ", ".join(sorted(g)), f"may be one value type, {k[0]}", applied=False) for k, g in sorted(groups.items()) if len(g) > 1]
 
 
+def distinct_readings(m: Model) -> list[Finding]:
+    """K4: where one verb leads from a type to another by several facts, all but the first say from which columns."""
+    seen: set[tuple[str, str, str, str | None]] = set()
+    out = []
+    for k, f in enumerate(m.facts):
+        readings = []
+        for verb, a, b in f.readings:
+            to = f.roles[b]
+            if (f.roles[a].player, verb, to.player, to.name) in seen:
+                holder = f.roles[b] if to.columns != (m.entities[to.player].key if to.player in m.entities else ()) else f.roles[a]
+                more = " ".join(w.lower() for w in words(holder.columns[-1]))
+                out.append(Finding("reading", f"{f.table}.{holder.columns[-1]}", f"is read '{verb} {more}', as '{verb}' is taken"))
+                verb = f"{verb} {more}"
+            seen.add((f.roles[a].player, verb, to.player, to.name))
+            readings.append((verb, a, b))
+        m.facts[k] = replace(f, readings=tuple(readings))
+    return out
+
+
 def one_unit(m: Model) -> list[Finding]:
     """Value types of one unit and type that may be merged into one."""
     groups: dict[tuple[str, str], list[str]] = {}

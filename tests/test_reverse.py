@@ -226,3 +226,17 @@ def test_objectified_and_n_ary_facts(spark):
     assert ask("LIST n, r FROM Crew has CrewName n AND ALSO is posted as Rank has RankName r") == [("Ada", "cook"), ("Ada", "mate"), ("Bo", "cook")]
     assert ask("LIST n, s FROM DISTINCT Crew has CrewName n AND ALSO is posted to PostedShip has ShipName s") == [("Ada", "Gull"), ("Bo", "Tern")]
     assert ask("THE SUM OF x IN Ship needs Rank AND ALSO is place of Service has Months x") == [(15,)]
+
+
+def test_glossary_and_readings():
+    from factweave.model import Model
+
+    derive.glossary({"vsl": "Vessel", "tbl": ""})
+    try:
+        assert derive.type_name("tbl_vsls") == "Vsl" and derive.type_name("tbl_vsl") == "Vessel" and derive.value_name("Vessel", "vsl_nm") == "VesselVesselName"
+    finally:
+        derive.glossary({})
+    m = Model("m").entity("Trip", "trip", "id").entity("Port", "port", "id")
+    m.reference("Trip", "Port", ("from_port",), "has", "is of").reference("Trip", "Port", ("to_port",), "has", "is of")
+    assert len(derive.distinct_readings(m)) == 2
+    assert [f.readings for f in m.facts] == [(("has", 0, 1), ("is of", 1, 0)), (("has to port", 0, 1), ("is of to port", 1, 0))]
