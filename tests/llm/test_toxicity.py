@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,9 +72,8 @@ def plain_features(text):
     words = set(re.findall(r"\w+", text.lower()))
     found = set(words)
     for n in (4, 5, 6, 7):
-        for stem in {w[:n] for w in words if len(w) >= n}:
-            alike = sum(w.startswith(stem) for w in words)
-            found |= {f"{stem}*{k}" for k in (1, 2, 3) if alike >= k}
+        alike = Counter(w[:n] for w in words if len(w) >= n)
+        found |= {f"{stem}*{k}" for stem, m in alike.items() for k in (1, 2, 3) if m >= k}
     return found
 
 
