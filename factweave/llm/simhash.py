@@ -415,4 +415,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("row"))
     # other shingles whose hash happens to be the same have another witness, and stay
     first = rows.groupBy("fp", "witness").agg(F.min_by("row", order).alias("row"))
-    return unpacked(first.join(heads, "fp", "left_semi"))
+    # heads take their witnesses along, so that the rows stay where they were grouped
+    kept = rows.select("fp", "witness").distinct().join(heads, "fp", "left_semi")
+    return unpacked(first.join(kept, ["fp", "witness"], "left_semi"))
