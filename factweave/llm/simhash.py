@@ -301,9 +301,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def signature(text: str, shingle: int = 5, seed: int = 42) -> tuple[list[int], list[int], int, int]:
     """(keys, marks, identity, witness) of a text's different shingles: keys of ROWS min-hashes, a bit of each min-hash, and two hashes of them all."""
+    return _signature(digests(text, shingle, seed), seed)
+
+
+def _signature(found: np.ndarray, seed: int = 42) -> tuple[list[int], list[int], int, int]:
     from xxhash import xxh64_intdigest
 
-    found = digests(text, shingle, seed)
     if not len(found):
         return [0] * TRIES, [0] * (HASHES // 64), 0, 0
     least = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
@@ -318,14 +321,70 @@ def signature(text: str, shingle: int = 5, seed: int = 42) -> tuple[list[int], l
     return keys.view(np.int64).tolist(), marks.tolist(), *(int(np.uint64(xxh64_intdigest(whole, s)).view(np.int64)) for s in (seed, seed + 1))
 
 
-def signatures(text: Column, shingle: int = 5) -> Column:
+#: Bits of the least parity sketch: one for each shingle, up to the next power of two, is aimed at.
+PARITY = 256
+
+
+def outline(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(size, prefix, parity) of a text's sorted shingles.
+
+    Two sets of this similarity share at least that share of the larger one, so
+    they have a shingle in common within their prefixes: all but that share of
+    each set, and one more, in one order for all texts. ``common`` (shingles,
+    counts) come last in it, by their counts.
+
+    Each bit of the sketch is the parity of the shingles that fall on it: two
+    sketches differ in no more bits than the sets do in shingles. A sketch folds
+    to half its length by XOR of its halves.
+    """
+    n = len(found)
+    if not n:
+        return 0, np.empty(0, np.int64), np.zeros(PARITY // 64, np.int64)
+    rank = np.zeros(n, np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], found), len(common[0]) - 1)
+        rank = np.where(common[0][at] == found, common[1][at], 0)
+    prefix = found[np.argsort(rank, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+    bits = PARITY << ((n - 1) // PARITY).bit_length()
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return n, prefix.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+#: Different texts, about, whose shingles are counted for the order of prefixes, and the most shingles taken from them.
+#: The order decides what the search costs, never what it finds.
+SAMPLE = 4096
+COMMON = 1 << 16
+
+
+def common_shingles(docs: DataFrame, text_col: str, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that several of the sampled texts hold, and how many do."""
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [signature(t.as_py() or "", shingle) for t in batch]
-            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()))], ["keys", "marks", "fp", "witness"])
+            yield pa.array([digests(t.as_py() or "", shingle).view(np.int64) for t in batch], pa.list_(pa.int64()))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf("keys array<bigint>, marks array<bigint>, fp bigint, witness bigint")(run)(text)
+    text = text_or_empty(text_col)
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).where(F.pmod("h", F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    found = texts.dropDuplicates(["h"]).select(F.explode(F.arrow_udf("array<bigint>")(run)("text")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    found = found.where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    shingles, counts = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], counts[order]
+
+
+def signatures(text: Column, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Column:
+    many = pa.list_(pa.int64())
+    fields = {"keys": many, "marks": many, "fp": pa.int64(), "witness": pa.int64(), "size": pa.int64(), "prefix": many, "parity": many}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [digests(t.as_py() or "", shingle) for t in batch]
+            found = [(*_signature(x), *outline(x, similarity, common)) for x in sets]
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(fields.values())], list(fields))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf("keys array<bigint>, marks array<bigint>, fp bigint, witness bigint, size bigint, prefix array<bigint>, parity array<bigint>")(run)(text)
 
 
 def bits_for(similarity: float) -> int:
@@ -387,15 +446,140 @@ def similar(texts: DataFrame, similarity: float, shingle: int = 5) -> DataFrame:
     return rows.groupBy("large", "owner", "i", "j").applyInArrow(_similar(similarity, shingle), "u long, v long")
 
 
+#: Entries of prefixes in a bucket to aim at, and texts whose entries are dealt to the buckets together.
+ENTRIES = 1 << 19
+DEALT = 2048
+#: Texts with one shingle in their prefixes that a chunk holds; each pair of chunks is a group of its own.
+BUCKET = 4096
+
+
+def _deal(bits: int):
+    """Entries (fp, shingle) of prefixes, packed by bucket: the low ``bits`` of a shingle name its bucket, the next 32 are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), DEALT):
+                part = batch.slice(k, DEALT)
+                ids, first = np.unique(part.column("fp").to_numpy(), return_index=True)
+                prefixes = part.column("prefix").take(pa.array(first))
+                shingles = prefixes.flatten().to_numpy().view(np.uint64)
+                fps = np.repeat(ids, prefixes.value_lengths().to_numpy())
+                bucket = (shingles & np.uint64((1 << bits) - 1)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                kept, fps = (shingles[order] >> np.uint64(bits)).astype(np.uint32), fps[order]
+                names, starts = np.unique(bucket[order], return_index=True)
+                ends = [*starts[1:], len(order)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([kept[x:y].tobytes() + fps[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary())], ["bucket", "entries"])
+
+    return run
+
+
+def _several(chunk: int):
+    """Entries of shingles that several texts have, with the chunks that a shingle's texts make."""
+    schema = pa.schema([("bucket", pa.int32()), ("shingle", pa.int64()), ("fp", pa.int64()), ("chunks", pa.int32())])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        packs = table.column("entries").to_pylist()
+        shingle = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 12) for x in packs])
+        fp = np.concatenate([np.frombuffer(x, np.int64, len(x) // 12, len(x) // 3) for x in packs])
+        order = np.lexsort((fp, shingle))
+        shingle, fp = shingle[order], fp[order]
+        new = np.r_[True, (shingle[1:] != shingle[:-1]) | (fp[1:] != fp[:-1])]
+        shingle, fp = shingle[new], fp[new]
+        _, of, n = np.unique(shingle, return_inverse=True, return_counts=True)
+        keep = n[of] > 1
+        chunks = -(-n[of][keep] // chunk)
+        return pa.table([pa.array(np.full(keep.sum(), key[0].as_py()), pa.int32()), pa.array(shingle[keep], pa.int64()), pa.array(fp[keep]), pa.array(chunks, pa.int32())], schema=schema)
+
+    return run
+
+
+def _meet(similarity: float):
+    """Pairs of texts with a shingle in common, of different classes, whose sizes and folded sketches allow the similarity."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key[2:])
+        order = np.argsort(table.column("shingle").to_numpy(), kind="stable")
+        shingle, fp, root, size, chunk = (table.column(c).to_numpy()[order] for c in ("shingle", "fp", "root", "size", "chunk"))
+        sketch = np.stack([table.column(f"part{k}").to_numpy().view(np.uint64)[order] for k in range(PARITY // 64)], axis=1)
+        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        ends = np.r_[starts[1:], len(shingle)]
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        # the texts of one class have nothing to find
+        mixed = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
+        partners = np.where(mixed[of], ends[of] - 1 - np.arange(len(of)), 0)
+        total = np.cumsum(partners)
+        found, at = [], 0
+        while at < len(of):
+            to = max(at + 1, int(np.searchsorted(total, total[at] - partners[at] + FRONTIER, "right")))
+            n = partners[at:to]
+            x = np.repeat(np.arange(at, to), n)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            near = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6)
+            if i != j:
+                near &= chunk[x] != chunk[y]
+            x, y = x[near], y[near]
+            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= share * (size[x] + size[y]) + 1e-6
+            x, y = fp[x[near]], fp[y[near]]
+            if len(x):
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+            at = to
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return run
+
+
+def rest(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of different classes, among them all that have this Jaccard similarity.
+
+    rows: (fp long, size long, prefix and parity arrays of long) as ``outline``
+    gives them, rows of one fp alike; classes: (node, root), a text that is no
+    node being a class of its own. Texts meet by the shingles of their prefixes;
+    shingles that share a bucket and the bits kept there count as one. A pair is
+    left out only if its sizes, or its sketches, differ by more than those of
+    similar texts can.
+    """
+    entries = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    bits = min(24, (entries // ENTRIES).bit_length())
+    dealt = rows.select("fp", "prefix").mapInArrow(_deal(bits), "bucket int, entries binary")
+    held = dealt.groupBy("bucket").applyInArrow(_several(BUCKET), "bucket int, shingle long, fp long, chunks int")
+    words = PARITY // 64
+    long = F.lit(0).cast("long")
+    xor = lambda a, x: a.bitwiseXOR(x)
+    part = lambda k: F.aggregate(F.filter("parity", lambda _, i: i % words == k), long, xor)
+    parts = [f"part{k}" for k in range(words)]
+    outlines = rows.select("fp", "size", *[part(k).alias(c) for k, c in enumerate(parts)]).dropDuplicates(["fp"])
+    outlines = outlines.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    held = held.join(outlines, "fp").withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    large = F.col("chunks") > 1
+    held = held.select("bucket", F.when(large, F.col("shingle")).alias("owner"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "shingle", "fp", "root", "size", "chunk", *parts)
+    pairs = materialise(held.groupBy("bucket", "owner", "i", "j").applyInArrow(_meet(similarity), "u long, v long").distinct(), "pairs")
+    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    whole = rows.select("fp", "size", "parity").join(ends, "fp", "left_semi").groupBy("fp").agg(F.any_value("size").alias("size"), F.any_value("parity").alias("parity"))
+    side = lambda c: whole.select(F.col("fp").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}"))
+    length = F.least(F.size("parity_u"), F.size("parity_v"))
+    place = F.sequence(F.lit(0), length - 1)
+    # the longer sketch is folded to the shorter one's length
+    folded = lambda p: F.transform(place, lambda k: F.aggregate(F.sequence(k, F.size(p) - 1, length), long, lambda a, i: a.bitwiseXOR(F.col(p)[i])))
+    apart = F.aggregate(F.zip_with(folded("parity_u"), folded("parity_v"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    most = (F.col("size_u") + F.col("size_v")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= most).select("u", "v")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """Keep one document of each class of similar texts, with all its columns.
 
     Texts link if their different shingles of ``shingle`` words have an exact
-    Jaccard similarity of at least ``similarity``. Pairs come from TRIES tries,
-    each over a key of ROWS min-hashes of the shingles: what kind of edit made a
-    copy plays no part. Pairs whose marks differ in no more bits than
-    ``bits_for`` gives form candidate classes, and within these all texts are
-    compared (``similar``).
+    Jaccard similarity of at least ``similarity`` (over 0). Most pairs come from
+    TRIES tries, each over a key of ROWS min-hashes of the shingles: what kind of
+    edit made a copy plays no part. Pairs whose marks differ in no more bits than
+    ``bits_for`` gives form candidate classes. Tries and marks miss some pairs by
+    chance; an exact search between the classes adds all that are left
+    (``rest``). Within classes all texts are compared (``similar``).
 
     Kept is the document with the least non-null id of a class; among rows of
     that id, one with the class's shingles, then the least by its hash. Texts
@@ -404,10 +588,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    rows = packed(docs, doc_id=F.col(id_col).cast("long"), s=signatures(text_or_empty(text_col), shingle))
-    rows = materialise(rows.select("row", "doc_id", F.col("s.fp").alias("fp"), F.col("s.witness").alias("witness"), F.col("s.keys").alias("keys"), F.col("s.marks").alias("marks")), "simhash")
+    rows = packed(docs, doc_id=F.col(id_col).cast("long"), s=signatures(text_or_empty(text_col), shingle, similarity, common_shingles(docs, text_col, shingle)))
+    rows = materialise(rows.select("row", "doc_id", *[F.col(f"s.{c}").alias(c) for c in ("fp", "witness", "keys", "marks", "size", "prefix", "parity")]), "simhash")
     least = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks")), "signatures")
     near = components(links(least.select("fp", "keys", "marks"), KEY_BUDGET, bits_for(similarity), 8 * SUBTREE))
+    missed = materialise(rest(rows, near, similarity), "missed")
+    if not missed.isEmpty():
+        near = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(missed))
     texts = rows.groupBy("fp").agg(F.any_value(F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))).alias("text"))
     texts = texts.join(near.withColumnRenamed("node", "fp"), "fp")
     found = _classes(least.select("fp", "least"), similar(materialise(texts, "texts"), similarity, shingle))

@@ -243,3 +243,51 @@ def test_exact_similarity_decides(spark, sf_dir, monkeypatch, meet):
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == want
     assert sum(100000 <= d < 200000 for d in want) > 100 and sum(d >= 200000 for d in want) < 30
+
+
+def test_pairs_that_share_no_key_or_whose_marks_are_far(spark):
+    rows = []
+    for p in range(4000):
+        words = [f"p{p}w{x}" for x in range(104)]
+        pair = [" ".join(words), " ".join(words + [f"p{p}e{x}" for x in range(25)])]
+        (keys, marks, *_), (others, far, *_) = map(simhash.signature, pair)
+        apart = sum(((x ^ y) % 2**64).bit_count() for x, y in zip(marks, far, strict=True))
+        if not any(x == y for x, y in zip(keys, others, strict=True)) or apart > simhash.bits_for(0.8):
+            rows += [(2 * p, pair[0]), (2 * p + 1, pair[1])]
+    assert len(rows) >= 20
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == exactly_kept(rows) == [d for d, _ in rows[::2]]
+
+
+@pytest.mark.parametrize(("bucket", "sample"), [(4096, 4096), (5, 20)])
+def test_the_rest_is_found_without_any_trie(spark, monkeypatch, bucket, sample):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    monkeypatch.setattr(simhash, "links", lambda *_: spark.createDataFrame([], "u long, v long"))
+    rng = np.random.default_rng(19)
+    line = [f"line{x}" for x in range(12)]
+    rows = [(0, ""), (1, None), (2, "one"), (3, "One"), (4, "two words"), (5, " ".join(line))]
+    # sketches of these lengths are folded, or not, and all texts have one line in common
+    for n in (5, 9, 30, 230, 240, 255, 300, 500, 520, 1030):
+        for k in range(4):
+            words = line + [f"t{n}_{k}w{x}" for x in range(n)]
+            rows.append((1000 * n + 100 * k, " ".join(words)))
+            edits = [(kind, share) for kind in ("appended", "cut off", "begun later") for share in (0.1, 0.18, 0.2, 0.24, 0.3)] + [("replaced", 0.02), ("replaced", 0.03)]
+            rows += [(1000 * n + 100 * k + 1 + e, " ".join(edited(words, kind, share, rng))) for e, (kind, share) in enumerate(edits)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = exactly_kept(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == want and 46 < len(want) < len(rows) / 2
+
+
+def test_parity_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(23)
+    for n in (1, 255, 256, 257, 400, 513, 2000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 2**64, n // 8, dtype=np.uint64)]))
+        none = (np.empty(0, np.uint64), np.empty(0, np.int64))
+        (size, prefix, p), (_, others, q) = (simhash.outline(x, 0.8, none) for x in (a, b))
+        length = min(len(p), len(q))
+        p, q = (np.bitwise_xor.reduce(x.view(np.uint64).reshape(-1, length), axis=0) for x in (p, q))
+        assert size == len(a) and np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b))
+        assert len(prefix) == len(a) - -(-8 * len(a) // 10) + 1
+        assert np.isin(prefix, others).any() or len(np.intersect1d(a, b)) < 0.8 * max(len(a), len(b))
