@@ -325,13 +325,18 @@ def _signature(found: np.ndarray, seed: int = 42) -> tuple[list[int], list[int],
 PARITY = 256
 
 
+def _prefix(n, similarity: float):
+    """Shingles in the prefix of a text that has n."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
 def outline(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
     """(size, prefix, parity) of a text's sorted shingles.
 
     Two sets of this similarity share at least that share of the larger one, so
     they have a shingle in common within their prefixes: all but that share of
     each set, and one more, in one order for all texts. ``common`` (shingles,
-    counts) come last in it, by their counts.
+    counts) come last in it, by their counts. The prefix is given in that order.
 
     Each bit of the sketch is the parity of the shingles that fall on it: two
     sketches differ in no more bits than the sets do in shingles. A sketch folds
@@ -344,7 +349,7 @@ def outline(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.n
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], found), len(common[0]) - 1)
         rank = np.where(common[0][at] == found, common[1][at], 0)
-    prefix = found[np.argsort(rank, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+    prefix = found[np.argsort(rank, kind="stable")[: _prefix(n, similarity)]]
     bits = PARITY << ((n - 1) // PARITY).bit_length()
     odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return n, prefix.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -451,10 +456,13 @@ ENTRIES = 1 << 19
 DEALT = 2048
 #: Texts with one shingle in their prefixes that a chunk holds; each pair of chunks is a group of its own.
 BUCKET = 4096
+#: Steps in which a shingle's place in its prefix is told, and bytes of sketches to aim at in a task.
+STEPS = 255
+SKETCHES = 1 << 25
 
 
 def _deal(bits: int):
-    """Entries (fp, shingle) of prefixes, packed by bucket: the low ``bits`` of a shingle name its bucket, the next 32 are kept."""
+    """Entries (fp, shingle, place) of prefixes, packed by bucket: the low ``bits`` of a shingle name its bucket, the next 32 are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -463,111 +471,162 @@ def _deal(bits: int):
                 ids, first = np.unique(part.column("fp").to_numpy(), return_index=True)
                 prefixes = part.column("prefix").take(pa.array(first))
                 shingles = prefixes.flatten().to_numpy().view(np.uint64)
-                fps = np.repeat(ids, prefixes.value_lengths().to_numpy())
+                lengths = prefixes.value_lengths().to_numpy().astype(np.int64)
+                fps = np.repeat(ids, lengths)
+                places = (np.arange(len(fps)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) * STEPS // np.repeat(lengths, lengths)
                 bucket = (shingles & np.uint64((1 << bits) - 1)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                kept, fps = (shingles[order] >> np.uint64(bits)).astype(np.uint32), fps[order]
+                kept, fps, places = (shingles[order] >> np.uint64(bits)).astype(np.uint32), fps[order], places[order].astype(np.uint8)
                 names, starts = np.unique(bucket[order], return_index=True)
                 ends = [*starts[1:], len(order)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([kept[x:y].tobytes() + fps[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary())], ["bucket", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([kept[x:y].tobytes() + fps[x:y].tobytes() + places[x:y].tobytes() for x, y in zip(starts, ends)], pa.binary())], ["bucket", "entries"])
 
     return run
 
 
 def _several(chunk: int):
     """Entries of shingles that several texts have, with the chunks that a shingle's texts make."""
-    schema = pa.schema([("bucket", pa.int32()), ("shingle", pa.int64()), ("fp", pa.int64()), ("chunks", pa.int32())])
+    schema = pa.schema([("bucket", pa.int32()), ("shingle", pa.int64()), ("fp", pa.int64()), ("place", pa.int16()), ("chunks", pa.int32())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         packs = table.column("entries").to_pylist()
-        shingle = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 12) for x in packs])
-        fp = np.concatenate([np.frombuffer(x, np.int64, len(x) // 12, len(x) // 3) for x in packs])
-        order = np.lexsort((fp, shingle))
-        shingle, fp = shingle[order], fp[order]
+        shingle = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 13) for x in packs])
+        fp = np.concatenate([np.frombuffer(x, np.int64, len(x) // 13, len(x) // 13 * 4) for x in packs])
+        place = np.concatenate([np.frombuffer(x, np.uint8, len(x) // 13, len(x) // 13 * 12) for x in packs])
+        order = np.lexsort((place, fp, shingle))
+        shingle, fp, place = shingle[order], fp[order], place[order]
         new = np.r_[True, (shingle[1:] != shingle[:-1]) | (fp[1:] != fp[:-1])]
-        shingle, fp = shingle[new], fp[new]
+        shingle, fp, place = shingle[new], fp[new], place[new]
         _, of, n = np.unique(shingle, return_inverse=True, return_counts=True)
         keep = n[of] > 1
         chunks = -(-n[of][keep] // chunk)
-        return pa.table([pa.array(np.full(keep.sum(), key[0].as_py()), pa.int32()), pa.array(shingle[keep], pa.int64()), pa.array(fp[keep]), pa.array(chunks, pa.int32())], schema=schema)
+        return pa.table([pa.array(np.full(keep.sum(), key[0].as_py()), pa.int32()), pa.array(shingle[keep], pa.int64()), pa.array(fp[keep]), pa.array(place[keep], pa.int16()), pa.array(chunks, pa.int32())], schema=schema)
 
     return run
 
 
+def _candidates(similarity: float, apart: bool, shingle: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, chunk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows, sorted by shingle, that have it in common, are of different classes (and chunks, if ``apart``) and can be similar.
+
+    Sizes must allow the similarity. So must what is left of both texts from
+    their first common shingle on: of similar texts, one common shingle at least
+    is the first, and no other is asked to let them pass.
+    """
+    starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    ends = np.r_[starts[1:], len(shingle)]
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    left = size - np.ceil(place * _prefix(size, similarity) / STEPS - 1e-9)
+    # the texts of one class have nothing to find
+    mixed = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
+    partners = np.where(mixed[of], ends[of] - 1 - np.arange(len(of)), 0)
+    total = np.cumsum(partners)
+    at = 0
+    while at < len(of):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - partners[at] + FRONTIER, "right")))
+        n = partners[at:to]
+        x = np.repeat(np.arange(at, to), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        near = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6)
+        near &= np.minimum(left[x], left[y]) >= (size[x] + size[y]) * (similarity / (1 + similarity)) - 1e-6
+        if apart:
+            near &= chunk[x] != chunk[y]
+        if near.any():
+            yield x[near], y[near]
+        at = to
+
+
+_ENTRY = ("shingle", "root", "size", "place", "chunk")
+
+
+def _live(similarity: float):
+    """Entries that are in a candidate pair, dealt into parts whose sketches fit a task; all of a shingle's are in one part."""
+    kinds = {"bucket": pa.int32(), "owner": pa.int64(), "i": pa.int32(), "j": pa.int32(), "part": pa.int32(), "shingle": pa.int64(), "fp": pa.int64(), "root": pa.int64(), "size": pa.int64(), "place": pa.int16(), "chunk": pa.int32()}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket, owner, i, j = (k.as_py() for k in key)
+        table = table.take(pa.array(np.argsort(table.column("shingle").to_numpy(), kind="stable")))
+        shingle, root, size, place, chunk = (table.column(c).to_numpy() for c in _ENTRY)
+        live = np.zeros(len(shingle), bool)
+        for x, y in _candidates(similarity, i != j, shingle, root, size, place, chunk):
+            live[x] = live[y] = True
+        table = table.filter(pa.array(live))
+        shingle, bytes_ = shingle[live], np.cumsum(64 + size[live] // 4)
+        part = bytes_[np.searchsorted(shingle, shingle)] // SKETCHES
+        named = {"bucket": bucket, "owner": owner, "i": i, "j": j}
+        columns = [pa.array([named[c]] * len(part), t) if c in named else pa.array(part, t) if c == "part" else table.column(c).cast(t) for c, t in kinds.items()]
+        return pa.table(columns, schema=pa.schema(list(kinds.items())))
+
+    return run
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 def _meet(similarity: float):
-    """Pairs of texts with a shingle in common, of different classes, whose sizes and folded sketches allow the similarity."""
+    """Links between classes, a spanning forest of those whose candidate pairs have sketches that allow the similarity."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     share = (1 - similarity) / (1 + similarity)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = (k.as_py() for k in key[2:])
-        order = np.argsort(table.column("shingle").to_numpy(), kind="stable")
-        shingle, fp, root, size, chunk = (table.column(c).to_numpy()[order] for c in ("shingle", "fp", "root", "size", "chunk"))
-        sketch = np.stack([table.column(f"part{k}").to_numpy().view(np.uint64)[order] for k in range(PARITY // 64)], axis=1)
-        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-        ends = np.r_[starts[1:], len(shingle)]
-        of = np.repeat(np.arange(len(starts)), ends - starts)
-        # the texts of one class have nothing to find
-        mixed = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
-        partners = np.where(mixed[of], ends[of] - 1 - np.arange(len(of)), 0)
-        total = np.cumsum(partners)
-        found, at = [], 0
-        while at < len(of):
-            to = max(at + 1, int(np.searchsorted(total, total[at] - partners[at] + FRONTIER, "right")))
-            n = partners[at:to]
-            x = np.repeat(np.arange(at, to), n)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-            near = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6)
-            if i != j:
-                near &= chunk[x] != chunk[y]
-            x, y = x[near], y[near]
-            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= share * (size[x] + size[y]) + 1e-6
-            x, y = fp[x[near]], fp[y[near]]
-            if len(x):
-                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
-            at = to
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+        i, j = (k.as_py() for k in key[2:4])
+        table = table.take(pa.array(np.argsort(table.column("shingle").to_numpy(), kind="stable")))
+        shingle, root, size, place, chunk = (table.column(c).to_numpy() for c in _ENTRY)
+        # a text's entries share its sketch
+        _, first, text = np.unique(table.column("fp").to_numpy(), return_index=True, return_inverse=True)
+        parity = table.column("parity").take(pa.array(first)).combine_chunks()
+        words = parity.value_lengths().to_numpy().astype(np.int64)
+        sketches = np.split(parity.flatten().to_numpy().view(np.uint64), np.cumsum(words)[:-1])
+        every, node = np.unique(root, return_inverse=True)
+        forest = _Forest(len(every))
+        for x, y in _candidates(similarity, i != j, shingle, root, size, place, chunk):
+            # a pair that the forest connects already has nothing to add
+            open_ = forest.label[node[x]] != forest.label[node[y]]
+            x, y = x[open_], y[open_]
+            # the longer sketch is folded to the shorter one's length
+            shorter = np.minimum(words[text[x]], words[text[y]])
+            for w in np.unique(shorter):
+                p, q = x[shorter == w], y[shorter == w]
+                used, at = np.unique(np.r_[text[p], text[q]], return_inverse=True)
+                stack = np.stack([_folded(sketches[k], w) for k in used])
+                step = max(1, 4 * FRONTIER // int(w))
+                for k in range(0, len(p), step):
+                    a, b = p[k : k + step], q[k : k + step]
+                    differ = np.bitwise_count(stack[at[k : k + len(a)]] ^ stack[at[len(p) + k : len(p) + k + len(a)]]).sum(axis=1, dtype=np.int64)
+                    near = differ <= share * (size[a] + size[b]) + 1e-6
+                    forest.add(node[a[near]], node[b[near]])
+        linked = np.flatnonzero(forest.label != np.arange(len(every)))
+        return pa.table([pa.array(every[linked]), pa.array(every[forest.label[linked]])], schema=schema)
 
     return run
 
 
 def rest(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of different classes, among them all that have this Jaccard similarity.
+    """Links (u, v) between the roots of classes, which connect all classes that hold two texts of this Jaccard similarity.
 
     rows: (fp long, size long, prefix and parity arrays of long) as ``outline``
     gives them, rows of one fp alike; classes: (node, root), a text that is no
     node being a class of its own. Texts meet by the shingles of their prefixes;
     shingles that share a bucket and the bits kept there count as one. A pair is
-    left out only if its sizes, or its sketches, differ by more than those of
-    similar texts can.
+    left out only if its sizes, what is left of its texts after their first
+    common shingle, or its sketches say that it can't be similar. Sketches go
+    only to entries that some other one can be similar to. A task gives a
+    spanning forest of the links it finds, so no group of texts, however dense,
+    costs more rows than it has classes.
     """
     entries = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = min(24, (entries // ENTRIES).bit_length())
     dealt = rows.select("fp", "prefix").mapInArrow(_deal(bits), "bucket int, entries binary")
-    held = dealt.groupBy("bucket").applyInArrow(_several(BUCKET), "bucket int, shingle long, fp long, chunks int")
-    words = PARITY // 64
-    long = F.lit(0).cast("long")
-    xor = lambda a, x: a.bitwiseXOR(x)
-    part = lambda k: F.aggregate(F.filter("parity", lambda _, i: i % words == k), long, xor)
-    parts = [f"part{k}" for k in range(words)]
-    outlines = rows.select("fp", "size", *[part(k).alias(c) for k, c in enumerate(parts)]).dropDuplicates(["fp"])
+    held = dealt.groupBy("bucket").applyInArrow(_several(BUCKET), "bucket int, shingle long, fp long, place short, chunks int")
+    outlines = rows.select("fp", "size").dropDuplicates(["fp"])
     outlines = outlines.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     held = held.join(outlines, "fp").withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     large = F.col("chunks") > 1
-    held = held.select("bucket", F.when(large, F.col("shingle")).alias("owner"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "shingle", "fp", "root", "size", "chunk", *parts)
-    pairs = materialise(held.groupBy("bucket", "owner", "i", "j").applyInArrow(_meet(similarity), "u long, v long").distinct(), "pairs")
-    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    whole = rows.select("fp", "size", "parity").join(ends, "fp", "left_semi").groupBy("fp").agg(F.any_value("size").alias("size"), F.any_value("parity").alias("parity"))
-    side = lambda c: whole.select(F.col("fp").alias(c), F.col("size").alias(f"size_{c}"), F.col("parity").alias(f"parity_{c}"))
-    length = F.least(F.size("parity_u"), F.size("parity_v"))
-    place = F.sequence(F.lit(0), length - 1)
-    # the longer sketch is folded to the shorter one's length
-    folded = lambda p: F.transform(place, lambda k: F.aggregate(F.sequence(k, F.size(p) - 1, length), long, lambda a, i: a.bitwiseXOR(F.col(p)[i])))
-    apart = F.aggregate(F.zip_with(folded("parity_u"), folded("parity_v"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    most = (F.col("size_u") + F.col("size_v")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(apart <= most).select("u", "v")
+    held = held.select("bucket", F.when(large, F.col("shingle")).alias("owner"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "shingle", "fp", "root", "size", "place", "chunk")
+    live = held.groupBy("bucket", "owner", "i", "j").applyInArrow(_live(similarity), "bucket int, owner long, i int, j int, part int, shingle long, fp long, root long, size long, place short, chunk int")
+    sketches = rows.groupBy("fp").agg(F.any_value("parity").alias("parity"))
+    return live.join(sketches, "fp").groupBy("bucket", "owner", "i", "j", "part").applyInArrow(_meet(similarity), "u long, v long")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:

@@ -291,3 +291,26 @@ def test_parity_sketches_differ_in_no_more_bits_than_sets():
         assert size == len(a) and np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b))
         assert len(prefix) == len(a) - -(-8 * len(a) // 10) + 1
         assert np.isin(prefix, others).any() or len(np.intersect1d(a, b)) < 0.8 * max(len(a), len(b))
+
+
+def test_groups_that_share_a_shingle_cost_no_rows_for_each_of_their_pairs(spark, monkeypatch):
+    counts = {}
+
+    def counted(df, name):
+        out = materialise(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    materialise = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", counted)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    rng = np.random.default_rng(29)
+    passage = [f"passage{x}" for x in range(60)]
+    # long texts that have a passage in common and nothing else
+    rows = [(k, " ".join(passage + [f"t{k}w{x}" for x in range(900)])) for k in range(80)]
+    # versions of one text that are almost alike enough
+    words = [f"v{x}" for x in range(250)]
+    rows += [(1000 + k, " ".join(edited(words, "replaced", 0.016, rng))) for k in range(120)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == exactly_kept(rows)
+    assert counts["missed"] <= len(rows) and counts.get("pairs", 0) <= len(rows)
