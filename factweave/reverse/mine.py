@@ -10,10 +10,12 @@ before any join, and joins compare distinct values only.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate, combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,13 +61,19 @@ def facts(df: DataFrame) -> dict[str, ColumnFacts]:
     return {c: found[c] for c in plain(df) if c in found}
 
 
-def repeats(df: DataFrame, columns: tuple[str, ...]) -> bool:
+def has_repeats(df: DataFrame, columns: tuple[str, ...]) -> bool:
     """Whether some combination of values occurs twice."""
     return not df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty()
 
 
 #: Rows that refute most combinations before any pass over the whole table.
 REFUTING = 2000
+#: Rows of the share by which one pass refutes most of the rest, at least, for each combination.
+SHARE = 100_000
+#: Rows that one task groups.
+TASK_ROWS = 1_000_000
+#: Repeated rows of a combination within which larger ones are tried instead of in all rows.
+FEW = 1_000_000
 
 
 def unique_sets(df: DataFrame, known: dict[str, ColumnFacts], arity: int = 3) -> list[tuple[str, ...]]:
@@ -73,7 +81,9 @@ def unique_sets(df: DataFrame, known: dict[str, ColumnFacts], arity: int = 3) ->
 
     A combination is looked at only if the product of its columns' distinct
     counts reaches the number of rows and no part of it is unique already. One
-    that repeats in REFUTING rows is not unique; all others are tried on all rows.
+    that repeats in REFUTING rows, or in the share that its hash picks, is not
+    unique. What is left is tried on all rows; where a part of it repeats in few
+    rows only, on these, as rows that differ in a part differ.
     """
     rows = next(iter(known.values())).rows if known else 0
     if not rows:
@@ -82,18 +92,94 @@ def unique_sets(df: DataFrame, known: dict[str, ColumnFacts], arity: int = 3) ->
     found = [(c,) for c in columns if known[c].distinct == rows]
     rest = [c for c in columns if (c,) not in found]
     some = df.select(*[F.col(f"`{c}`") for c in rest]).limit(REFUTING).collect() if len(rest) > 1 else []
+    left = []
     for size in range(2, arity + 1):
         for combo in combinations(rest, size):
             reach = 1
             for c in combo:
                 reach *= known[c].distinct
-            if reach < rows or any(set(u) <= set(combo) for u in found):
-                continue
-            if len({tuple(r[c] for c in combo) for r in some}) == len(some) and not repeats(df, combo):
-                found.append(combo)
+            if reach >= rows and len({tuple(r[c] for c in combo) for r in some}) == len(some):
+                left.append(combo)
+    refuted = repeating(df, left, rows)
+    left = [c for c in left if c not in refuted]
+    repeated: dict[tuple[str, ...], DataFrame | None] = {}
+    for size in range(2, arity + 1):
+        unique: dict[tuple[str, ...], bool] = {}
+        tried = [c for c in left if len(c) == size and not any(set(u) <= set(c) for u in found)]
+        while open_ := [c for c in tried if c not in unique]:
+            # the part that most of them have, if it is worth a pass or has had one
+            shared = Counter(p for c in open_ for p in combinations(c, size - 1) if size > 2 and repeated.get(p, df) is not None)
+            part = max(shared, key=lambda p: (shared[p] > 1, p in repeated, shared[p]), default=None)
+            if part and (shared[part] > 1 or part in repeated):
+                if part not in repeated:
+                    repeated[part] = few_repeats(repeats(df, part, rows))
+                if repeated[part] is not None:
+                    unique |= unique_within(df, part, repeated[part], [c for c in open_ if set(part) <= set(c)])
+            else:
+                groups = repeats(df, open_[0], rows)
+                unique[open_[0]] = groups.isEmpty()
+                repeated[open_[0]] = few_repeats(groups)
+        found += [c for c in tried if unique[c]]
     return found
 
 
+def repeating(df: DataFrame, combos: list[tuple[str, ...]], rows: int) -> set[tuple[str, ...]]:
+    """Combinations that repeat within their shares of the rows; all are looked for in one pass.
+
+    A share is what a combination's hash picks, so rows that are equal in it are
+    picked together. Rows count as equal by 128 bits of hashes.
+    """
+    if not combos:
+        return set()
+    columns = sorted({c for combo in combos for c in combo})
+    place = {c: k for k, c in enumerate(columns)}
+    mask = (1 << max(0, (rows // SHARE).bit_length() - 1)) - 1
+    places = [[place[c] for c in combo] for combo in combos]
+    hashed = df.select(*[F.xxhash64(F.lit(f"{h}{k}"), F.col(f"`{c}`")).alias(f"{h}{k}") for h in "xy" for c, k in place.items()])
+
+    def pick(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = ([batch.column(k + at).to_numpy() for k in range(len(place))] for at in (0, len(place)))
+            out = []
+            for i, at in enumerate(places):
+                mixed = np.bitwise_xor.reduce([x[k] for k in at])
+                rows = np.flatnonzero((mixed & mask) == 0)
+                out.append((np.full(len(rows), i), mixed[rows], np.bitwise_xor.reduce([y[k][rows] for k in at])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["i", "x", "y"])
+
+    groups = hashed.mapInArrow(pick, "i long, x long, y long").groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return {combos[r["i"]] for r in groups.where("n > 1").select("i").distinct().collect()}
+
+
+def repeats(df: DataFrame, combo: tuple[str, ...], rows: int) -> DataFrame:
+    """The values of a combination that occur in several rows, and in how many, dealt to more tasks the more rows there are."""
+    from ..sources.scratch import materialise
+
+    cols = [F.col(f"`{c}`") for c in combo]
+    wanted = -(-rows // TASK_ROWS)
+    part = df.select(*cols)
+    part = part.repartition(wanted, *cols) if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else part
+    groups = part.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialise(groups.toDF(*[f"k{i}" for i in range(len(combo))], "n"), "repeats")
+
+
+def few_repeats(groups: DataFrame) -> DataFrame | None:
+    """The same groups, if they have FEW rows at most."""
+    return groups if (groups.agg(F.sum("n").alias("n")).first()["n"] or 0) <= FEW else None
+
+
+def unique_within(df: DataFrame, part: tuple[str, ...], groups: DataFrame, combos: list[tuple[str, ...]]) -> dict[tuple[str, ...], bool]:
+    """Whether combinations that have a part in common are unique, by the rows in which that part repeats."""
+    columns = sorted({c for combo in combos for c in combo})
+    keys = reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(f"k{i}")) for i, c in enumerate(part)])
+    some = df.select(*[F.col(f"`{c}`") for c in columns]).join(groups.drop("n"), keys, "left_semi")
+    row = some.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.struct(*[F.col(f"`{c}`") for c in combo])).alias(f"d{i}") for i, combo in enumerate(combos)]).first()
+    return {combo: row[f"d{i}"] == row["n"] for i, combo in enumerate(combos)}
+
+
 def same_kind(a: str, b: str) -> bool:
     group = lambda t: "number" if re.match(r"(tiny|small|big)?int|long|short|byte|decimal|double|float", t) else "text" if t in ("string", "varchar", "char") else t
     return group(a) == group(b)
@@ -141,10 +227,9 @@ def inclusions(tables: dict[str, DataFrame], known: dict[str, dict[str, ColumnFa
     parent's, and the child has no more distinct values; then distinct values
     are anti-joined. A table's own key is never taken for a reference.
     """
-    limits = {t: bounds(df, plain(df)) for t, df in tables.items()}
     kinds = {t: {f.name: f.dataType.simpleString() for f in df.schema} for t, df in tables.items()}
-    best: dict[tuple[str, str], Inclusion] = {}
-    for child, df in tables.items():
+    pairs = []
+    for child in tables:
         for column, facts_ in known[child].items():
             if facts_.rows < least_rows or facts_.distinct < least_values:
                 continue
@@ -153,19 +238,26 @@ def inclusions(tables: dict[str, DataFrame], known: dict[str, dict[str, ColumnFa
                 own = (column,) == keys.get(child)
                 if len(key) != 1 or parent == child or own and (column != key[0] or facts_.rows >= known[parent][column].rows):
                     continue
-                (a, b), (low, high) = limits[child][column], limits[parent][key[0]]
-                if not same_kind(kinds[child][column], kinds[parent][key[0]]) or a is None or low is None or a < low or b > high or facts_.distinct > known[parent][key[0]].distinct:
-                    continue
                 score = name_score(child, column, parent, key[0])
-                if score < threshold or (child, column) in best and best[child, column].score >= score:
-                    continue
-                if not missing(df, (column,), tables[parent], key).limit(1).isEmpty():
-                    continue
-                even = spread(df, column, tables[parent], key[0])
-                # an unknown spread rejects nothing; values at one end of the parent's order are there by chance, as counters that start at 1 are
-                if even is not None and even < EVEN and score < 5:
-                    continue
-                best[child, column] = Inclusion(child, column, parent, key[0], score, even)
+                if score >= threshold and same_kind(kinds[child][column], kinds[parent][key[0]]) and facts_.distinct <= known[parent][key[0]].distinct:
+                    pairs.append((child, column, parent, key, score))
+    asked: dict[str, dict[str, None]] = {}
+    for child, column, parent, key, _ in pairs:
+        asked.setdefault(child, {})[column] = None
+        asked.setdefault(parent, {})[key[0]] = None
+    limits = {t: bounds(tables[t], list(columns)) for t, columns in asked.items()}
+    best: dict[tuple[str, str], Inclusion] = {}
+    for child, column, parent, key, score in pairs:
+        (a, b), (low, high) = limits[child][column], limits[parent][key[0]]
+        if a is None or low is None or a < low or b > high or (child, column) in best and best[child, column].score >= score:
+            continue
+        if not missing(tables[child], (column,), tables[parent], key).limit(1).isEmpty():
+            continue
+        even = spread(tables[child], column, tables[parent], key[0])
+        # an unknown spread rejects nothing; values at one end of the parent's order are there by chance, as counters that start at 1 are
+        if even is not None and even < EVEN and score < 5:
+            continue
+        best[child, column] = Inclusion(child, column, parent, key[0], score, even)
     return list(best.values())
 
 
@@ -472,7 +564,7 @@ def json_shape(df: DataFrame, column: str, most_keys: int = 40, depth: int = 4,
 
 def shared_pairs(a: DataFrame, b: DataFrame, columns: tuple[str, str]) -> dict[str, bool]:
     """Whether a pair of columns is unique in both tables and contained in one."""
-    return {"unique_left": not repeats(a, columns), "unique_right": not repeats(b, columns), "contained": missing(a, columns, b, columns).limit(1).isEmpty()}
+    return {"unique_left": not has_repeats(a, columns), "unique_right": not has_repeats(b, columns), "contained": missing(a, columns, b, columns).limit(1).isEmpty()}
 
 
 def routes_agree(start: DataFrame, key: str, first: DataFrame, second: DataFrame) -> DataFrame:
@@ -542,7 +634,7 @@ def document_quality(df: DataFrame, column: str, leaves: dict[str, str]) -> Data
 def referenced_key(df: DataFrame, known: dict[str, ColumnFacts], key: tuple[str, ...], references: list[tuple[str, ...]]) -> tuple[str, ...]:
     """The unique, never-null columns that most references use, rather than a key that none does."""
     counts = {r: references.count(r) for r in set(references)}
-    usable = [r for r in counts if all(known[c].never_null for c in r) and not repeats(df, r)]
+    usable = [r for r in counts if all(known[c].never_null for c in r) and not has_repeats(df, r)]
     if not usable or key in counts:
         return key
     return max(sorted(usable), key=counts.__getitem__)

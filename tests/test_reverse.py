@@ -1,6 +1,8 @@
 """Profiling and derivation on small tables."""
 
 import json
+import random
+from itertools import combinations
 
 import pytest
 
@@ -21,6 +23,31 @@ def test_unique_sets_are_minimal(spark):
     assert mine.unique_sets(df, mine.facts(df)) == [("id",), ("a", "b")]
 
 
+def test_combinations_are_refuted_together(spark, monkeypatch):
+    # all but those with g repeat, and only past the rows that are looked at first
+    df = spark.createDataFrame([(*[i % 2990 * k % 2993 for k in (1, 2, 3, 5, 7)], i // 1500) for i in range(3000)], "a int, b int, c int, d int, e int, g int")
+    passes = []
+    whole = mine.repeats
+    monkeypatch.setattr(mine, "repeats", lambda *a: passes.append(a[1]) or whole(*a))
+    assert mine.unique_sets(df, mine.facts(df)) == [(c, "g") for c in "abcde"]
+    assert sorted(passes) == [(c, "g") for c in "abcde"]
+
+
+@pytest.mark.parametrize(("share", "few"), [(100_000, 1_000_000), (20, 1_000_000), (20, 30), (20, 0)])
+def test_unique_sets_against_all_combinations(spark, monkeypatch, share, few):
+    draw = random.Random(few + share)
+    rows = [(draw.randrange(300), draw.randrange(40), draw.random() // 0.004, f"t{draw.randrange(60)}", draw.randrange(9)) for _ in range(700)]
+    names = "abcde"
+    want = []
+    for combo in (c for size in (1, 2, 3) for c in combinations(range(5), size)):
+        if len({tuple(r[i] for i in combo) for r in rows}) == len(rows) and not any(set(u) <= set(combo) for u in want):
+            want.append(combo)
+    df = spark.createDataFrame(rows, "a int, b int, c double, d string, e int").repartition(3)
+    for name, n in (("REFUTING", 5), ("SHARE", share), ("FEW", few), ("TASK_ROWS", 100)):
+        monkeypatch.setattr(mine, name, n)
+    assert want and mine.unique_sets(df, mine.facts(df)) == [tuple(names[i] for i in u) for u in want]
+
+
 def test_keys_and_references_are_recovered(spark):
     nations = spark.createDataFrame([(i, f"n{i}") for i in range(10)], "nation_id int, name string")
     people = spark.createDataFrame([(i, f"p{i}", (i * 7) % 10, i % 3) for i in range(60)], "person_id int, full string, nation_id int, counter int")
