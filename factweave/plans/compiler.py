@@ -22,6 +22,7 @@ from ..language import syntax as S
 from ..language.parser import Parser, QueryError, parse
 from ..model import Entity, Fact, Model, Role, Value
 from ..sources.scratch import materialise, scratch
+from ..sources.tables import read_bytes
 from . import determine
 from .frame import Calc, Context, Edge, Frame, Node, Pending, Source, Test, conjunction, flag, keep
 
@@ -34,6 +35,9 @@ COMPARE = {
     ">=": lambda a, b: a >= b,
 }
 EXEMPT = ("min", "max")
+#: Bytes of the tables read for each task that makes rows distinct by their owners, and of the owners' own table at least.
+TASK_BYTES = 8 << 20
+OWNER_BYTES = 64 << 10
 
 
 def numeric(kind: T.DataType) -> bool:
@@ -902,7 +906,18 @@ class Compiler:
         sub.value_col = sub.add(value, "v")
         more = [c for k in a.order for n in self.reads(sub, k.value) for c in n.cols]
         more += [c for n in self.reads(sub, a.by) for c in n.cols] if a.by is not None else []
-        sub.df = sub.df.select(*dict.fromkeys([*keys, *[c for n in det for c in n.cols], *more, sub.value_col])).distinct()
+        sub.df = self.dealt(sub.df.select(*dict.fromkeys([*keys, *[c for n in det for c in n.cols], *more, sub.value_col])), det).distinct()
+
+    def dealt(self, rows: DataFrame, owners: list[Node]) -> DataFrame:
+        """Rows by an owner, to more tasks than the session's number, where the bytes read ask for it and owners are many."""
+        wanted = -(-read_bytes(rows) // TASK_BYTES)
+        if wanted <= int(self.ctx.spark.conf.get("spark.sql.shuffle.partitions")) or rows.isStreaming:
+            return rows
+        for n in owners:
+            e = self.model.entities.get(n.type)
+            if e and e.table not in self.ctx.derived and read_bytes(self.ctx.source(e.table)) >= wanted * OWNER_BYTES:
+                return rows.repartition(wanted, *n.cols)
+        return rows
 
     def identified(self, det: list[Node]) -> None:
         for n in det:
@@ -1058,7 +1073,7 @@ class Compiler:
                 self.identified(det)
                 name = frame.add(value, "v")
                 by = [c for n in (self.reads(frame, a.by) if a.by is not None else ()) for c in n.cols]
-                apart.append((p, [*[c for n in det for c in n.cols], *by, name], self.fold(frame, a, F.col(name), False).alias(p.col)))
+                apart.append((p, det, [*[c for n in det for c in n.cols], *by, name], self.fold(frame, a, F.col(name), False).alias(p.col)))
             else:
                 plain.append(self.fold(frame, a, value, False).alias(p.col))
         fixed = determine.closure(frame, nodes)
@@ -1082,13 +1097,13 @@ class Compiler:
         wide = [*keys, *[c for c in carried if c not in keys]]
         if apart and not plain:
             # the rows of a distinct aggregate hold every group, so they stand for the groups
-            p, det_cols, folded = apart.pop(0)
-            frame.df = base.select(*dict.fromkeys([*wide, *det_cols])).distinct().groupBy(*wide).agg(folded)
+            p, det, det_cols, folded = apart.pop(0)
+            frame.df = self.dealt(base.select(*dict.fromkeys([*wide, *det_cols])), det).distinct().groupBy(*wide).agg(folded)
         else:
             frame.df = base.groupBy(*wide).agg(*(plain or [F.count(F.lit(1)).alias(self.ctx.fresh("n"))]))
-        for p, det_cols, folded in apart:
+        for p, det, det_cols, folded in apart:
             renamed = {k: self.ctx.fresh("g") for k in keys}
-            rows = base.select(*dict.fromkeys([*keys, *det_cols])).distinct()
+            rows = self.dealt(base.select(*dict.fromkeys([*keys, *det_cols])), det).distinct()
             found = rows.groupBy(*[F.col(k).alias(renamed[k]) for k in keys]).agg(folded)
             on = conjunction(F.col(k).eqNullSafe(F.col(renamed[k])) for k in keys)
             frame.df = frame.df.join(found, on, "left") if on is not None else frame.df.crossJoin(F.broadcast(found))

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from factweave.plans import catalogue
+from factweave.plans import catalogue, compiler
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,3 +46,18 @@ def test_entry_module():
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rows_made_distinct_by_owners_go_to_tasks_by_bytes(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ask = lambda: catalogue.queries()["E20_regroup"](spark, SF)
+    small = ask()
+    assert "REPARTITION_BY_NUM" not in plan(small)
+    monkeypatch.setattr(compiler, "TASK_BYTES", 10_000, raising=False)
+    # too few owners to share the rows out among
+    assert "REPARTITION_BY_NUM" not in plan(ask())
+    monkeypatch.setattr(compiler, "OWNER_BYTES", 100, raising=False)
+    wide = ask()
+    exchange = next(x for x in plan(wide).splitlines() if "REPARTITION_BY_NUM" in x)
+    assert "l_orderkey" in exchange and int(exchange.split("), REPARTITION_BY_NUM")[0].split()[-1]) > 4
+    assert sorted(map(plain, wide.collect())) == sorted(map(plain, small.collect()))
